@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash_dedup
+from tessera.llm import exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
+from tessera.llm.hashing import held_out
+from tessera.llm.sampling import MOD, REMAINDER
 
 #: Name of the tokenizer's vocabulary file, looked up where it is installed.
 VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +29,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", held_out("doc_id", MOD, REMAINDER).alias("held_out"), "score", "predicted")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +51,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path())
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+    return scored.select("doc_id", held_out("doc_id", MOD, REMAINDER).alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir)).drop("lang", "source", "n_lines")
 
@@ -60,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_dedup, op4_exact_dedup, op6_source_mixing, op7_packing, op9_quality_rules, op10_line_dedup, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op4_exact_dedup, op6_source_mixing, op7_packing, op8_quality_classifier, op9_quality_rules, op10_line_dedup, pipeline)
 }
 
 _EXACT_SQL = r"""
