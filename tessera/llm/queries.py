@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
+from tessera.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
 from tessera.llm.hashing import held_out
 from tessera.llm.sampling import MOD, REMAINDER
 
@@ -43,6 +43,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("rid")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op4_exact_dedup, op6_source_mixing, op7_packing, op8_quality_classifier, op9_quality_rules, op10_line_dedup, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op4_exact_dedup, op5_lm_scoring, op6_source_mixing, op7_packing, op8_quality_classifier, op9_quality_rules, op10_line_dedup, pipeline)
 }
 
 _EXACT_SQL = r"""
