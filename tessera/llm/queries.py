@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, toxicity
+from tessera.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, toxicity
 from tessera.llm.hashing import held_out
 from tessera.llm.sampling import MOD, REMAINDER
 
@@ -39,6 +39,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("rid")
 
@@ -76,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op4_exact_dedup, op5_lm_scoring, op6_source_mixing, op7_packing, op8_quality_classifier, op9_quality_rules, op10_line_dedup, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_simhash_dedup, op3_substring_dedup, op4_exact_dedup, op5_lm_scoring, op6_source_mixing, op7_packing, op8_quality_classifier, op9_quality_rules, op10_line_dedup, pipeline)
 }
 
 _EXACT_SQL = r"""
