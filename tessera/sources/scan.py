@@ -13,7 +13,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """path, content, size, sha256, problem for every file below ``root``; problem is null for admitted ones."""
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.element_at(F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), base, 2), -1)
+    path = F.element_at(F.split("path", F.lit("\\Q" + base + "\\E"), 2), -1)
     files = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("content").alias("bytes"))
     return admit(files.where(policy.valid_path(F.col("path")) & ~policy.excluded_path(F.col("path"))))
 
@@ -35,7 +35,7 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, size, modified of every file; contents are not read."""
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return raw.select(F.element_at(F.split("path", base, 2), -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return raw.select(F.element_at(F.split("path", F.lit("\\Q" + base + "\\E"), 2), -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def unchanged_hashes(now: DataFrame, before: DataFrame) -> DataFrame:
