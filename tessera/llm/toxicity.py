@@ -9,7 +9,7 @@ clean ones are witnesses; they, copies of them with an inserted character, and w
 mapped to Nystroem features over landmarks, a linear SVM is fitted there, the clean words it likes best are
 added, and it is fitted again. Since the kernel is an inner product over subsequences, the fitted machine folds
 into one weight for each subsequence, and a word costs the same whatever the number of landmarks. A logistic
-curve, fitted on the sample's documents, maps margins to scores.
+curve, fitted on the sample's documents, maps the margins of a document's worst two words to its score.
 
 At most ``MAX_LABELLED`` labelled documents are used, chosen by hash. Null and empty texts hold no word and get
 the score of the lowest margin. Without usable labels every score is the share of toxic labels. Repeated rows
@@ -155,8 +155,7 @@ class ToxicityModel:
     alphabet: Alphabet
     table: np.ndarray
     bias: float
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
     def margins(self, words: list[str]) -> np.ndarray:
         cut = [pieces(w) for w in words]
@@ -172,14 +171,15 @@ class Scorer:
     def __init__(self, model: ToxicityModel, remembered: int = REMEMBERED) -> None:
         self.model, self.remembered, self.known = model, remembered, {}
 
-    def margin(self, texts: list[str | None]) -> list[float]:
+    def margins(self, texts: list[str | None]) -> list[tuple[float, float]]:
+        """The margins of each text's worst two words."""
         bags = [sentence_words(t or "") for t in texts]
         missing = sorted(set().union(*bags) - self.known.keys()) if bags else []
         if len(self.known) + len(missing) > self.remembered:
             self.known.clear()
             missing = sorted(set().union(*bags))
         self.known.update(zip(missing, self.model.margins(missing).tolist(), strict=True))
-        return [max((self.known[w] for w in bag), default=FLOOR) for bag in bags]
+        return [(*sorted(map(self.known.__getitem__, bag), reverse=True)[:2], FLOOR, FLOOR)[:2] for bag in bags]
 
 
 _scorers: dict[str, Scorer] = {}
@@ -230,9 +230,9 @@ def sentence_table(sample: DataFrame) -> DataFrame:
 
 
 def document_margins(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``margin`` of every row."""
+    """The columns ``keep``, ``margin`` and ``second``, the margins of the worst two words, of every row."""
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = docs.select(*keep).schema.add("margin", "double")
+    schema = docs.select(*keep).schema.add("margin", "double").add("second", "double")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     name = f"{id(sent)}-{float(np.abs(model.table).sum())}-{model.bias}"
 
@@ -245,8 +245,9 @@ def document_margins(docs: DataFrame, model: ToxicityModel, keep: list[str]) ->
         scorer = toxicity._scorers[name]
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            found = [m for lo in range(0, len(texts), 500) for m in scorer.margin(texts[lo : lo + 500])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.float64())], schema.names)
+            found = [m for lo in range(0, len(texts), 500) for m in scorer.margins(texts[lo : lo + 500])]
+            pairs = np.array(found, np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -259,22 +260,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     if not n.get(1) or not n.get(0):
         return share
     table = materialize(sentence_table(sample), "toxicity-words")
-    a, b = (F.col("toxic") + 0.5) / (n[1] + 1), (F.col("clean") + 0.5) / (n[0] + 1)
-    ranked = table.where("toxic >= 3").withColumn("odds", F.log(a / b)).where("odds > 2").withColumn("gain", F.col("toxic") * F.col("odds"))
+    rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    gain = F.col("toxic") * F.log(rate / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    ranked = table.where("toxic >= 3").where(rate > 2 * share / (1 + share)).withColumn("gain", gain)
     top = ranked.orderBy(F.desc("gain"), "word").limit(WITNESSES).toPandas()
-    top = top[top["gain"] >= 12.0]
+    top = top[top["gain"] >= math.log(max(2, table.count()))]
     if not len(top):
         return share
     toxic = top["word"].tolist()
-    clean_words = table.where("toxic = 0 or (clean > 0 and toxic <= 2 * clean)")
+    clean_words = table.where("clean > 0 and toxic <= clean")
     clean = [r[0] for r in clean_words.orderBy(F.xxhash64("word"), "word").limit(CLEAN).select("word").collect()]
     alphabet = Alphabet.of(toxic + clean)
     variants = [_inserted(w, k) for k, w in enumerate(toxic) if len(w) > 4]
     landmarks = toxic + clean[: LANDMARKS - len(toxic)]
+    support = np.log1p(top["toxic"].to_numpy(float))
     for turn in range(3):
         words = toxic + variants + clean
         y = np.r_[np.ones(len(toxic) + len(variants)), -np.ones(len(clean))]
-        weight = np.r_[np.ones(len(toxic)), np.full(len(variants), 0.3), np.full(len(clean), 0.1 if turn == 0 else 0.3)]
+        weight = np.r_[support, np.full(len(variants), 0.3 * support.mean()), np.ones(len(clean))]
+        weight[y < 0] *= 2.0 * weight[y > 0].sum() / len(clean)
         model = ToxicityModel(alphabet, *_train_machine(words, y, weight, landmarks, alphabet))
         if turn == 2:
             break
@@ -283,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         clean = clean + hard
         landmarks = toxic + [r["word"] for r in liked[: LANDMARKS - len(toxic)]]
     found = document_margins(sample, model, ["y"]).toPandas()
-    model.slope, model.offset = _curve(found["margin"].to_numpy(float), found["y"].to_numpy(float))
+    model.curve = _curve(found[["margin", "second"]].to_numpy(float), found["y"].to_numpy(float))
     return model
 
 
@@ -295,14 +299,14 @@ def word_margins(words: DataFrame, model: ToxicityModel) -> DataFrame:
     return words.mapInPandas(run, "word string, margin double")
 
 
-def _curve(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, by Newton steps with a little ridge."""
-    x = np.stack([margin, np.ones(len(margin))], 1)
-    w = np.array([1.0, 0.0])
+def _curve(margins: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
+    """Slopes of the two margins and an offset of the logistic curve, by Newton steps with a little ridge."""
+    x = np.hstack([margins, np.ones((len(margins), 1))])
+    w = np.array([1.0, 0.0, 0.0])
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2) * len(y) ** 0.5, x.T @ (p - y) + 1e-3 * w)
-    return float(w[0]), float(w[1])
+        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(3) * len(y) ** 0.5, x.T @ (p - y) + 1e-3 * w)
+    return tuple(max(0.0, float(v)) if k < 2 else float(v) for k, v in enumerate(w))
 
 
 def score(docs: DataFrame, model: ToxicityModel | float, threshold: float = 0.7) -> DataFrame:
@@ -310,7 +314,8 @@ def score(docs: DataFrame, model: ToxicityModel | float, threshold: float = 0.7)
     if isinstance(model, float):
         scored = docs.select("doc_id", F.lit(model).alias("score"))
     else:
-        curve = 1.0 / (1.0 + F.exp(-(F.lit(model.slope) * F.col("margin") + F.lit(model.offset))))
+        a, b, c = map(F.lit, model.curve)
+        curve = 1.0 / (1.0 + F.exp(-(a * F.col("margin") + b * F.col("second") + c)))
         scored = document_margins(docs, model, ["doc_id"]).select("doc_id", curve.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
