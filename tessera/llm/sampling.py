@@ -12,10 +12,16 @@ MOD, REMAINDER = 3, 1
 
 
 def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows (doc_id, y), chosen by hash of the id; repeated ids take their highest label."""
+    """At most ``most`` rows (doc_id, y), chosen by hash of the id; repeated ids take their highest label.
+
+    A threshold on the hash leaves little more than ``most`` rows before they are ordered.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", MOD, REMAINDER))
     one = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    share = min(1.0, 1.2 * most / max(1, labels.count()) + 1e-6)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = one.where(h < F.lit(int(share * (1 << 30)))) if share < 1.0 else one
+    return near.orderBy(h, "doc_id").limit(most)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
