@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,13 +37,23 @@ CLOSING_ID = 1
 GROUP = 1024
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 400_000
+#: Texts that are encoded together.
+SLICE = 128
+
+
+#: How the vocabulary splits a word of ASCII letters (lower-cased) or of Latin letters.
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_LATIN = re.compile(r"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
+_LATIN_ONLY = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
 class WordEncoder:
     """Ids of whole texts, word by word.
 
-    The vocabulary splits at white space and never joins words, so a text's ids are its words' ids in turn.
-    Ids are kept as little-endian unsigned 32-bit bytes; the memory of words is dropped when it is full.
+    The vocabulary splits at white space and never joins words, so a text's ids are its words' ids in turn; and
+    a word's ids are those of its letter runs, digits and marks. Both are remembered, up to a limit each, as
+    little-endian unsigned 32-bit bytes. Parts that are not known yet are encoded together in one call and told
+    apart by their word-end tokens; words beyond Latin letters go to the tokenizer whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -50,19 +61,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.ids = remembered, {}
-
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
+        self.remembered, self.ids, self.parts = remembered, {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _split(self, word: bytes) -> list | None:
+        """The parts of a word, or None if only the tokenizer can tell."""
+        if b"<|" in word:
+            return None
+        if word.isascii():
+            return _ASCII.findall(word.lower())
+        text = word.decode("utf-8", "replace")
+        return _LATIN.findall(text) if _LATIN_ONLY.fullmatch(text) and text.isprintable() else None
+
+    def _learn(self, words: list[bytes]) -> None:
+        split = {w: self._split(w) for w in words}
+        new = list(dict.fromkeys(p for parts in split.values() if parts for p in parts if p not in self.parts))
+        if len(self.parts) + len(new) > 2 * self.remembered:
+            self.parts.clear()
+            new = list(dict.fromkeys(p for parts in split.values() if parts for p in parts))
+        if new:
+            texts = [p.decode() if isinstance(p, bytes) else p for p in new]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(new):
+                raw, at = ids.tobytes(), (4 * stops).tolist()
+                self.parts.update(zip(new, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+            else:
+                self.parts.update((p, self._whole(t)) for p, t in zip(new, texts, strict=True))
+        get = self.parts.__getitem__
+        for w, parts in split.items():
+            self.ids[w] = self._whole(w.decode("utf-8", "replace")) if parts is None else b"".join(map(get, parts))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.ids
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        missing = list(set().union(*split) - known.keys())
         if missing:
             if len(known) + len(missing) > self.remembered:
                 known.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+                missing = list(set().union(*split))
+            self._learn(missing)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def cuts(n: int, sequence: int = SEQUENCE) -> list[int]:
@@ -84,8 +128,10 @@ def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, closing_i
         encoder, end = WordEncoder(vocabulary), np.array([closing_id], "<u4").tobytes()
         for batch in batches:
             at, out = [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                ids = encoder.encode(text) + end
+            texts = batch.column(2).to_pylist()
+            encoded = (ids for lo in range(0, len(texts), SLICE) for ids in encoder.encode(texts[lo : lo + SLICE]))
+            for i, ids in enumerate(encoded):
+                ids += end
                 n, start = len(ids) // 4, 0
                 for length in cuts(n, sequence):
                     at.append(i)
