@@ -34,7 +34,7 @@ from tessera.session import materialize
 
 LENGTH = 400
 #: Bytes of windows that one call of the sorter takes; a shard beyond it goes on in a further call by hash.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 2 << 20
 
 
 def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
