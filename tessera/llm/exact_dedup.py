@@ -95,8 +95,15 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, digest: Digest = digests)
     ids = materialize(identities(docs, block, digest), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     groups = ids.groupBy("n_bytes", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    return ids.join(groups, ["n_bytes", "name"]).select(
-        "rid", "doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256")
+    several = materialize(groups.where("group_size > 1"), "identity-groups")
+    alone = F.col("group_size").isNull()
+    return ids.join(several, ["n_bytes", "name"], "left").select(
+        "rid",
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("rid") == F.col("first.rid"))).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
 
 
