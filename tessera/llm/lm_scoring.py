@@ -3,8 +3,8 @@
 Token counts come from all training documents by one aggregation. The ``CLASSES * WIDTH`` most frequent tokens
 are the network's own; the others share one token, whose probability the counts of these other tokens divide
 among them, so every text has a proper probability. The network is trained by rounds of parameter averaging:
-each replica runs truncated backpropagation on its share of a hashed fraction of the training documents, which
-grows with the corpus, and the parameters are averaged between rounds.
+each replica runs truncated backpropagation on its hashed share of the training documents, all of which take
+part, and the parameters are averaged between rounds, level by level, so no average has more than ``FAN`` parts.
 
 Scoring needs the count of every token. The ``HEAD`` most frequent ones, a bounded number, are sent to the
 tasks; the rest meet the count table in a join on the token, aggregated by document. No word outside the head is
@@ -38,11 +38,10 @@ MOD, REMAINDER = 7, 2
 END_TOKEN = ""
 CLASSES, WIDTH, HIDDEN, EMBED = 32, 32, 24, 16
 HEAD = 100_000
-#: Share of the training tokens that the network sees, at least LEAST_TOKENS of them if there are as many.
-FRACTION, LEAST_TOKENS = 1 / 48, 400_000
+#: Tokens of a replica; there are as many replicas as the training tokens need.
 REPLICA_TOKENS, ROUNDS, EPOCHS = 400_000, 2, 2
-#: Rows of an average, before they meet on the driver.
-AVERAGES = 16
+#: Most averages that meet on the driver, and most that one average has as its parts.
+AVERAGES, FAN = 16, 32
 #: Tokens that a task scores at once.
 CHUNK = 4_000_000
 
@@ -116,34 +115,53 @@ def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES, widt
     return Vocabulary(total, distinct, {t: found[t] for t in order}, classes, width)
 
 
+def replica_ids(docs: DataFrame, sent: Broadcast, replicas: int) -> DataFrame:
+    """replica, doc_id, ids: the network's ids (int16) of every row of ``docs``, dealt to the replicas by hash."""
+    rows = docs.select(F.pmod(F.xxhash64("text", "doc_id"), F.lit(replicas)).cast("int").alias("replica"), "doc_id", "text")
+    schema = rows.drop("text").schema.add("ids", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [sent.value.ids(tokens(t)).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def averaged(parts: DataFrame, count: int) -> DataFrame:
+    """part, n, params: at most ``AVERAGES`` means, weighted by n, of ``count`` parts numbered from 0."""
+
+    def average(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("part")
+        made = gru.mean([(gru.load(x), n) for x, n in zip(df["params"], df["n"], strict=True)])
+        return pd.DataFrame({"part": [int(df["part"].iloc[0]) // FAN], "n": [df["n"].sum()], "params": [gru.dump(made)]})
+
+    while count > AVERAGES:
+        parts = parts.groupBy(F.floor(F.col("part") / FAN).alias("into")).applyInPandas(average, "part int, n double, params binary")
+        count = -(-count // FAN)
+    return parts
+
+
 def train(docs: DataFrame, words: Vocabulary, sent: Broadcast, hidden: int = HIDDEN, embed: int = EMBED, rounds: int = ROUNDS) -> gru.Params:
-    """Parameters after ``rounds`` of averaging over replicas."""
+    """Parameters after ``rounds`` of averaging over replicas, which together hold every row of ``docs``."""
     params = gru.initial(words.classes, words.width, hidden, embed, words.counts())
     if not words.total:
         return params
-    share = min(1.0, max(FRACTION, LEAST_TOKENS / words.total))
-    h = F.pmod(F.xxhash64("doc_id", F.lit("gru")), F.lit(1 << 20))
-    chosen = docs.where(h < F.lit(int(share * (1 << 20)))).select("doc_id", "text")
-    replicas = max(1, round(words.total * share / REPLICA_TOKENS))
+    replicas = max(1, round(words.total / REPLICA_TOKENS))
     sc = docs.sparkSession.sparkContext
-    rows = materialize(chosen.withColumn("replica", F.pmod(F.xxhash64("text", "doc_id"), F.lit(replicas)).cast("int")), "gru-sample")
+    rows = materialize(replica_ids(docs, sent, replicas), "gru-ids")
     for _ in range(rounds):
         start = sc.broadcast(params)
 
         def replica(df: pd.DataFrame) -> pd.DataFrame:
-            texts = df.sort_values(["doc_id", "text"])["text"]
-            laid = [sent.value.ids(tokens(t)) for t in texts]
+            laid = [np.frombuffer(x, np.int16) for x in df.sort_values(["doc_id", "ids"])["ids"]]
             made = gru.train(start.value, laid, EPOCHS)
-            return pd.DataFrame({"part": [int(df["replica"].iloc[0]) % AVERAGES], "n": [float(sum(map(len, laid)))], "params": [gru.dump(made)]})
-
-        def average(df: pd.DataFrame) -> pd.DataFrame:
-            made = gru.mean([(gru.load(x), n) for x, n in zip(df["params"], df["n"], strict=True)])
-            return pd.DataFrame({"n": [df["n"].sum()], "params": [gru.dump(made)]})
+            return pd.DataFrame({"part": [int(df["replica"].iloc[0])], "n": [float(sum(map(len, laid)))], "params": [gru.dump(made)]})
 
         trained = rows.groupBy("replica").applyInPandas(replica, "part int, n double, params binary")
-        parts = trained.groupBy("part").applyInPandas(average, "n double, params binary").collect()
+        parts = averaged(trained, replicas).collect()
         if parts:
-            params = gru.mean([(gru.load(bytes(r["params"])), r["n"]) for r in sorted(parts, key=lambda r: (r["n"], bytes(r["params"])))])
+            params = gru.mean([(gru.load(bytes(r["params"])), r["n"]) for r in sorted(parts, key=lambda r: r["part"])])
     return params
 
 

@@ -452,6 +452,35 @@ def test_language_model_base_scores_and_gain(docs, rows):
             assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 7 == 2) and x["score"] < 0
 
 
+def test_network_is_trained_on_all_training_documents(docs, rows, monkeypatch):
+    seen = {}
+
+    def recorded(df, name):
+        seen[name] = materialize(df, name)
+        return seen[name]
+
+    materialize = lm_scoring.materialize
+    monkeypatch.setattr(lm_scoring, "materialize", recorded)
+    monkeypatch.setattr(lm_scoring, "LEAST_TOKENS", 1, raising=False)  # a least number of tokens would hide a sample here
+    monkeypatch.setattr(lm_scoring, "REPLICA_TOKENS", 40)
+    total = lm_scoring.score(docs, rounds=1).first()["train_tokens"]
+    (name,) = (n for n in seen if n.startswith("gru"))
+    assert sorted(x["doc_id"] for x in seen[name].collect()) == [r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    assert sum(len(x["ids"]) // 2 for x in seen[name].collect()) == total
+    assert seen[name].select("replica").distinct().count() > lm_scoring.AVERAGES
+
+
+def test_averages_in_levels_are_the_mean_of_all(spark, monkeypatch):
+    from tessera.llm import gru
+
+    monkeypatch.setattr(lm_scoring, "AVERAGES", 2)
+    parts = [({"w": np.full(2, k, np.float32)}, float(k % 5 + 1)) for k in range(lm_scoring.FAN * 3)]
+    df = spark.createDataFrame([(k, n, gru.dump(p)) for k, (p, n) in enumerate(parts)], "part int, n double, params binary")
+    got = lm_scoring.averaged(df, len(parts)).collect()
+    assert len(got) == 1 and got[0]["n"] == sum(n for _, n in parts)
+    assert gru.load(bytes(got[0]["params"]))["w"] == pytest.approx(gru.mean(parts)["w"], rel=1e-5)
+
+
 def every_operator(docs, labels):
     yield "1", toxicity.classify(docs, labels)
     yield "2", simhash_dedup.near_groups(docs)
