@@ -74,3 +74,10 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def anchor_place(data: bytes, length: int) -> int:
+    """Where the anchor of the first string of ``data`` begins."""
+    gram = length // 2
+    h = gram_hashes(np.frombuffer(data, np.uint8, length), gram)
+    return int(np.argmin(h & ~_POSITION))

@@ -6,6 +6,11 @@ twice as a whole is repeated from its first start to its last. The others meet i
 equal strings must be in the same shard whatever documents they are from, and each shard's windows are sorted
 by external induced sorting (``suffix``), whose neighbours show the strings that repeat.
 
+The windows of one anchor may be more than a task can sort. Such an anchor is split by content: the bytes that a
+string has before its anchor are as many in all equal strings, so starts are cut into cells by that number, and all
+strings of a cell share a core of bytes around the anchor. Cells meet by the hash of the core. Anchors that are still
+too large are cut into cells of half the size, until the core is the string itself and equal ones are one window.
+
 Windows are told apart by the 128 bits of two hashes; within a shard bytes are compared. Copies of a window are
 collapsed within each batch before the shuffle, so a passage of a third of all documents is one row for each
 batch. Texts are shuffled once, compressed.
@@ -27,13 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from tessera.llm.anchors import anchors
+from tessera.llm.anchors import anchor_place, anchors
 from tessera.llm.hashing import row_id
 from tessera.llm.suffix import QUEUE_BYTES, repeated
 from tessera.session import materialize
 
 LENGTH = 400
-#: Bytes of windows that one call of the sorter takes; a shard beyond it goes on in a further call by hash.
+#: Bytes of windows that one call of the sorter takes; a shard beyond it goes on in a further call by hash, and an
+#: anchor beyond it is split.
 SHARD_BYTES = 2 << 20
 
 
@@ -78,8 +84,10 @@ def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.select(row_id().alias("rid"), "text").mapInArrow(run, "h long, w long, rid long, s long, e long, n long")
 
 
-def collapsed(found: DataFrame) -> DataFrame:
-    """h, w, n, rid, s, e, kinds: each different window with its occurrences and one place of it.
+def collapsed(found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """h, w, n, rid, s, e, kinds, size: each different window with its occurrences and one place of it.
+
+    size is the number of bytes of the different windows of the anchor.
 
     Kept are windows that occur twice, or whose anchor other windows have, too.
     """
@@ -94,8 +102,9 @@ def collapsed(found: DataFrame) -> DataFrame:
 
     each = found.where("h is not null").select(*names).mapInArrow(combine, "h long, w long, n long, rid long, s long, e long").repartition("h")
     one = each.groupBy("h", "w").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "s", "e")).alias("place"))
-    kinds = F.count("*").over(Window.partitionBy("h"))
-    return one.withColumn("kinds", kinds).where("n > 1 or kinds > 1").select("h", "w", "n", "place.*", "kinds")
+    same = Window.partitionBy("h")
+    size = F.sum(F.col("place.e") - F.col("place.s") + length).over(same)
+    return one.select("*", F.count("*").over(same).alias("kinds"), size.alias("size")).where("n > 1 or kinds > 1").select("h", "w", "n", "place.*", "kinds", "size")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -130,6 +139,27 @@ def _cut_windows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return texts.join(lists, "rid").select("rid", "z", "list").mapInArrow(run, "h long, rid long, s long, n long, body binary")
 
 
+def _cells(cut: DataFrame, length: int, cell: int) -> DataFrame:
+    """h, w, rid, s, e, n: the windows of ``cut`` in cells of ``cell`` starts, with h from the core of the cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, most = xxhash.xxh3_64_intdigest, length - length // 2
+        for batch in batches:
+            rows = []
+            for rid, s, n, body in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                at = anchor_place(body, length)
+                last = len(body) - length
+                for c in range((at - last) // cell, at // cell + 1):
+                    near, far = c * cell, min((c + 1) * cell - 1, most)
+                    a, b = max(0, at - far), min(last, at - near)
+                    rows.append((digest(body[at - near : at - far + length], c), digest(body[a : b + length]), rid, s + a, s + b, n))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            hashes = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[:2]]
+            yield pa.RecordBatch.from_arrays(hashes + [pa.array(c, pa.int64()) for c in columns[2:]], ["h", "w", "rid", "s", "e", "n"])
+
+    return cut.select("h", "rid", "s", "n", "body").mapInArrow(run, "h long, w long, rid long, s long, e long, n long")
+
+
 def _sorted_shards(cut: DataFrame, length: int, limit: int, shard_bytes: int) -> DataFrame:
     """rid, s, e: runs of repeated starts of the windows that occur once as a whole."""
 
@@ -161,12 +191,22 @@ def _sorted_shards(cut: DataFrame, length: int, limit: int, shard_bytes: int) ->
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, limit: int = QUEUE_BYTES, shard_bytes: int = SHARD_BYTES, texts: DataFrame | None = None) -> DataFrame:
     """rid, s, e: runs of starts whose strings of ``length`` bytes also start elsewhere."""
+    texts = texts if texts is not None else _packed(docs)
     found = materialize(windows(docs, length), "string-windows")
-    kept = materialize(collapsed(found), "string-collapsed")
-    whole = kept.where("n > 1").select("h", "w")
-    copies = found.where("h is not null").join(whole, ["h", "w"]).select("rid", "s", "e")
-    single = _cut_windows(texts if texts is not None else _packed(docs), kept.where("kinds > 1"), length)
-    return found.where("h is null").select("rid", "s", "e").unionByName(copies).unionByName(_sorted_shards(single, length, limit, shard_bytes))
+    starts, small = found.where("h is null").select("rid", "s", "e"), None
+    cell = length - length // 2 + 1
+    while True:
+        kept = materialize(collapsed(found, length), "string-collapsed")
+        whole = kept.where("n > 1").select("h", "w")
+        starts = starts.unionByName(found.where("h is not null").join(whole, ["h", "w"]).select("rid", "s", "e"))
+        rest = kept.where((F.col("kinds") > 1) & (F.col("size") <= shard_bytes))
+        small = rest if small is None else small.unionByName(rest)
+        large = kept.where((F.col("kinds") > 1) & (F.col("size") > shard_bytes))
+        if cell == 1 or large.isEmpty():
+            break
+        cell = -(-cell // 2)
+        found = materialize(_cells(_cut_windows(texts, large, length), length, cell), "string-cells")
+    return starts.unionByName(_sorted_shards(_cut_windows(texts, small, length), length, limit, shard_bytes))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int = QUEUE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:

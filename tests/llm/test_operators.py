@@ -177,6 +177,23 @@ def test_substring_removal_of_runs_and_passages_with_varied_surroundings(spark,
         assert row["n_removed"] == sum(want[row["doc_id"]])
 
 
+def test_windows_of_a_hot_anchor_are_split_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    passage, sides, cuts = noise(30), [noise(25) for _ in range(4)], []
+    texts = [noise(40) + r.choice(sides)[r.randint(0, 20) :] + passage + r.choice(sides)[: r.randint(5, 25)] + noise(40) for _ in range(150)]
+    texts += [noise(30) + passage + noise(30) for _ in range(150)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    want = brute_removed([t.encode() for t in texts], 40)
+    sort = substring_dedup._sorted_shards
+    monkeypatch.setattr(substring_dedup, "_sorted_shards", lambda cut, *a: cuts.append(cut) or sort(cut, *a))
+    for row in substring_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "d")), length=40, shard_bytes=1000).collect():
+        data, gone = texts[row["doc_id"]].encode(), want[row["doc_id"]]
+        assert bytes(row["kept"]) == bytes(b for b, g in zip(data, gone, strict=True) if not g)
+    sizes = [x[1] for x in cuts[0].selectExpr("h", "length(body) as b").groupBy("h").sum("b").collect()]
+    assert sizes and max(sizes) <= 1000
+
+
 def brute_lines(rows):
     keyed = {i: [(line, line.strip(b" \t\n\x0b\x0c\r").lower()) for line in raw(t).split(b"\n")] for i, t in rows.items()}
     owners = collections.defaultdict(set)
