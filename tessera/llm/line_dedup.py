@@ -4,7 +4,8 @@
 number of references and the owner (smallest doc_id) of each key, ``filters`` one cuckoo filter for each shard
 of keys. An insertion asks the filters first: keys they deny are new for certain and are appended, only the
 others meet the count table in a join. A deletion lowers counts, finds a new owner where the owner goes, and
-takes keys without references out of the filters, so deleting what was inserted restores the former state.
+takes keys without references out of the filters, so deleting what was inserted restores the former state. An
+insertion that outgrows the shards deals the keys to more of them first.
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased; the tables hold
 its SHA-256. Keys shorter than ``MIN_CHARS`` code points are not indexed. Counts combine before the shuffle, so
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -65,10 +66,13 @@ def _hash64(keys: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(k[:8] for k in keys), np.uint64)
 
 
+def _shard(shards: int) -> F.Column:
+    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+
+
 def _counted(refs: DataFrame, shards: int) -> DataFrame:
     """shard, key, refs, nulls, lo, hi of the references given."""
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
-    return refs.groupBy(shard, "key").agg(
+    return refs.groupBy(_shard(shards), "key").agg(
         F.count("*").alias("refs"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
     )
 
@@ -86,6 +90,7 @@ class LineIndex:
     filters: DataFrame
     shards: int
     min_chars: int = MIN_CHARS
+    shard_keys: int = SHARD_KEYS
 
     @staticmethod
     def create(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineIndex:
@@ -93,7 +98,7 @@ class LineIndex:
         refs = materialize(document_keys(docs, min_chars), "line-refs")
         shards = max(1, -(-refs.count() // shard_keys))
         counts = materialize(_counted(refs, shards), "line-counts")
-        return LineIndex(refs, counts, LineIndex._filters(counts), shards, min_chars)
+        return LineIndex(refs, counts, LineIndex._filters(counts), shards, min_chars, shard_keys)
 
     @staticmethod
     def _filters(counts: DataFrame) -> DataFrame:
@@ -134,11 +139,22 @@ class LineIndex:
         full = filters.where("filter is null").select("shard")
         if not full.isEmpty():
             filters = materialize(filters.where("filter is not null").unionByName(self._filters(counts.join(full, "shard", "left_semi"))), "line-filters")
-        return LineIndex(refs, counts, filters, self.shards, self.min_chars)
+        return replace(self, refs=refs, counts=counts, filters=filters)
+
+    def _grown(self, refs: int) -> LineIndex:
+        """The same state with shards for ``refs`` references, at least twice as many as before if these are too few."""
+        if refs <= self.shards * self.shard_keys:
+            return self
+        shards = max(2 * self.shards, -(-refs // self.shard_keys))
+        counts = materialize(self.counts.withColumn("shard", _shard(shards)), "line-counts")
+        return replace(self, counts=counts, filters=self._filters(counts), shards=shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents that the index does not hold yet."""
         new = materialize(document_keys(docs, self.min_chars), "line-refs-new")
+        return self._grown(self.refs.count() + new.count())._insert(new)
+
+    def _insert(self, new: DataFrame) -> LineIndex:
         probed = materialize(self.probe(_counted(new, self.shards)), "line-probed")
         fresh = probed.where("not maybe").drop("maybe")
         known = probed.where("maybe").drop("maybe")

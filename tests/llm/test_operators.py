@@ -228,6 +228,16 @@ def test_line_index_insert_and_delete_are_reversible(docs):
     assert gone.count() > 0 and back.probe(gone).where("maybe").count() <= 1
 
 
+def test_line_index_gets_more_shards_as_it_grows(docs, empty):
+    grown = line_dedup.LineIndex.create(empty, shard_keys=10).insert(docs.where("doc_id < 30")).insert(docs.where("doc_id >= 30"))
+    whole = line_dedup.LineIndex.create(docs, shard_keys=10)
+    state = lambda x: sorted(map(tuple, x.counts.drop("shard").collect()))
+    assert state(grown) == state(whole) and grown.refs.count() <= grown.shards * 10
+    shards = {r["shard"] for r in grown.counts.collect()}
+    assert len(shards) > 1 and shards == {r["shard"] for r in grown.filters.collect()}
+    assert grown.probe(grown.counts.select("shard", "key")).where("not maybe").isEmpty()
+
+
 def test_cuckoo_filter_holds_what_was_added():
     from tessera.llm.cuckoo import CuckooFilter, build
 
