@@ -103,40 +103,50 @@ def _forward(p: Params, table: np.ndarray, ids: np.ndarray, keep: np.ndarray, h:
     return out, h
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits made relative to each row's largest, in place, and the logarithm of their sum of powers."""
+    x -= x.max(1, keepdims=True)
+    return x, np.log(np.exp(x).sum(1))
 
 
 def _outputs(p: Params, states: np.ndarray, target: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probabilities of the targets; with ``grads``, gradients are added and those of states returned."""
-    width = p["bm"].shape[1]
+    """Natural log-probabilities of the targets; with ``grads``, gradients are added and those of states returned.
+
+    Tokens are sorted by class once, so every class works on a slice.
+    """
+    classes, width = p["bm"].shape
+    order = np.argsort((target // width).astype(np.int16), kind="stable")
+    s, target = states[order], target[order]
     cls, member = target // width, target % width
     rows = np.arange(len(target))
-    logits = _log_softmax(states @ p["Wc"] + p["bc"])
-    logp = logits[rows, cls].astype(np.float64)
+    x, norm = _softmax(s @ p["Wc"] + p["bc"])
+    found = x[rows, cls] - norm
     back = None
     if grads is not None:
-        d = np.exp(logits)
+        d = np.exp(x - norm[:, None])
         d[rows, cls] -= 1
-        grads["Wc"] += states.T @ d
+        grads["Wc"] += s.T @ d
         grads["bc"] += d.sum(0)
         back = d @ p["Wc"].T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(len(p["bc"]) + 1))
-    for c in range(len(p["bc"])):
-        at = order[edges[c] : edges[c + 1]]
-        if not len(at):
-            continue
-        s = states[at]
-        inner = _log_softmax(s @ p["Wm"][c] + p["bm"][c])
-        logp[at] += inner[np.arange(len(at)), member[at]]
+    edges = np.searchsorted(cls, np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        at = slice(edges[c], edges[c + 1])
+        part, m = s[at], member[at]
+        x, norm = _softmax(part @ p["Wm"][c] + p["bm"][c])
+        own = np.arange(len(m))
+        found[at] += x[own, m] - norm
         if grads is not None:
-            d = np.exp(inner)
-            d[np.arange(len(at)), member[at]] -= 1
-            grads["Wm"][c] += s.T @ d
+            d = np.exp(x - norm[:, None])
+            d[own, m] -= 1
+            grads["Wm"][c] += part.T @ d
             grads["bm"][c] += d.sum(0)
             back[at] += d @ p["Wm"][c].T
+    logp = np.empty(len(target))
+    logp[order] = found
+    if back is not None:
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted
     return logp, back
 
 
@@ -163,26 +173,39 @@ def window_gradients(p: Params, ids: np.ndarray, keep: np.ndarray, target: np.nd
     count = max(1, int(valid.sum()))
     d_states = np.zeros_like(states)
     d_states[valid] = back
-    d_gates = np.zeros((*ids.shape, 3 * hidden), np.float32)
+    d_gates = np.empty((*ids.shape, 3 * hidden), np.float32)
+    d_inner = np.empty_like(d_gates)
+    befores = np.empty_like(states)
+    back_u = np.ascontiguousarray(p["U"].T)
     dh = np.zeros_like(h)
     for t in range(len(ids) - 1, -1, -1):
         before, z, r, n, an = cache[t]
+        g, da = d_gates[t], d_inner[t]
         dh = dh + d_states[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        da = np.concatenate((dz, dr, dn * r), 1)
-        d_gates[t] = np.concatenate((dz, dr, dn), 1)
-        grads["U"] += before.T @ da
-        dh = (dh * z + da @ p["U"].T) * keep[t][:, None]
-    flat, x = d_gates.reshape(-1, 3 * hidden), ids.reshape(-1)
-    grads["b"] += flat.sum(0)
-    grads["Wx"] += p["E"][x].T @ flat
-    np.add.at(grads["E"], x, flat @ p["Wx"].T)
+        dn = dh * (1 - z)
+        dn *= 1 - n * n
+        g[:, :hidden] = dh * (before - n) * z * (1 - z)
+        g[:, hidden : 2 * hidden] = dn * an * r * (1 - r)
+        g[:, 2 * hidden :] = dn
+        da[:, : 2 * hidden] = g[:, : 2 * hidden]
+        np.multiply(dn, r, out=da[:, 2 * hidden :])
+        befores[t] = before
+        dh = dh * z + da @ back_u
+        if not keep[t].all():
+            dh *= keep[t][:, None]
+    grads["U"] += befores.reshape(-1, hidden).T @ d_inner.reshape(-1, 3 * hidden)
+    x = ids.reshape(-1)
+    order = np.argsort(x.astype(np.int32), kind="stable")
+    x, flat = x[order], d_gates.reshape(-1, 3 * hidden)[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    own, sums = x[first], np.add.reduceat(flat, first, axis=0)
+    grads["b"] += sums.sum(0)
+    grads["Wx"] += p["E"][own].T @ sums
+    grads["E"][own] += sums @ p["Wx"].T
     return {k: g / np.float32(count) for k, g in grads.items()}, float(-logp.sum() / count), last
 
 
-def train(p: Params, docs: list[np.ndarray], epochs: int = 2, lanes: int = 48, steps: int = 24, rate: float = 0.01) -> Params:
+def train(p: Params, docs: list[np.ndarray], epochs: int = 1, lanes: int = 128, steps: int = 20, rate: float = 0.01) -> Params:
     """Truncated backpropagation with Adam over the documents laid in lanes."""
     p = {k: v.astype(np.float32).copy() for k, v in p.items()}
     m, v, k = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0

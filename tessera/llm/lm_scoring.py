@@ -1,14 +1,16 @@
 """Language-model scores of whole documents from a gated recurrent model.
 
-Token counts come from all training documents by one aggregation. The ``CLASSES * WIDTH`` most frequent tokens
-are the network's own; the others share one token, whose probability the counts of these other tokens divide
-among them, so every text has a proper probability. The network is trained by rounds of parameter averaging:
-each replica runs truncated backpropagation on its hashed share of the training documents, all of which take
-part, and the parameters are averaged between rounds, level by level, so no average has more than ``FAN`` parts.
-
-Scoring needs the count of every token. The ``HEAD`` most frequent ones, a bounded number, are sent to the
-tasks; the rest meet the count table in a join on the token, aggregated by document. No word outside the head is
-frequent, so that join has no hot key.
+Token counts come from all training documents by one aggregation. The most frequent tokens are the network's own,
+``side * side`` of them with a side that grows with the vocabulary; the others share one token, whose probability
+the counts of these other tokens divide among them, so every text has a proper probability. The network is trained
+by rounds of parameter averaging. Every training document takes part in one round: it goes to one replica by hash,
+which runs truncated backpropagation over its documents, and the parameters of a round's replicas are averaged
+level by level, so no average has more than ``FAN`` parts.
+
+Scoring needs the count of every token. The ``HEAD`` most frequent ones, a bounded number, are sent to the tasks,
+which write each row's ids and sums once; ties at the head's end are broken by a hash of the token. All other
+tokens meet the count table in a join on the token, aggregated by document. No word outside the head is frequent,
+so that join has no hot key.
 
 Null text counts as empty and has the end token alone. A null doc_id counts as the empty text in the hash that
 holds documents out. Rows that repeat a doc_id are scored one by one. An empty table gives an empty result, and
@@ -20,7 +22,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tessera.llm import gru
 from tessera.llm.hashing import held_out, row_id
@@ -36,10 +40,11 @@ from tessera.session import materialize
 MOD, REMAINDER = 7, 2
 #: The end of a text as a token: no word is empty.
 END_TOKEN = ""
-CLASSES, WIDTH, HIDDEN, EMBED = 32, 32, 24, 16
+#: Classes, and members of each: at least LEAST_SIDE, else twice the fifth root of the number of distinct tokens.
+LEAST_SIDE, HIDDEN, EMBED = 16, 24, 16
 HEAD = 100_000
 #: Tokens of a replica; there are as many replicas as the training tokens need.
-REPLICA_TOKENS, ROUNDS, EPOCHS = 400_000, 2, 2
+REPLICA_TOKENS, ROUNDS = 1_000_000, 2
 #: Most averages that meet on the driver, and most that one average has as its parts.
 AVERAGES, FAN = 16, 32
 #: Tokens that a task scores at once.
@@ -67,63 +72,93 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Totals over the training tokens, and the most frequent ones in order."""
+    """Totals over the training tokens, and the most frequent ones (``head``, without the end token) in order."""
 
     total: int
     distinct: int
+    end: int
     head: dict[bytes, int]
-    classes: int = CLASSES
-    width: int = WIDTH
-    own: dict[bytes, int] = field(default_factory=dict)
+    side: int = 0
 
     def __post_init__(self) -> None:
-        names = [w for w in self.head if w != END_TOKEN.encode()][: self.classes * self.width - 2]
-        self.own = {w: k + 2 for k, w in enumerate(names)}
-        self.own[END_TOKEN.encode()] = gru.END
-        self.rest_total = self.total - sum(self.head.get(w, 0) for w in self.own)
-        self.rest_distinct = self.distinct - sum(w in self.head for w in self.own)
+        self.side = self.side or max(LEAST_SIDE, round(2 * self.distinct**0.2))
+        self.place = {w: k for k, w in enumerate(self.head)}
+        self.own_counts = np.fromiter(self.head.values(), np.float64, len(self.head))[: self.side**2 - 2]
+        self.rest_total = self.total - self.end - int(self.own_counts.sum())
+        rest_distinct = self.distinct - (self.end > 0) - len(self.own_counts)
         self.base_log = math.log10(self.total + self.distinct + 1)
-        self.rest_log = math.log10(self.rest_total + self.rest_distinct + 1)
+        self.rest_log = math.log10(self.rest_total + rest_distinct + 1)
 
     def counts(self) -> np.ndarray:
-        found = np.zeros(self.classes * self.width)
-        for w, k in self.own.items():
-            found[k] = self.head.get(w, 0)
-        found[gru.UNKNOWN] = self.rest_total
+        """The training count of each of the network's ids."""
+        found = np.zeros(self.side**2)
+        found[gru.UNKNOWN], found[gru.END] = self.rest_total, self.end
+        found[2 : 2 + len(self.own_counts)] = self.own_counts
         return found
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.own.get
-        return np.array([get(w, gru.UNKNOWN) for w in words] + [gru.END], np.int16)
-
 
 def head_tokens(counts: DataFrame, most: int) -> DataFrame:
-    """The tokens more frequent than all others, at most ``most`` of them; equal counts stay together.
+    """``most`` of the most frequent tokens, or a few less.
 
-    The least count follows from the histogram of counts, which has few rows, so no top list is gathered.
+    The least count follows from the histogram of counts, which has few rows. Of the tokens with the count at which
+    the head ends, those with the lowest hashes are taken, again by a histogram; so no top list is gathered.
     """
     ranks = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("c"))))
-    least = ranks.where(F.col("upto") <= most).agg(F.min("c")).first()[0]
-    return counts.where(F.col("c") >= F.lit(least).cast("long"))
-
-
-def vocabulary(counts: DataFrame, head: int = HEAD, classes: int = CLASSES, width: int = WIDTH) -> Vocabulary:
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = head_tokens(counts, head).unionByName(counts.where(F.col("token") == F.lit(END_TOKEN).cast("binary")))
-    found = {bytes(t): c for t, c in top.collect()}
+    last = ranks.where(F.col("upto") > most).orderBy(F.desc("c")).first()
+    if last is None:
+        return counts
+    buckets = 1 << 16
+    at = F.pmod(F.xxhash64("token"), F.lit(buckets))
+    tied = counts.where(F.col("c") == last["c"]).groupBy(at.alias("at")).agg(F.count("*").alias("n"))
+    upto = tied.withColumn("upto", F.sum("n").over(Window.orderBy("at"))).where(F.col("upto") > most - last["upto"] + last["n"])
+    edge = upto.agg(F.min("at")).first()[0]
+    return counts.where((F.col("c") > last["c"]) | ((F.col("c") == last["c"]) & (at < F.lit(edge))))
+
+
+def vocabulary(counts: DataFrame, head: int = HEAD, side: int = 0) -> Vocabulary:
+    is_end = F.col("token") == F.lit(END_TOKEN).cast("binary")
+    total, distinct, end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0))).first()
+    found = {bytes(t): c for t, c in head_tokens(counts.where(~is_end), head).collect()}
     order = sorted(found, key=lambda t: (-found[t], t))
-    return Vocabulary(total, distinct, {t: found[t] for t in order}, classes, width)
+    return Vocabulary(total, distinct, end, {t: found[t] for t in order}, side)
+
 
+def encoded(docs: DataFrame, sent: Broadcast, parts: int) -> DataFrame:
+    """One row for each of ``docs``: its ids for the network (int16) and what the head says about it.
 
-def replica_ids(docs: DataFrame, sent: Broadcast, replicas: int) -> DataFrame:
-    """replica, doc_id, ids: the network's ids (int16) of every row of ``docs``, dealt to the replicas by hash."""
-    rows = docs.select(F.pmod(F.xxhash64("text", "doc_id"), F.lit(replicas)).cast("int").alias("replica"), "doc_id", "text")
-    schema = rows.drop("text").schema.add("ids", "binary")
+    ``part`` is one of ``parts`` for training documents and null for those held out; ``rare`` has the tokens outside
+    the head with their numbers.
+    """
+    part = F.when(~held_out("doc_id", MOD, REMAINDER), F.pmod(F.xxhash64("text", "doc_id"), F.lit(parts))).cast("int")
+    rows = docs.select(row_id().alias("rid"), "doc_id", part.alias("part"), "text")
+    longs, doubles = ("n_tokens", "head_known", "n_other"), ("own_log", "other_log")
+    schema = rows.drop("text").schema
+    for names, kind in ((longs, "long"), (doubles, "double")):
+        for name in names:
+            schema = schema.add(name, kind)
+    schema = schema.add("ids", "binary").add("rare", ArrayType(StructType().add("token", "binary").add("n", "long")))
+    kinds = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = sent.value
+        get, own, end = voc.place.get, len(voc.own_counts), math.log10(voc.end + 1)
+        logs = np.log10(np.fromiter(voc.head.values(), np.float64, len(voc.head)) + 1)
         for batch in batches:
-            ids = [sent.value.ids(tokens(t)).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], schema.names)
+            stats, sums, ids, rare = [], [], [], []
+            for text in batch.column(3).to_pylist():
+                words = tokens(text)
+                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                mine = at < own
+                mine &= at >= 0
+                head = at[at >= 0]
+                stats.append((len(words) + 1, len(head) + (voc.end > 0), len(words) - int(mine.sum())))
+                sums.append((float(logs[at[mine]].sum()) + end, float(logs[head[head >= own]].sum())))
+                ids.append(np.r_[np.where(mine, at + 2, gru.UNKNOWN), gru.END].astype(np.uint16).tobytes())
+                rare.append([{"token": w, "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*stats, strict=True)), *(pa.array(c, pa.float64()) for c in zip(*sums, strict=True)), pa.array(ids, pa.binary()), pa.array(rare, kinds)],
+                schema.names,
+            )
 
     return rows.mapInArrow(run, schema)
 
@@ -142,102 +177,64 @@ def averaged(parts: DataFrame, count: int) -> DataFrame:
     return parts
 
 
-def train(docs: DataFrame, words: Vocabulary, sent: Broadcast, hidden: int = HIDDEN, embed: int = EMBED, rounds: int = ROUNDS) -> gru.Params:
-    """Parameters after ``rounds`` of averaging over replicas, which together hold every row of ``docs``."""
-    params = gru.initial(words.classes, words.width, hidden, embed, words.counts())
-    if not words.total:
-        return params
-    replicas = max(1, round(words.total / REPLICA_TOKENS))
-    sc = docs.sparkSession.sparkContext
-    rows = materialize(replica_ids(docs, sent, replicas), "gru-ids")
-    for _ in range(rounds):
+def train(rows: DataFrame, words: Vocabulary, replicas: int, hidden: int = HIDDEN, embed: int = EMBED, rounds: int = ROUNDS) -> gru.Params:
+    """Parameters after ``rounds`` of averaging over replicas; the training rows of ``encoded`` are dealt to rounds and replicas."""
+    params = gru.initial(words.side, words.side, hidden, embed, words.counts())
+    sc = rows.sparkSession.sparkContext
+    for k in range(rounds):
         start = sc.broadcast(params)
 
         def replica(df: pd.DataFrame) -> pd.DataFrame:
-            laid = [np.frombuffer(x, np.int16) for x in df.sort_values(["doc_id", "ids"])["ids"]]
-            made = gru.train(start.value, laid, EPOCHS)
-            return pd.DataFrame({"part": [int(df["replica"].iloc[0])], "n": [float(sum(map(len, laid)))], "params": [gru.dump(made)]})
+            laid = [np.frombuffer(x, np.uint16) for x in df.sort_values(["doc_id", "ids"])["ids"]]
+            made = gru.train(start.value, laid)
+            return pd.DataFrame({"part": [int(df["part"].iloc[0]) // rounds], "n": [float(sum(map(len, laid)))], "params": [gru.dump(made)]})
 
-        trained = rows.groupBy("replica").applyInPandas(replica, "part int, n double, params binary")
+        own = rows.where(F.col("part") % rounds == k).select("part", "doc_id", "ids")
+        trained = own.groupBy("part").applyInPandas(replica, "part int, n double, params binary")
         parts = averaged(trained, replicas).collect()
         if parts:
             params = gru.mean([(gru.load(bytes(r["params"])), r["n"]) for r in sorted(parts, key=lambda r: r["part"])])
     return params
 
 
-def rare_sums(rows: DataFrame, counts: DataFrame, words: Broadcast) -> DataFrame:
+def rare_sums(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """rid, rare_log, rare_known: sums over the tokens outside the head that occur in training."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = words.value.head
-        for batch in batches:
-            rid, token, n = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rare = Counter(w for w in tokens(text) if w not in head)
-                rid += [i] * len(rare)
-                token += rare.keys()
-                n += rare.values()
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(token, pa.binary()), pa.array(n, pa.int64())], ["rid", "token", "n"])
-
-    rare = rows.select("rid", "text").mapInArrow(run, "rid long, token binary, n long")
+    rare = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.token", "r.n")
     met = rare.join(counts, "token")
     return met.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"), F.sum("n").alias("rare_known"))
 
 
-def network_sums(rows: DataFrame, words: Broadcast, params: gru.Params) -> DataFrame:
-    """rid, doc_id, n_tokens, and what the head and the network say about each row."""
+def network_sums(rows: DataFrame, params: gru.Params) -> DataFrame:
+    """The rows of ``encoded`` without ids and rare tokens, with ``network``, the log10 likelihood of the ids."""
     net = rows.sparkSession.sparkContext.broadcast(params)
-    names = ("head_known", "n_other")
-    floats = ("own_log", "other_log", "network")
-    schema = rows.select("rid", "doc_id").schema.add("n_tokens", "long")
-    for name in names:
-        schema = schema.add(name, "long")
-    for name in floats:
-        schema = schema.add(name, "double")
+    rows = rows.select(*(c for c in rows.columns if c not in ("part", "ids", "rare")), "ids")
+    schema = rows.drop("ids").schema.add("network", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, own = words.value, words.value.own
-        logs = {w: math.log10(c + 1) for w, c in voc.head.items()}
-        end = logs.get(END_TOKEN.encode(), 0.0)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            laid = [np.frombuffer(x, np.uint16) for x in batch.column(batch.num_columns - 1).to_pylist()]
             at = 0
-            while at < len(texts):
-                began, size, laid, stats = at, 0, [], []
-                while at < len(texts) and (size < CHUNK or at == began):
-                    text = tokens(texts[at])
-                    ids = voc.ids(text)
-                    other = [w for w in text if w not in own]
-                    known = [logs[w] for w in text if w in logs]
-                    rest = [logs[w] for w in other if w in logs]
-                    all_log, rest_log = math.fsum(known) + end, math.fsum(rest)
-                    stats.append((len(ids), len(known) + (end > 0), len(other), all_log - rest_log, rest_log))
-                    laid.append(ids)
-                    size += len(ids)
+            while at < len(laid):
+                began, size = at, 0
+                while at < len(laid) and (size < CHUNK or at == began):
+                    size += len(laid[at])
                     at += 1
-                ll = gru.log_likelihoods(net.value, laid) / math.log(10)
-                cols = list(zip(*stats, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [c.slice(began, at - began) for c in batch.columns[:2]]
-                    + [pa.array(c, pa.int64()) for c in cols[:3]]
-                    + [pa.array(c, pa.float64()) for c in cols[3:]]
-                    + [pa.array(ll)],
-                    schema.names,
-                )
+                ll = gru.log_likelihoods(net.value, laid[began:at]) / math.log(10)
+                yield pa.RecordBatch.from_arrays([*(c.slice(began, at - began) for c in batch.columns[:-1]), pa.array(ll)], schema.names)
 
-    return rows.select("rid", "doc_id", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    rows = docs.select(row_id().alias("rid"), "doc_id", "text")
-    kept = rows.where(~held_out("doc_id", MOD, REMAINDER))
-    counts = materialize(count_tokens(kept), "token-counts")
+    counts = materialize(count_tokens(docs.where(~held_out("doc_id", MOD, REMAINDER))), "token-counts")
     words = vocabulary(counts, head)
     sent = docs.sparkSession.sparkContext.broadcast(words)
-    params = train(kept, words, sent, rounds=rounds)
-    rare = materialize(rare_sums(rows, counts, sent), "rare-sums")
-    met = materialize(network_sums(rows, sent, params), "network-sums").join(rare, "rid", "left")
+    replicas = max(1, round(words.total / rounds / REPLICA_TOKENS))
+    rows = materialize(encoded(docs, sent, rounds * replicas), "encoded-documents")
+    params = train(rows, words, replicas, rounds=rounds)
+    rare = materialize(rare_sums(rows, counts), "rare-sums")
+    met = materialize(network_sums(rows, params), "network-sums").join(rare, "rid", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     other = F.col("other_log") + rare_log
     return met.select(

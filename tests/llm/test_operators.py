@@ -479,22 +479,33 @@ def test_language_model_base_scores_and_gain(docs, rows):
             assert x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 7 == 2) and x["score"] < 0
 
 
-def test_network_is_trained_on_all_training_documents(docs, rows, monkeypatch):
-    seen = {}
+def test_network_is_trained_once_on_every_training_document(docs, rows, monkeypatch):
+    seen, weights = {}, []
 
     def recorded(df, name):
         seen[name] = materialize(df, name)
         return seen[name]
 
-    materialize = lm_scoring.materialize
+    def averages(parts, count):
+        weights.append(parts.groupBy().sum("n").first()[0])
+        return averaged(parts, count)
+
+    materialize, averaged = lm_scoring.materialize, lm_scoring.averaged
     monkeypatch.setattr(lm_scoring, "materialize", recorded)
-    monkeypatch.setattr(lm_scoring, "LEAST_TOKENS", 1, raising=False)  # a least number of tokens would hide a sample here
-    monkeypatch.setattr(lm_scoring, "REPLICA_TOKENS", 40)
-    total = lm_scoring.score(docs, rounds=1).first()["train_tokens"]
-    (name,) = (n for n in seen if n.startswith("gru"))
-    assert sorted(x["doc_id"] for x in seen[name].collect()) == [r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    assert sum(len(x["ids"]) // 2 for x in seen[name].collect()) == total
-    assert seen[name].select("replica").distinct().count() > lm_scoring.AVERAGES
+    monkeypatch.setattr(lm_scoring, "averaged", averages)
+    monkeypatch.setattr(lm_scoring, "REPLICA_TOKENS", 20)
+    total = lm_scoring.score(docs).first()["train_tokens"]
+    dealt = seen["encoded-documents"].where("part is not null")
+    assert sorted(x["doc_id"] for x in dealt.collect()) == [r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    assert sum(len(x["ids"]) // 2 for x in dealt.collect()) == total == sum(weights)
+    assert len(weights) == lm_scoring.ROUNDS and dealt.select("part").distinct().count() > lm_scoring.AVERAGES
+
+
+def test_ties_at_the_end_of_the_head_are_broken(spark):
+    counts = spark.createDataFrame([(b"w%d" % k, 9 if k < 3 else 2) for k in range(500)], "token binary, c long")
+    for most in (2, 3, 100, 499, 500, 900):
+        got = [bytes(r["token"]) for r in lm_scoring.head_tokens(counts, most).collect()]
+        assert len(got) <= most and (most < 3 or {b"w0", b"w1", b"w2"} <= set(got)) and len(got) >= min(500, most) - 2
 
 
 def test_averages_in_levels_are_the_mean_of_all(spark, monkeypatch):
