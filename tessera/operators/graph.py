@@ -131,7 +131,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return alone.unionByName(found)
 
 
-def layers(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def layers(edges: DataFrame) -> DataFrame:
     """node, scc, layer, cyclic: layer 0 depends on nothing outside its component, else one above the highest.
 
     Components are peeled: a component gets its layer in the round in which all it depends on have theirs. A
@@ -143,11 +143,12 @@ def layers(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     b = sccs.select(F.col("node").alias("tgt"), F.col("scc").alias("b"))
     open_edges = materialize(pairs.join(a, "src").join(b, "tgt").where("a <> b").select("a", "b").distinct(), "layer-dag")
     waiting = materialize(sccs.select("scc").distinct(), "layer-waiting")
-    done = None
-    for level in range(max_rounds):
+    done, level = None, 0
+    while True:
         free = materialize(waiting.join(open_edges.select(F.col("a").alias("scc")).distinct(), "scc", "left_anti").withColumn("layer", F.lit(level)), "layer")
         if free.isEmpty():
             break
+        level += 1
         done = free if done is None else done.unionByName(free)
         waiting = materialize(waiting.join(free, "scc", "left_anti"), "layer-waiting")
         open_edges = materialize(open_edges.join(free.select(F.col("scc").alias("b")), "b", "left_anti").select("a", "b"), "layer-dag")

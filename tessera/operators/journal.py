@@ -27,7 +27,7 @@ def expired(rows: DataFrame, in_use: DataFrame, key: str, stamp: str, before: st
 
 def active_first(jobs: DataFrame, active: tuple[str, ...], limit: int) -> DataFrame:
     """Active jobs before others, newest first."""
-    return jobs.orderBy(F.when(F.col("state").isin(*active), 0).otherwise(1), F.desc("updated"), "job_id").limit(limit)
+    return jobs.orderBy(F.when(F.col("state").isin(*active), 0).otherwise(1), F.desc("updated"), "job_id", "seq").limit(limit)
 
 
 def with_offsets(chunks: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def with_offsets(chunks: DataFrame) -> DataFrame:
 def read_range(chunks: DataFrame, cursor: int, max_bytes: int) -> DataFrame:
     """job_id, seq, start, data: the bytes from ``cursor`` on, at most ``max_bytes`` of each log.
 
-    The end never splits a UTF-8 character: continuation bytes at the cut go back to the last leading byte.
+    Neither end splits a UTF-8 character: a start within one moves on to the next leading byte, an end within one
+    goes back to its leading byte. A range within one character is empty.
     """
     placed = with_offsets(chunks)
     end = cursor + max_bytes
@@ -49,8 +50,9 @@ def read_range(chunks: DataFrame, cursor: int, max_bytes: int) -> DataFrame:
     raw = F.hex("data")
     continues = lambda n: F.substring(raw, (2 * n + 1).cast("int"), F.lit(1)).isin("8", "9", "A", "B") & (n < F.col("size"))
     for _ in range(3):
+        skip = F.when((skip > 0) & continues(skip), skip + 1).otherwise(skip)
         take = F.when((take < F.col("size")) & continues(take), take - 1).otherwise(take)
-    part = F.substring(F.col("data"), (skip + 1).cast("int"), (take - skip).cast("int"))
+    part = F.substring(F.col("data"), (skip + 1).cast("int"), F.greatest(F.lit(0), take - skip).cast("int"))
     return hit.select("job_id", "seq", (F.col("start") + skip).alias("start"), part.alias("data")).where(F.octet_length("data") > 0)
 
 

@@ -329,7 +329,7 @@ def expired_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.expired(jobs, used, "job_id", "updated", "2024-01-10").select("seq", "job_id")
 
 
-@query("SELECT event_id AS seq, user_id AS job_id, event_type AS state FROM events ORDER BY CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END, ts DESC, user_id LIMIT 100")
+@query("SELECT event_id AS seq, user_id AS job_id, event_type AS state FROM events ORDER BY CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END, ts DESC, user_id, event_id LIMIT 100")
 def active_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.active_first(s.jobs(spark, sf_dir), ("view", "click"), 100).select("seq", "job_id", "state")
 
@@ -340,7 +340,12 @@ def log_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.with_offsets(s.chunks(spark, sf_dir)).select("job_id", "seq", "size", "start")
 
 
-@query()
+@query(r"""WITH c AS (SELECT conv_id AS job_id, CAST(turn AS BIGINT) AS seq, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS size,
+  CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM conversations),
+b AS (SELECT *, unnest(range(greatest(0, 100 - off), least(size, 1100 - off))) AS i FROM c WHERE off < 1100 AND off + size > 100),
+k AS (SELECT *, max(CASE WHEN substr(h, 2 * i + 1, 1) NOT IN ('8', '9', 'A', 'B') THEN i END) OVER (PARTITION BY job_id, seq ORDER BY i) AS head FROM b),
+w AS (SELECT *, CASE WHEN substr(h, 2 * head + 1, 1) < '8' THEN 1 WHEN substr(h, 2 * head + 1, 1) IN ('C', 'D') THEN 2 WHEN substr(h, 2 * head + 1, 1) = 'E' THEN 3 ELSE 4 END AS width FROM k WHERE head IS NOT NULL)
+SELECT job_id, seq, off + min(i) AS start, decode(unhex(string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i))) AS text FROM w WHERE off + head + width <= 1100 GROUP BY job_id, seq, off""")
 def log_range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.read_range(s.chunks(spark, sf_dir), 100, 1000).select("job_id", "seq", "start", F.decode("data", "UTF-8").alias("text"))
 

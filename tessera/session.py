@@ -26,12 +26,25 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder under /tmp where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Where neither is set, a local master gets a folder of its own under /tmp, which is set for the context; on a
+    cluster the warehouse is shared by definition, unless it is on the driver's own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:///tmp/checkpoints/tessera-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        context.setCheckpointDir(f"file:///tmp/checkpoints/tessera-{uuid.uuid4().hex}")
+        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if "://" not in warehouse:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse.rstrip('/')}/tessera-work"
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
