@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import SPACE_CLASS, row_id
+from tessera.llm.hashing import SPACE_CLASS, numbered, row_id
 from tessera.session import materialize
 
 #: Bytes in a block.
@@ -38,9 +38,9 @@ def normalised(text: F.Column) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", " ")
 
 
-def _blocks(docs: DataFrame, block: int) -> DataFrame:
+def _blocks(docs: DataFrame, block: int, rid: str | None) -> DataFrame:
     """rid, doc_id, n_bytes, sha, pos, block: at least one block for every row."""
-    body = docs.select(row_id().alias("rid"), "doc_id", normalised(F.col("text")).cast("binary").alias("body"))
+    body = docs.select(row_id(rid), "doc_id", normalised(F.col("text")).cast("binary").alias("body"))
     cut = F.transform(
         F.expr(f"sequence(0, cast(greatest(0, octet_length(body) - 1) div {block} as int))"),
         lambda i: F.substring(F.col("body"), i * block + F.lit(1), F.lit(block)),
@@ -53,9 +53,9 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def name_blocks(docs: DataFrame, block: int = BLOCK, digest: Digest = digests) -> DataFrame:
+def name_blocks(docs: DataFrame, block: int = BLOCK, digest: Digest = digests, rid: str | None = None) -> DataFrame:
     """rid, doc_id, n_bytes, sha, pos, name for every block of every row."""
-    cut = _blocks(docs, block)
+    cut = _blocks(docs, block, rid)
     a, b = digest(F.col("block"))
     rows = materialize(cut.select("rid", "doc_id", "n_bytes", F.when(F.col("pos") == 0, F.col("sha")).alias("sha"), "pos", a.alias("a"), b.alias("b")), "block-digests")
     distinct = cut.select(a.alias("a"), b.alias("b"), "block").groupBy("a", "b", "block").agg(F.lit(0).alias("one"))
@@ -68,9 +68,9 @@ def name_blocks(docs: DataFrame, block: int = BLOCK, digest: Digest = digests) -
     return cut.join(whole, "block").select("rid", "doc_id", "n_bytes", first, "pos", "name")
 
 
-def identities(docs: DataFrame, block: int = BLOCK, digest: Digest = digests) -> DataFrame:
+def identities(docs: DataFrame, block: int = BLOCK, digest: Digest = digests, rid: str | None = None) -> DataFrame:
     """rid, doc_id, n_bytes, sha, name: one row for each row of ``docs``; (n_bytes, name) is its identity."""
-    level = materialize(name_blocks(docs, block, digest), "names-0")
+    level = materialize(name_blocks(docs, block, digest, rid), "names-0")
     heads = level.where("pos = 0").select("rid", "doc_id", "n_bytes", "sha")
     done = level.where(F.col("n_bytes") <= block).select("rid", "name")
     size, k = block, 0
@@ -90,9 +90,9 @@ def identities(docs: DataFrame, block: int = BLOCK, digest: Digest = digests) ->
     return heads.join(done, "rid")
 
 
-def exact_groups(docs: DataFrame, block: int = BLOCK, digest: Digest = digests) -> DataFrame:
-    """rid, doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
-    ids = materialize(identities(docs, block, digest), "identities")
+def exact_groups(docs: DataFrame, block: int = BLOCK, digest: Digest = digests, rid: str | None = None) -> DataFrame:
+    """rid, doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``; ``rid`` names a column of numbers that it has."""
+    ids = materialize(identities(docs, block, digest, rid), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     groups = ids.groupBy("n_bytes", "name").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
     several = materialize(groups.where("group_size > 1"), "identity-groups")
@@ -110,10 +110,9 @@ def exact_groups(docs: DataFrame, block: int = BLOCK, digest: Digest = digests)
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The first row of each group of equal texts, with all columns of ``docs``.
 
-    ``docs`` must be a stable relation such as a table: its rows are numbered twice. Only the numbers of the
-    rows to drop are compared with the texts.
+    Rows are numbered in a written table. Only the numbers of the rows to drop are compared with the texts.
     """
-    gone = exact_groups(docs, block).where("not kept").select(F.col("rid").alias("_gone"))
     own = docs.columns
-    rows = docs.select(row_id().alias("_rid"), F.struct(*own).alias("row"))
-    return rows.join(gone, rows["_rid"] == gone["_gone"], "left_anti").select(*(F.col("row")[c].alias(c) for c in own))
+    rows = numbered(docs, F.struct(*own).alias("row"))
+    gone = exact_groups(rows.select("rid", "row.doc_id", "row.text"), block, rid="rid").where("not kept").select("rid")
+    return rows.join(gone, "rid", "left_anti").select(*(F.col("row")[c].alias(c) for c in own))

@@ -7,8 +7,12 @@ others meet the count table in a join. A deletion lowers counts, finds a new own
 takes keys without references out of the filters, so deleting what was inserted restores the former state. An
 insertion that outgrows the shards deals the keys to more of them first.
 
+``dedup_lines`` inserts the documents in ``BATCHES`` batches, dealt by hash, so from the second on the filters
+decide which keys are joined.
+
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with A-Z lower-cased; the tables hold
-its SHA-256. Keys shorter than ``MIN_CHARS`` code points are not indexed. Counts combine before the shuffle, so
+128 bits of its SHA-256. Whether a row loses a key depends on its doc_id alone, so rows find their losses by doc_id
+and a hash of their text, whatever rows share that hash. Keys shorter than ``MIN_CHARS`` code points are not indexed. Counts combine before the shuffle, so
 a line that a third of all documents hold costs one row for each task.
 
 Null or empty text is one empty line. Rows that repeat a doc_id belong to one document, and so do all rows
@@ -29,27 +33,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, StructField, StructType
 
 from tessera.llm.cuckoo import CuckooFilter, build
-from tessera.llm.hashing import row_id
 from tessera.session import materialize
 
 MIN_CHARS = 10
 #: Keys that one shard, and so one filter, is sized for.
 SHARD_KEYS = 200_000
+BATCHES = 2
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
-    """The key's SHA-256, or None for a line that is too short to be indexed."""
+    """128 bits of the key's SHA-256, or None for a line that is too short to be indexed."""
     key = line.strip(_STRIP).lower()
     if len(key) < min_chars or not (key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= min_chars):
         return None
-    return hashlib.sha256(key).digest()
+    return hashlib.sha256(key).digest()[:16]
 
 
 def document_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """rid, doc_id, key: the distinct keys of every row."""
-    rows = docs.select(row_id().alias("rid"), "doc_id", "text")
-    schema = rows.select("rid", "doc_id").schema.add("keys", ArrayType(BinaryType()))
+    """doc_id, th (a hash of the text), key: the distinct keys of every row."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    schema = rows.select("doc_id", "th").schema.add("keys", ArrayType(BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,9 +61,9 @@ def document_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 list(dict.fromkeys(k for line in set((t or "").encode("utf-8", "surrogatepass").split(b"\n")) if (k := line_key(line, min_chars))))
                 for t in batch.column(2).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.binary()))], ["rid", "doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.binary()))], ["doc_id", "th", "keys"])
 
-    return rows.mapInArrow(run, schema).select("rid", "doc_id", F.explode("keys").alias("key"))
+    return rows.mapInArrow(run, schema).select("doc_id", "th", F.explode("keys").alias("key"))
 
 
 def _hash64(keys: pd.Series) -> np.ndarray:
@@ -83,7 +87,10 @@ def _merged() -> list[F.Column]:
 
 @dataclass(frozen=True)
 class LineIndex:
-    """The state after some insertions and deletions; every operation returns a new state."""
+    """The state after some insertions and deletions; every operation returns a new state.
+
+    ``refs`` is the union of what insertions have written, until a deletion writes it anew.
+    """
 
     refs: DataFrame
     counts: DataFrame
@@ -93,10 +100,10 @@ class LineIndex:
     shard_keys: int = SHARD_KEYS
 
     @staticmethod
-    def create(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineIndex:
-        """Insert all of ``docs`` into an empty index, whose number of shards follows from their keys."""
+    def create(docs: DataFrame, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, room: int = 1) -> LineIndex:
+        """Insert all of ``docs`` into an empty index, whose number of shards suffices for ``room`` times their keys."""
         refs = materialize(document_keys(docs, min_chars), "line-refs")
-        shards = max(1, -(-refs.count() // shard_keys))
+        shards = max(1, -(-refs.count() * room // shard_keys))
         counts = materialize(_counted(refs, shards), "line-counts")
         return LineIndex(refs, counts, LineIndex._filters(counts), shards, min_chars, shard_keys)
 
@@ -134,7 +141,7 @@ class LineIndex:
         return changes.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
 
     def _next(self, refs: DataFrame, counts: DataFrame, changes: DataFrame) -> LineIndex:
-        refs, counts = materialize(refs, "line-refs"), materialize(counts, "line-counts")
+        counts = materialize(counts, "line-counts")
         filters = materialize(self._updated_filters(changes), "line-filters")
         full = filters.where("filter is null").select("shard")
         if not full.isEmpty():
@@ -180,15 +187,25 @@ class LineIndex:
         return self.counts.where(many).select("key", F.col("lo").alias("owner"))
 
     def losses(self) -> DataFrame:
-        """rid, keys: the keys each row loses because another document owns them."""
+        """doc_id, th, keys: the keys each row loses because another document owns them."""
         lost = self.refs.join(self.shared(), "key").where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-        return lost.groupBy("rid").agg(F.collect_list("key").alias("keys"))
+        return lost.groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
+
+
+def index_of(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, shard_keys: int = SHARD_KEYS) -> LineIndex:
+    """An index of all of ``docs``, inserted in ``batches`` batches."""
+    batch = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(batches))
+    index = LineIndex.create(docs.where(batch == 0), min_chars, shard_keys, room=batches)
+    for k in range(1, batches):
+        index = index.insert(docs.where(batch == k))
+    return index
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """rid, doc_id, n_lines, n_dropped and the remaining text of every row of ``docs``."""
-    index = LineIndex.create(docs, min_chars)
-    rows = docs.select(row_id().alias("rid"), "doc_id", "text").join(index.losses(), "rid", "left")
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the remaining text of every row of ``docs``."""
+    losses = index_of(docs, min_chars, batches).losses().withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = rows.join(losses, (rows["th"] == losses["_th"]) & rows["doc_id"].eqNullSafe(losses["_id"]), "left")
     schema = docs.select("doc_id").schema.add("n_lines", "long").add("n_dropped", "long").add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

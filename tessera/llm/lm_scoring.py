@@ -130,7 +130,7 @@ def encoded(docs: DataFrame, sent: Broadcast, parts: int) -> DataFrame:
     the head with their numbers.
     """
     part = F.when(~held_out("doc_id", MOD, REMAINDER), F.pmod(F.xxhash64("text", "doc_id"), F.lit(parts))).cast("int")
-    rows = docs.select(row_id().alias("rid"), "doc_id", part.alias("part"), "text")
+    rows = docs.select(row_id(), "doc_id", part.alias("part"), "text")
     longs, doubles = ("n_tokens", "head_known", "n_other"), ("own_log", "other_log")
     schema = rows.drop("text").schema
     for names, kind in ((longs, "long"), (doubles, "double")):

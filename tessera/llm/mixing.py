@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tessera.llm.hashing import row_id
+from tessera.llm.hashing import numbered, row_id
 from tessera.session import materialize, maybe_broadcast
 
 WEIGHTS = (1, 2, 3)
@@ -38,9 +38,9 @@ def quality_weight(words: list[bytes]) -> float:
     return 0.25 + 0.75 * (len(set(words)) / len(words)) if words else 1.0
 
 
-def drawn(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def drawn(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, rid: str | None = None) -> DataFrame:
     """rid, doc_id, source, size, key, bucket for every row."""
-    rows = docs.select(row_id().alias("rid"), "doc_id", "source", "text")
+    rows = docs.select(row_id(rid), "doc_id", "source", "text")
     schema = rows.drop("text").schema.add("size", "long").add("key", "double").add("bucket", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +97,12 @@ def budgets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     return materialize(plan.join(ends, plan["source"].eqNullSafe(ends["_source"]), "left").drop("_source", "rest"), "mix-budgets")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REPEATS, seed: int = SEED, rid: str | None = None) -> DataFrame:
     """rid, doc_id, source, size, source_size, target, epochs, part and taken for every row.
 
     A row is taken ``epochs`` times whole, and then its first ``part`` words.
     """
-    rows = materialize(drawn(docs, seed), "mix-keys")
+    rows = materialize(drawn(docs, seed, rid=rid), "mix-keys")
     plan = budgets(rows, weights, most)
     named = maybe_broadcast(plan.withColumnRenamed("source", "_source"), plan.count())
     met = rows.join(named, rows["source"].eqNullSafe(named["_source"]))
@@ -119,10 +119,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     A cut text has its white space folded to single spaces, and n_chars (if present) set anew.
     """
-    taken = mix(docs, weights, most, seed).where("taken > 0").select("rid", "size", "epochs", "part")
     own = docs.columns
-    rows = docs.select(row_id().alias("_rid"), F.struct(*own).alias("row"))
-    met = rows.join(taken, rows["_rid"] == taken["rid"])
+    rows = numbered(docs, F.struct(*own).alias("row"))
+    taken = mix(rows.select("rid", "row.doc_id", "row.source", "row.text"), weights, most, seed, rid="rid").where("taken > 0").select("rid", "size", "epochs", "part")
+    met = rows.join(taken, "rid")
     met = met.select("row", "size", F.explode(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))).alias("words"))
     text = F.col("row")["text"]
     cut = F.array_join(F.slice(F.split(F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+"), F.lit(1), F.col("words").cast("int")), " ")

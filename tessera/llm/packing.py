@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, closing_i
     """rid, doc_id, start, length, ids_crc32, doc_tokens for every piece of every row."""
     if sequence & (sequence - 1):
         raise ValueError("the length of a sequence must be a power of two")
-    rows = docs.select(row_id().alias("rid"), "doc_id", "text")
+    rows = docs.select(row_id(), "doc_id", "text")
     schema = rows.drop("text").schema
     for name in ("start", "length", "ids_crc32", "doc_tokens"):
         schema = schema.add(name, "long")

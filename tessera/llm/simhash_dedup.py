@@ -1,8 +1,10 @@
 """SimHash near-duplicates found with sharded BK-trees.
 
-A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles. Two fingerprints that
-differ in at most ``RADIUS`` bits agree exactly on at least one of ``RADIUS + 1`` bands of bits, so a shard
-holds all fingerprints with one band value, and no link leaves every shard. Each shard is a BK-tree: children
+A fingerprint is the bitwise majority of the XXH64 values of a text's word shingles. Its bits are cut into
+``RADIUS + spare`` blocks. Two fingerprints that differ in at most ``RADIUS`` bits agree exactly on at least
+``spare`` of them, so each choice of ``spare`` blocks is a key, a shard holds all fingerprints with one value of a
+key, and no link leaves every shard. ``spare`` grows with the logarithm of the number of fingerprints, so chance
+meetings in a shard stay few and the work grows little faster than the corpus. Each shard is a BK-tree: children
 hang at their integer Hamming distance from the parent, and a search follows only the edges whose distance lies
 within the radius of the query's own distance. A shard of more than ``TREE`` fingerprints is cut into trees of
 that size, and every pair of trees of the shard is one task's work, so no task holds a whole hot shard.
@@ -18,6 +20,7 @@ empty table gives an empty result; extra columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import row_id
+from tessera.llm.hashing import numbered, row_id
 from tessera.session import materialize
 
 RADIUS = 4
@@ -34,6 +37,8 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints in one tree.
 TREE = 2048
+#: Fingerprints that may meet in a shard by chance, on average.
+MEAN = 16
 _SLICE = 1 << 15
 
 
@@ -54,9 +59,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return sum(1 << b for b in np.flatnonzero(counts * 2 > n).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, rid: str | None = None) -> DataFrame:
     """rid, doc_id, fp (the 64 bits as a signed long) for every row."""
-    rows = docs.select(row_id().alias("rid"), "doc_id", "text")
+    rows = docs.select(row_id(rid), "doc_id", "text")
     schema = rows.select("rid", "doc_id").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,16 +139,21 @@ def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[
     return out
 
 
-def _bands(radius: int) -> list[tuple[int, int]]:
-    edges = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
-    return list(zip(edges[:-1], edges[1:], strict=True))
+def spare_blocks(n: int, radius: int, mean: int = MEAN) -> int:
+    """The fewest blocks in a key with which ``n`` random fingerprints meet ``mean`` others or less in a shard."""
+    return next(s for s in range(1, 64) if s == 60 - radius or mean * 2.0 ** (64 * s / (radius + s)) >= n)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
+def key_masks(radius: int, spare: int) -> list[int]:
+    """One mask of bits (a signed long) for each choice of ``spare`` of ``radius + spare`` blocks."""
+    edges = np.linspace(0, 64, radius + spare + 1).round().astype(int).tolist()
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return [int(np.array(sum(chosen), np.uint64).view(np.int64)) for chosen in combinations(blocks, spare)]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tree: int = TREE, spare: int = 1) -> DataFrame:
     """(a, b): links between distinct fingerprints, a spanning forest for each tree or pair of trees."""
-    cells = F.array(
-        *(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for k, (lo, hi) in enumerate(_bands(radius)))
-    )
+    cells = F.array(*(F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for k, mask in enumerate(key_masks(radius, spare))))
     rows = fps.select("fp", F.explode(cells).alias("c")).select("fp", "c.band", "c.value")
     sizes = rows.groupBy("band", "value").count().where("count > 1").withColumn("trees", F.ceil(F.col("count") / tree).cast("int"))
     placed = rows.join(sizes.select("band", "value", "trees"), ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
@@ -184,7 +194,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star contractions; every round is written before the next one reads it.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r")).where("v <> r").distinct(), "stars-0")
-    state = None
     for k in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("r").alias("v"), F.col("v").alias("r")))
         low = both.groupBy("v").agg(F.least(F.min("r"), F.col("v")).alias("m"))
@@ -192,25 +201,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, f"large-{k}")
         low = large.groupBy("v").agg(F.min("r").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("r")), F.struct(F.col("r").alias("v"), F.col("m").alias("r")))).alias("e"))
-        now = materialize(small.select("e.v", "e.r").where("v <> r").distinct(), f"stars-{k}")
-        seen = now.agg(F.count("*"), F.sum(F.hash("v", "r").cast("long"))).first()
-        if tuple(seen) == state:
+        before, now = now, materialize(small.select("e.v", "e.r").where("v <> r").distinct(), f"stars-{k}")
+        if now.count() == before.count() and now.join(before, ["v", "r"], "left_anti").isEmpty():
             break
-        state = tuple(seen)
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return now.select(F.col("v").alias("node"), F.col("r").alias("root")).unionByName(now.select(F.col("r").alias("node"), F.col("r").alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE, rid: str | None = None) -> DataFrame:
     """rid, doc_id, fp, component_id, first_rid for every row of ``docs``.
 
     component_id is the smallest doc_id of the component, first_rid the row that carries it.
     """
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
+    rows = materialize(fingerprints(docs, shingle, rid), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
     distinct = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), radius, tree))
+    spare = spare_blocks(distinct.count(), radius)
+    found = components(links(distinct.select("fp"), radius, tree, spare))
     rooted = materialize(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
     named = rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.rid").alias("first_rid"))
@@ -219,7 +227,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, t
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each near-duplicate component, the one with the smallest doc_id, with all columns."""
-    gone = near_groups(docs, radius, shingle).where("rid <> first_rid").select(F.col("rid").alias("_gone"))
     own = docs.columns
-    rows = docs.select(row_id().alias("_rid"), F.struct(*own).alias("row"))
-    return rows.join(gone, rows["_rid"] == gone["_gone"], "left_anti").select(*(F.col("row")[c].alias(c) for c in own))
+    rows = numbered(docs, F.struct(*own).alias("row"))
+    found = near_groups(rows.select("rid", "row.doc_id", "row.text"), radius, shingle, rid="rid")
+    gone = found.where("rid <> first_rid").select("rid")
+    return rows.join(gone, "rid", "left_anti").select(*(F.col("row")[c].alias(c) for c in own))

@@ -13,7 +13,7 @@ too large are cut into cells of half the size, until the core is the string itse
 
 Windows are told apart by the 128 bits of two hashes; within a shard bytes are compared. Copies of a window are
 collapsed within each batch before the shuffle, so a passage of a third of all documents is one row for each
-batch. Texts are shuffled once, compressed.
+batch. Texts are compressed, numbered and written once; all else is derived from that table.
 
 Null text is empty; texts shorter than the length lose nothing. Rows that repeat a doc_id are texts of their
 own. Bytes that are left need not be valid UTF-8, so results carry them as binary. An empty table gives an
@@ -43,7 +43,7 @@ LENGTH = 400
 SHARD_BYTES = 2 << 20
 
 
-def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """h, w, rid, s, e, n: anchor hash, window hash, row, first and last start, occurrences in the row.
 
     A window that the same row holds more than once is given once with its count, and once more with a null
@@ -51,12 +51,12 @@ def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest, grow = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             sure: list[tuple[int, int, int]] = []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
+            for rid, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = grow(z)
                 h, s, e = anchors(data, length)
                 if not len(h):
                     continue
@@ -81,7 +81,7 @@ def windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, flat)), ["h", "w", "rid", "s", "e", "n"])
 
-    return docs.select(row_id().alias("rid"), "text").mapInArrow(run, "h long, w long, rid long, s long, e long, n long")
+    return texts.select("rid", "z").mapInArrow(run, "h long, w long, rid long, s long, e long, n long")
 
 
 def collapsed(found: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -107,9 +107,9 @@ def collapsed(found: DataFrame, length: int = LENGTH) -> DataFrame:
     return one.select("*", F.count("*").over(same).alias("kinds"), size.alias("size")).where("n > 1 or kinds > 1").select("h", "w", "n", "place.*", "kinds", "size")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, z: texts compressed for the shuffle."""
-    rows = docs.select(row_id().alias("rid"), "doc_id", "text")
+def packed(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, z: numbered rows with their texts compressed, written once."""
+    rows = docs.select(row_id(), "doc_id", "text")
     schema = rows.drop("text").schema.add("z", BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             z = [shrink((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(z, pa.binary())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return materialize(rows.mapInArrow(run, schema), "string-texts")
 
 
 def _cut_windows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -189,10 +189,9 @@ def _sorted_shards(cut: DataFrame, length: int, limit: int, shard_bytes: int) ->
     return dealt.select("h", "rid", "s", "n", "body").mapInArrow(run, "rid long, s long, e long")
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, limit: int = QUEUE_BYTES, shard_bytes: int = SHARD_BYTES, texts: DataFrame | None = None) -> DataFrame:
-    """rid, s, e: runs of starts whose strings of ``length`` bytes also start elsewhere."""
-    texts = texts if texts is not None else _packed(docs)
-    found = materialize(windows(docs, length), "string-windows")
+def repeated_starts(texts: DataFrame, length: int = LENGTH, limit: int = QUEUE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """rid, s, e: runs of starts in ``texts`` (of ``packed``) whose strings of ``length`` bytes also start elsewhere."""
+    found = materialize(windows(texts, length), "string-windows")
     starts, small = found.where("h is null").select("rid", "s", "e"), None
     cell = length - length // 2 + 1
     while True:
@@ -211,8 +210,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, limit: int = QUEUE_BY
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, limit: int = QUEUE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (from, to) and the bytes kept of every row of ``docs``."""
-    texts = _packed(docs).repartition("rid")
-    starts = repeated_starts(docs, length, limit, shard_bytes, texts)
+    texts = packed(docs)
+    starts = repeated_starts(texts, length, limit, shard_bytes)
     spans = starts.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("starts"))
     met = texts.join(spans, "rid", "left").select("doc_id", "z", "starts")
     schema = docs.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("spans", ArrayType(ArrayType(LongType()))).add("kept", BinaryType())

@@ -19,7 +19,7 @@ import tempfile
 import numpy as np
 
 #: Bytes of queued tuples in memory before queues go to disk.
-QUEUE_BYTES = 256 << 20
+QUEUE_BYTES = 4 << 20
 
 
 class ByteQueues:

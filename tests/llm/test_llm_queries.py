@@ -1,4 +1,12 @@
+import collections
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pandas as pd
 import pytest
+import xxhash
 from conftest import SMALL
 from oracle import assert_same, connect
 
@@ -10,6 +18,127 @@ def test_query_matches_sql(spark, name):
     assert_same(spark, connect(SMALL), QUERIES[name], ORACLE_SQL[name], SMALL)
 
 
+@pytest.fixture(scope="module")
+def texts():
+    rows = pd.read_parquet(f"{SMALL}/documents.parquet")
+    return dict(zip(rows["doc_id"].tolist(), rows["text"].tolist(), strict=True))
+
+
+def result(spark, name):
+    rows = QUERIES[name](spark, SMALL).toPandas()
+    return rows, {r["doc_id"]: r for r in rows.to_dict("records")}
+
+
+def raw(text):
+    return (text or "").encode()
+
+
+def test_op2_gives_fingerprints_and_components(spark, texts):
+    from test_operators import brute_components, brute_fingerprint
+
+    rows, got = result(spark, "op2_simhash_dedup")
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    want = brute_components(fps, 4)
+    assert len(rows) == len(texts)
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{fps[i]:016x}", want[i]) for i in texts}
+
+
+def test_op3_gives_what_is_left_of_every_text(spark, texts):
+    cut = lambda b: [xxhash.xxh3_128_digest(b[k : k + 400]) for k in range(len(b) - 399)]
+    count = collections.Counter(d for t in texts.values() for d in cut(raw(t)))
+    rows, got = result(spark, "op3_substring_dedup")
+    assert len(rows) == len(texts) and sum(r["n_removed"] for r in got.values()) > 0
+    for i, t in texts.items():
+        data, edge = raw(t), np.zeros(len(raw(t)) + 1, int)
+        for k, d in enumerate(cut(data)):
+            if count[d] > 1:
+                edge[k] += 1
+                edge[k + 400] -= 1
+        gone = np.cumsum(edge)[: len(data)] > 0
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        kept = hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(data), int(gone.sum()), spans, kept)
+
+
+def test_op5_counts_and_gains_on_held_out_texts(spark, texts):
+    tok = lambda t: [*raw(t).lower().split(), b""]
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts = collections.Counter(w for i, t in texts.items() if not out[i] for w in tok(t))
+    n, v = sum(counts.values()), len(counts)
+    rows, got = result(spark, "op5_lm_scoring")
+    assert len(rows) == len(texts)
+    for i, t in texts.items():
+        r, words = got[i], tok(t)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(words), sum(counts[w] > 0 for w in words), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
+    assert sum(r["score"] - r["base_score"] for i, r in got.items() if out[i]) > 0
+
+
+def test_op6_meets_its_targets(spark, texts):
+    rows, got = result(spark, "op6_source_mixing")
+    sizes = {i: len(raw(t).split()) for i, t in texts.items()}
+    assert {i: r["size"] for i, r in got.items()} == sizes and (rows["taken"] <= 3 * rows["size"]).all()
+    docs = pd.read_parquet(f"{SMALL}/documents.parquet")
+    rows = rows.merge(docs[["doc_id", "source"]], on="doc_id")
+    per = rows.groupby("source").agg(size=("size", "sum"), known=("source_size", "first"), target=("target", "first"), taken=("taken", "sum")).sort_index()
+    assert (per["size"] == per["known"]).all() and (per["taken"] - per["target"]).abs().max() <= 1
+    weight, goal, fixed = {s: 1.0 + k % 3 for k, s in enumerate(per.index)}, {}, set()
+    while True:
+        left = per["size"].sum() - sum(3 * per["size"][s] for s in fixed)
+        goal = {s: 3 * per["size"][s] if s in fixed else left * weight[s] / sum(w for x, w in weight.items() if x not in fixed) for s in per.index}
+        over = {s for s in per.index if goal[s] > 3 * per["size"][s] + 1e-6}
+        if not over:
+            break
+        fixed |= over
+    assert per["target"].to_dict() == pytest.approx(goal)
+    again = result(spark, "op6_source_mixing")[1]
+    assert {i: r["taken"] for i, r in again.items()} == {i: r["taken"] for i, r in got.items()}
+
+
+def test_op7_puts_every_id_into_one_place(spark, texts):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(str(vocabulary_path()))
+    rows, _ = result(spark, "op7_packing")
+    pieces = {i: df.sort_values("start") for i, df in rows.groupby("doc_id")}
+    assert set(pieces) == set(texts)
+    for i, t in texts.items():
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in pieces[i].itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and p.length > 0
+            assert p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    for _, df in rows.groupby("sequence_id"):
+        df = df.sort_values("offset")
+        assert df["offset"].tolist() == [0, *df["length"].cumsum().tolist()[:-1]] and df["length"].sum() <= 2048
+    assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 2048) * 1.02 + 1
+
+
+def test_op9_counts_like_brute_force(spark, texts):
+    from test_operators import brute_stats
+
+    rows, got = result(spark, "op9_quality_rules")
+    assert len(rows) == len(texts)
+    for i, t in texts.items():
+        r, want = got[i], brute_stats(t)
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == tuple(want)
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["kept"] and r["base_failed"])
+
+
+@pytest.mark.parametrize(("name", "threshold"), [("op1_toxicity", 0.7), ("op8_quality_classifier", 0.5)])
+def test_classifiers_score_every_text(spark, texts, name, threshold):
+    rows, got = result(spark, name)
+    assert set(got) == set(texts) and len(rows) == len(texts)
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= threshold)
+    y = pd.read_parquet(f"{SMALL}/labels.parquet").set_index("doc_id")["toxic" if "tox" in name else "quality"].dropna()
+    of = lambda k: [got[i]["score"] for i, v in y.items() if v == k and i in got]
+    assert np.mean([a > b for a in of(1) for b in of(0)]) > 0.75
+
+
 def test_vocabulary_is_read_where_it_is_installed():
     assert vocabulary_path().endswith(VOCABULARY)
 

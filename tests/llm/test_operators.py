@@ -135,12 +135,23 @@ def test_bk_tree_and_components_on_random_fingerprints(spark):
         assert sorted(tree.within(f, 4)) == [k for k, g in fps.items() if (f ^ g).bit_count() <= 4]
     signed = {f: f - (1 << 64) if f >> 63 else f for f in fps.values()}
     df = spark.createDataFrame([(signed[f],) for f in set(fps.values())], "fp long")
-    got = {x["node"]: x["root"] for x in simhash_dedup.components(simhash_dedup.links(df, tree=16)).collect()}
     want = brute_components(fps, 4)
-    for i in fps:
-        for j in fps:
-            a, b = signed[fps[i]], signed[fps[j]]
-            assert (want[i] == want[j]) == (got.get(a, a) == got.get(b, b))
+    for spare in (1, 3):
+        got = {x["node"]: x["root"] for x in simhash_dedup.components(simhash_dedup.links(df, tree=16, spare=spare)).collect()}
+        for i in fps:
+            for j in fps:
+                a, b = signed[fps[i]], signed[fps[j]]
+                assert (want[i] == want[j]) == (got.get(a, a) == got.get(b, b))
+
+
+def test_block_keys_leave_no_pair_within_the_radius_apart():
+    assert [simhash_dedup.spare_blocks(n, 4) for n in (0, 100_000, 200_000, 10**7, 10**10)] == [1, 1, 2, 2, 4]
+    r = random.Random(2)
+    for spare in (1, 2, 3):
+        masks = simhash_dedup.key_masks(4, spare)
+        for _ in range(300):
+            change = sum({1 << b: None for b in r.sample(range(64), 4)})
+            assert any(change & mask == 0 for mask in masks)
 
 
 def brute_removed(texts, length):
