@@ -137,14 +137,13 @@ def encoded(docs: DataFrame, sent: Broadcast, parts: int) -> DataFrame:
         for name in names:
             schema = schema.add(name, kind)
     schema = schema.add("ids", "binary").add("rare", ArrayType(StructType().add("token", "binary").add("n", "long")))
-    kinds = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = sent.value
         get, own, end = voc.place.get, len(voc.own_counts), math.log10(voc.end + 1)
         logs = np.log10(np.fromiter(voc.head.values(), np.float64, len(voc.head)) + 1)
         for batch in batches:
-            stats, sums, ids, rare = [], [], [], []
+            stats, sums, ids, rare, times, edges = [], [], [], [], [], [0]
             for text in batch.column(3).to_pylist():
                 words = tokens(text)
                 at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
@@ -154,9 +153,13 @@ def encoded(docs: DataFrame, sent: Broadcast, parts: int) -> DataFrame:
                 stats.append((len(words) + 1, len(head) + (voc.end > 0), len(words) - int(mine.sum())))
                 sums.append((float(logs[at[mine]].sum()) + end, float(logs[head[head >= own]].sum())))
                 ids.append(np.r_[np.where(mine, at + 2, gru.UNKNOWN), gru.END].astype(np.uint16).tobytes())
-                rare.append([{"token": w, "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(at < 0).tolist()).items()])
+                found = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
+                rare += found.keys()
+                times += found.values()
+                edges.append(len(rare))
+            other = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["token", "n"])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*stats, strict=True)), *(pa.array(c, pa.float64()) for c in zip(*sums, strict=True)), pa.array(ids, pa.binary()), pa.array(rare, kinds)],
+                [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*stats, strict=True)), *(pa.array(c, pa.float64()) for c in zip(*sums, strict=True)), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), other)],
                 schema.names,
             )
 
