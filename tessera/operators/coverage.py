@@ -35,14 +35,20 @@ def interleaved_sample(files: DataFrame, indexed: DataFrame, limit: int = 12) ->
     return ranked.orderBy("turn", place).limit(limit)
 
 
-def inventory_digest(files: DataFrame, buckets: int = 256) -> DataFrame:
-    """One digest over (path, sha256) of all files.
+def multiset_digest(rows: DataFrame, item: Column) -> DataFrame:
+    """One digest over the texts ``item`` of all rows, whatever their order.
 
-    Files are hashed within buckets of their path's hash first, so no task holds the whole listing.
+    The SHA-256 of each item is cut into four numbers, which are summed; so each task sends one row, however many
+    rows there are, and repeated rows count.
     """
-    item = F.concat_ws("\0", "path", "sha256")
-    per = files.groupBy(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(item))), 256).alias("d"))
-    return per.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"])), 256).alias("digest"))
+    hashed = rows.select(F.sha2(item, 256).alias("d"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("d", 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return hashed.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *parts), 256).alias("digest"))
+
+
+def inventory_digest(files: DataFrame) -> DataFrame:
+    """One digest over (path, sha256) of all files."""
+    return multiset_digest(files, F.concat_ws("\0", "path", "sha256"))
 
 
 def diagnostic_summary(rows: DataFrame) -> DataFrame:

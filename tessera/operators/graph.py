@@ -55,28 +55,49 @@ def chains(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH, most: int = 10) -> DataFrame:
-    """source, target, length, path: all shortest paths of each pair (source, target), the first ``most`` in order.
-
-    Walks go forward from all sources at once; a path ends at its pair's target or is dropped at the depth, and
-    only nodes on a shortest path to some target survive the backward pass.
-    """
+    """source, target, length, path: all shortest paths of each pair (source, target), the first ``most`` in order."""
     pairs = materialize(pairs.select("source", "target").distinct(), "pairs")
     reach = distances(edges, pairs.select(F.col("source").alias("node")), depth)
     ends = pairs.join(reach.select(F.col("seed").alias("source"), F.col("node").alias("target"), "distance"), ["source", "target"])
-    layers = materialize(reach, "path-layers")
+    return _paths_back(edges, materialize(reach, "path-layers"), ends, depth, most)
+
+
+def shortest_paths_from(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, most: int = 10) -> DataFrame:
+    """``shortest_paths`` of every seed (node) to every node within ``depth`` steps, itself included."""
+    reach = materialize(distances(edges, seeds, depth), "path-layers")
+    return _paths_back(edges, reach, reach.select(F.col("seed").alias("source"), F.col("node").alias("target"), "distance"), depth, most)
+
+
+def _paths_back(edges: DataFrame, layers: DataFrame, ends: DataFrame, depth: int, most: int) -> DataFrame:
+    """Shortest paths from ``ends`` (source, target, distance) back through ``layers`` (seed, node, distance).
+
+    First the nodes on a shortest path of each pair are marked, backwards from its target. Then paths grow forwards
+    along marked nodes. Every marked node leads on to the target, and the order of paths is that of their beginnings,
+    so keeping the first ``most`` beginnings of a pair loses none of its first ``most`` paths.
+    """
     steps = materialize(edges.select("src", "tgt").distinct(), "path-steps")
-    at = ends.select("source", "target", F.col("distance").alias("length"), F.col("distance").alias("left"), F.array("target").alias("path"))
-    done = at.where("left = 0")
+    known = layers.select(F.col("seed").alias("source"), F.col("node").alias("src"), "distance")
+    pairs = ends.select("source", "target", F.col("distance").alias("length"))
+    at = ends.select("source", "target", F.col("target").alias("node"), "distance")
+    marked = [materialize(at, "path-marks")]
     for _ in range(depth):
-        now = at.where("left > 0").withColumn("head", F.col("path")[0])
-        back = now.join(steps, now["head"] == steps["tgt"]).drop("tgt", "head")
-        known = layers.select(F.col("seed").alias("source"), F.col("node").alias("src"), "distance")
-        at = back.join(known, ["source", "src"]).where(F.col("distance") == F.col("left") - 1)
-        at = at.select("source", "target", "length", (F.col("left") - 1).alias("left"), F.concat(F.array("src"), "path").alias("path"))
+        back = marked[-1].where("distance > 0").select("source", "target", F.col("node").alias("tgt"), (F.col("distance") - 1).alias("distance"))
+        now = back.join(steps, "tgt").join(known, ["source", "src", "distance"]).select("source", "target", F.col("src").alias("node"), "distance").distinct()
+        marked.append(materialize(now, "path-marks"))
+    on = marked[0]
+    for more in marked[1:]:
+        on = on.unionByName(more)
+    on = on.select("source", "target", F.col("node").alias("tgt"), F.col("distance").alias("at"))
+    paths = pairs.select("source", "target", "length", F.array("source").alias("path"))
+    done = paths.where("length = 0")
+    for level in range(1, depth + 1):
+        grown = paths.where(F.col("length") >= level).withColumn("src", F.element_at("path", -1)).join(steps, "src")
+        grown = grown.join(on.where(F.col("at") == level), ["source", "target", "tgt"]).withColumn("path", F.concat("path", F.array("tgt")))
         place = F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))
-        at = materialize(at.withColumn("place", place).where(F.col("place") <= most).drop("place"), "paths")
-        done = done.unionByName(at.where("left = 0"))
-    return done.drop("left")
+        ranked = grown.withColumn("place", place).where(F.col("place") <= most)
+        paths = materialize(ranked.select("source", "target", "length", "path"), "paths")
+        done = done.unionByName(paths.where(F.col("length") == level))
+    return done
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:

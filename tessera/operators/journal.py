@@ -25,6 +25,20 @@ def expired(rows: DataFrame, in_use: DataFrame, key: str, stamp: str, before: st
     return rows.where(F.col(stamp) < F.lit(before).cast("timestamp")).join(in_use.select(key), key, "left_anti")
 
 
+def lru_victims(rows: DataFrame, owner: str, used: str, size: str, key: str, budget: float) -> DataFrame:
+    """Rows that do not fit when each owner keeps its most recently used ones within ``budget`` of ``size``."""
+    order = Window.partitionBy(owner).orderBy(F.desc(used), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("held", F.sum(size).over(order)).where(F.col("held") > budget)
+
+
+def live_contexts(rows: DataFrame, owner: str, created: str, key: str, now: str, seconds: int = 900, most: int = 128) -> DataFrame:
+    """Read contexts that still hold at ``now``: within their fixed lifetime, and the newest ``most`` of their owner."""
+    at = F.lit(now).cast("timestamp")
+    alive = rows.where((F.col(created) <= at) & (F.col(created) + F.make_interval(secs=F.lit(seconds)) > at))
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(created), F.desc(key)))
+    return alive.withColumn("place", place).where(F.col("place") <= most)
+
+
 def active_first(jobs: DataFrame, active: tuple[str, ...], limit: int) -> DataFrame:
     """Active jobs before others, newest first."""
     return jobs.orderBy(F.when(F.col("state").isin(*active), 0).otherwise(1), F.desc("updated"), "job_id", "seq").limit(limit)

@@ -34,6 +34,35 @@ def by_signature_stem(symbols: DataFrame, path: str, qualname: str) -> DataFrame
     return exact.unionByName(stem.join(F.broadcast(any_exact), F.lit(True), "left_anti"))
 
 
+def resolve_selectors(symbols: DataFrame, selectors: DataFrame, shown: int = 10) -> DataFrame:
+    """qualname, status, candidates, symbol_id and the first candidates of each selector (qualname).
+
+    A selector with one definition is found; with several it is ambiguous and names candidates, never one of them.
+    """
+    asked = selectors.select("qualname").distinct()
+    met = asked.join(symbols.select("qualname", "symbol_id", "path"), "qualname", "left")
+    place = F.row_number().over(Window.partitionBy("qualname").orderBy("path", "symbol_id"))
+    n = F.count("symbol_id")
+    found = met.groupBy("qualname").agg(n.alias("candidates"), F.when(n == 1, F.min("symbol_id")).alias("symbol_id"))
+    first = met.withColumn("place", place).where(F.col("place") <= shown).groupBy("qualname")
+    listed = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "symbol_id"))), lambda x: x["symbol_id"]), ",").alias("first"))
+    status = F.when(F.col("candidates") == 0, "not_found").when(F.col("candidates") == 1, "found").otherwise("ambiguous")
+    return found.join(listed, "qualname").select("qualname", status.alias("status"), "candidates", "symbol_id", "first")
+
+
+def file_context(edges: DataFrame, seeds: DataFrame, shown: int = 5) -> DataFrame:
+    """path, section, place, other, evidence_count, total: the first neighbours of each seed file (path) by section.
+
+    Sections are ``depends_on`` and ``used_by``; total is the number of neighbours of which the section shows a part.
+    """
+    out = edges.select(F.col("source").alias("path"), F.lit("depends_on").alias("section"), F.col("target").alias("other"), "evidence_count")
+    back = edges.select(F.col("target").alias("path"), F.lit("used_by").alias("section"), F.col("source").alias("other"), "evidence_count")
+    both = out.unionByName(back).join(seeds.select("path").distinct(), "path", "left_semi").where("path <> other")
+    own = Window.partitionBy("path", "section")
+    ranked = both.withColumn("place", F.row_number().over(own.orderBy("other"))).withColumn("total", F.count("*").over(own))
+    return ranked.where(F.col("place") <= shown)
+
+
 def find_references(relations: DataFrame, target: str | None = None, include_imports: bool = True) -> DataFrame:
     rows = relations.where("kind <> 'CONTAINS' and target_symbol_id is not null")
     if target is not None:
@@ -72,7 +101,7 @@ def file_edges(relations: DataFrame, evidence: int = 5) -> DataFrame:
 def frontier_edges(relations: DataFrame, frontier: DataFrame, kinds: tuple[str, ...], top: int, direction: str = "both") -> DataFrame:
     """The first ``top`` edges of each frontier node (node), in order of source_path, line, kind, fact_order.
 
-    A self-edge counts once. Ranks below the limit are kept on each side before both sides are ranked together.
+    A self-edge counts once. Both sides are ranked together; Spark keeps only the first ranks before the shuffle.
     """
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError("unknown direction")

@@ -32,7 +32,7 @@ _RELATIONS = """n AS (SELECT count(*) AS n FROM customer),
 relations AS (SELECT o_orderkey AS fact_order, 'n' || o_custkey AS src, 'n' || ((o_orderkey * 7919) % n) AS tgt,
   'n' || CAST(floor(o_custkey / 4) AS BIGINT) AS source_path, 'n' || CAST(floor(((o_orderkey * 7919) % n) / 4) AS BIGINT) AS target_path,
   CASE WHEN o_orderstatus = 'F' THEN 'CALL' ELSE 'IMPORT' END AS kind, o_orderkey AS line, 'r' || o_orderkey AS name, o_orderkey % 5 = 0 AS type_only
-  FROM orders, n WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'P'),
+  FROM orders, n),
 edges AS (SELECT DISTINCT src, tgt FROM relations)"""
 
 
@@ -85,6 +85,12 @@ def manifest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.page(s.files(spark, sf_dir).select("path", "sha256", "size"), ["path"], 100, 200)
 
 
+@query(f"""WITH {_FILES}, t AS (SELECT count(*) AS total FROM files)
+SELECT p.*, total, total > 150 AS has_more, CASE WHEN total > 150 THEN 150 END AS next_offset FROM (SELECT path, size FROM files ORDER BY path LIMIT 100 OFFSET 50) p, t""")
+def manifest_page_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.page_with_total(s.files(spark, sf_dir).select("path", "size"), ["path"], 50, 100)
+
+
 @query(f"WITH {_FILES} SELECT sha256, any_value(size) AS size FROM files GROUP BY sha256")
 def blob_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.blobs(s.files(spark, sf_dir)).select("sha256", "size")
@@ -144,11 +150,33 @@ def snapshot_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.diff_totals(snapshots.diff(s.previous_files(spark, sf_dir), s.files(spark, sf_dir)))
 
 
-@query()
+_LINE_COUNTS = f"""c AS (SELECT path, doc_id, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END END AS n,
+  content = '' OR ends_with(content, chr(10)) AS closed FROM files WHERE doc_id % 10 = 0 OR doc_id % 7 = 0),
+counted AS (SELECT path, CASE WHEN doc_id % 10 = 0 THEN n WHEN closed THEN 0 ELSE 1 END AS insertions, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS deletions FROM c)"""
+
+
+@query(f"WITH {_FILES}, {_LINE_COUNTS} SELECT * FROM counted")
 def diff_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.line_counts(diff.changed_texts(s.previous_files(spark, sf_dir), s.files(spark, sf_dir)))
 
 
+@query(f"WITH {_FILES}, {_LINE_COUNTS} SELECT CAST(sum(insertions) AS BIGINT) AS insertions, CAST(sum(deletions) AS BIGINT) AS deletions, count(*) AS files FROM counted")
+def diff_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff_line_counts(spark, sf_dir).agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.count("*").alias("files"))
+
+
+@query(f"""WITH {_FILES}, b AS (SELECT CASE WHEN doc_id % 11 = 0 THEN path || '.old' ELSE path END AS path, sha256 FROM files WHERE doc_id % 10 <> 0),
+d AS (SELECT coalesce(b.path, f.path) AS path, b.sha256 AS old, f.sha256 AS new FROM b FULL JOIN files f ON b.path = f.path WHERE b.sha256 IS DISTINCT FROM f.sha256),
+m AS (SELECT g.path AS moved_from, n.path FROM (SELECT old, min(path) AS path FROM d WHERE new IS NULL GROUP BY old HAVING count(*) = 1) g
+  JOIN (SELECT new, min(path) AS path FROM d WHERE old IS NULL GROUP BY new HAVING count(*) = 1) n ON old = new)
+SELECT d.path, CASE WHEN m.path IS NOT NULL THEN 'moved' WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'deleted' ELSE 'modified' END AS status, moved_from
+FROM d LEFT JOIN m ON d.path = m.path WHERE d.path NOT IN (SELECT moved_from FROM m)""")
+def diff_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = s.files(spark, sf_dir)
+    path = F.when(F.col("doc_id") % 11 == 0, F.concat("path", F.lit(".old"))).otherwise(F.col("path"))
+    return snapshots.diff_with_moves(files.where("doc_id % 10 <> 0").select(path.alias("path"), "sha256"), files)
+
+
 @query()
 def unified_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.patches(diff.changed_texts(s.previous_files(spark, sf_dir), s.files(spark, sf_dir)))
@@ -187,6 +215,27 @@ def symbol_search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.symbol_search(s.symbols(spark, sf_dir), "blue bolt", exact=True, kind="class", prefix="Brand#1")
 
 
+@query(f"""WITH {_SYMBOLS}, asked AS (SELECT DISTINCT qualname FROM symbols WHERE CAST(substr(symbol_id, 5) AS BIGINT) % 100 = 0 UNION SELECT 'no such name'),
+met AS (SELECT a.qualname, s.symbol_id, row_number() OVER (PARTITION BY a.qualname ORDER BY s.path, s.symbol_id) AS k FROM asked a LEFT JOIN symbols s ON s.qualname = a.qualname)
+SELECT qualname, CASE count(symbol_id) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, count(symbol_id) AS candidates,
+  CASE WHEN count(symbol_id) = 1 THEN min(symbol_id) END AS symbol_id, coalesce(string_agg(symbol_id, ',' ORDER BY k) FILTER (k <= 10), '') AS first FROM met GROUP BY qualname""")
+def selector_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = s.symbols(spark, sf_dir)
+    asked = symbols.where(F.substring("symbol_id", 5, 20).cast("long") % 100 == 0).select("qualname")
+    return relations.resolve_selectors(symbols, asked.unionByName(spark.createDataFrame([("no such name",)], "qualname string")))
+
+
+@query(f"""WITH {_RELATIONS}, e AS (SELECT source_path, target_path, count(*) AS n FROM relations WHERE source_path <> target_path GROUP BY ALL),
+sides AS (SELECT source_path AS path, 'depends_on' AS section, target_path AS other, n FROM e UNION ALL SELECT target_path, 'used_by', source_path, n FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY path, section ORDER BY other) AS place, count(*) OVER (PARTITION BY path, section) AS total FROM sides
+  WHERE path IN (SELECT 'n' || CAST(floor(c_custkey / 4) AS BIGINT) FROM customer WHERE c_custkey % 100 = 0))
+SELECT path, section, place, other, n AS evidence_count, total FROM k WHERE place <= 5""")
+def file_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = s.read(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("n"), F.floor(F.col("c_custkey") / 4).cast("string")).alias("path"))
+    found = relations.file_context(relations.file_edges(s.relations(spark, sf_dir)), seeds)
+    return found.select("path", "section", F.col("place").cast("long").alias("place"), "other", "evidence_count", "total")
+
+
 @query(f"WITH {_RELATIONS} SELECT tgt AS target_symbol_id, src AS source_symbol_id, kind, line FROM relations WHERE kind <> 'IMPORT'")
 def find_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.find_references(s.relations(spark, sf_dir), include_imports=False).select("target_symbol_id", "source_symbol_id", "kind", "line")
@@ -247,13 +296,9 @@ def impact_k(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT w.source, p.tgt, w.length + 1, w.path || '>' || p.tgt FROM walk w JOIN edges p ON w.node = p.src WHERE w.length < 4),
 best AS (SELECT source, node, min(length) AS length FROM walk GROUP BY source, node)
 SELECT w.source, w.node AS target, w.length, w.path FROM walk w JOIN best b ON w.source = b.source AND w.node = b.node AND w.length = b.length
-WHERE w.node IN (SELECT 'n' || c_custkey FROM customer WHERE c_custkey % 3 = 0) QUALIFY row_number() OVER (PARTITION BY w.source, w.node ORDER BY string_split(w.path, '>')) <= 10""")
+QUALIFY row_number() OVER (PARTITION BY w.source, w.node ORDER BY string_split(w.path, '>')) <= 10""")
 def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, seeds = s.edges(spark, sf_dir), s.seeds(spark, sf_dir)
-    reach = graph.distances(edges, seeds, 4)
-    third = s.read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("target"))
-    pairs = reach.select(F.col("seed").alias("source"), F.col("node").alias("target")).join(third, "target", "left_semi")
-    found = graph.shortest_paths(edges, pairs, 4)
+    found = graph.shortest_paths_from(s.edges(spark, sf_dir), s.seeds(spark, sf_dir), 4)
     return found.select("source", "target", "length", F.array_join("path", ">").alias("path"))
 
 
@@ -264,7 +309,13 @@ def scc_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(s.edges(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RELATIONS}, nodes AS (SELECT src AS node FROM edges UNION SELECT tgt FROM edges),
+reach AS (SELECT src AS a, tgt AS b FROM edges UNION SELECT r.a, e.tgt FROM reach r JOIN edges e ON r.b = e.src),
+groups AS (SELECT n.node, greatest(n.node, max(x.b)) AS scc FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach q ON r.a = q.b AND r.b = q.a) x ON x.a = n.node GROUP BY n.node),
+dag AS (SELECT DISTINCT g.scc AS a, h.scc AS b FROM edges JOIN groups g ON g.node = src JOIN groups h ON h.node = tgt WHERE g.scc <> h.scc),
+deep AS (SELECT DISTINCT scc, 0 AS layer FROM groups UNION SELECT a, layer + 1 FROM deep JOIN dag ON b = scc),
+loops AS (SELECT scc, count(*) > 1 OR bool_or(node IN (SELECT src FROM edges WHERE src = tgt)) AS cyclic FROM groups GROUP BY scc)
+SELECT node, g.scc, max(layer) AS layer, any_value(cyclic) AS cyclic FROM groups g JOIN deep d ON d.scc = g.scc JOIN loops l ON l.scc = g.scc GROUP BY node, g.scc""")
 def architecture_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layers(s.edges(spark, sf_dir))
 
@@ -282,6 +333,18 @@ def nearest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.nearest_manifest(paths, dirs)
 
 
+@query("""WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages), w AS (SELECT path, string_split(path, '/') AS w FROM p),
+d AS (SELECT path, unnest(range(1, len(w))) AS k, w FROM w), dirs AS (SELECT path, k, array_to_string(w[1:k], '/') AS directory FROM d),
+best AS (SELECT path, max_by(directory, k) AS root FROM dirs WHERE length(directory) % 3 = 0 GROUP BY path)
+SELECT path, root, replace(substr(path, length(root) + 2), '/', '.') AS module FROM best""")
+def source_root_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.text import parent_dirs
+
+    paths = s.read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")).distinct()
+    roots = paths.select(F.explode(parent_dirs(F.col("path"))).alias("directory")).where("directory <> '.' and length(directory) % 3 = 0")
+    return dependencies.module_under_roots(paths, roots)
+
+
 @query("""WITH u AS (SELECT CASE l_partkey % 2 WHEN 0 THEN 'python' ELSE 'java' END AS language, 'm' || (l_partkey % 50) AS module, l_returnflag AS dependency_kind, 'f' || (l_orderkey % 97) AS path, CAST(l_linenumber AS BIGINT) AS line, l_orderkey FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY language, module, dependency_kind ORDER BY path, line) AS place FROM u)
 SELECT language, module, dependency_kind, count(*) AS usage_count, string_agg(path || ':' || line, ',' ORDER BY path, line) FILTER (place <= 10) AS used_by FROM k GROUP BY ALL""")
@@ -334,6 +397,20 @@ def active_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.active_first(s.jobs(spark, sf_dir), ("view", "click"), 100).select("seq", "job_id", "state")
 
 
+@query("""WITH k AS (SELECT user_id AS project_id, event_id AS context, sum(abs(value)) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM events)
+SELECT project_id, context FROM k WHERE held > 500""")
+def lru_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = s.read(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("context"), "ts", F.abs("value").alias("size"))
+    return journal.lru_victims(rows, "project_id", "ts", "size", "context", 500).select("project_id", "context")
+
+
+@query("""WITH k AS (SELECT user_id AS project_id, event_id AS context, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events
+  WHERE ts <= TIMESTAMP '2024-01-15' AND ts + INTERVAL 86400 SECOND > TIMESTAMP '2024-01-15') SELECT project_id, context FROM k WHERE place <= 3""")
+def live_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = s.read(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("context"), "ts")
+    return journal.live_contexts(rows, "project_id", "ts", "context", "2024-01-15", 86_400, 3).select("project_id", "context")
+
+
 @query("""SELECT conv_id AS job_id, CAST(turn AS BIGINT) AS seq, CAST(strlen(text) AS BIGINT) AS size,
   CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations""")
 def log_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,11 +476,13 @@ def change_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch if batch is not None else spark.createDataFrame([], cdc.CHANGES)
 
 
-@query()
+@query(f"""WITH {_FILES}, d AS (SELECT sha256(path || chr(0) || sha256) AS d FROM files)
+SELECT sha256(count(*) || ':' || """ + " || ':' || ".join(f"coalesce(sum(CAST('0x' || substr(d, {1 + 16 * k}, 15) AS HUGEINT)), 0)" for k in range(4)) + """) AS digest FROM d""")
 def inventory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.inventory_digest(s.files(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_RELATIONS}, nodes AS (SELECT src AS node FROM edges UNION SELECT tgt FROM edges)
+SELECT 'src/pkg/' || node || '.py' AS path, '' AS qualname, 'module' AS kind, NULL AS parent FROM nodes UNION ALL SELECT 'src/pkg/' || node || '.py', 'f_' || node, 'function', '' FROM nodes""")
 def python_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(extract(s.python_files(spark, sf_dir)), "scopes").select("path", "qualname", "kind", "parent")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.coverage import multiset_digest
+
 
 def blobs(files: DataFrame) -> DataFrame:
     """Each different content once."""
@@ -44,6 +46,24 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", status.alias("status"), "old_sha256", "new_sha256")
 
 
+def diff_with_moves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, status, moved_from: ``diff`` in which a content deleted once and added once elsewhere has moved."""
+    changes = diff(before, after)
+    gone = changes.where("status = 'deleted'").groupBy(F.col("old_sha256").alias("sha256")).agg(F.count("*").alias("n"), F.min("path").alias("moved_from"))
+    new = changes.where("status = 'added'").groupBy(F.col("new_sha256").alias("sha256")).agg(F.count("*").alias("m"), F.min("path").alias("path"))
+    moves = gone.join(new, "sha256").where("n = 1 and m = 1").select("path", "moved_from")
+    rest = changes.join(moves, "path", "left").join(moves.select(F.col("moved_from").alias("_from")), changes["path"] == F.col("_from"), "left_anti")
+    return rest.select("path", F.when(F.col("moved_from").isNotNull(), "moved").otherwise(F.col("status")).alias("status"), "moved_from")
+
+
+def page_with_total(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page with ``total``, ``has_more`` and ``next_offset`` on every row; the total is one row, so it is broadcast."""
+    total = rows.agg(F.count("*").alias("total"))
+    shown = page(rows, order, offset, limit).join(F.broadcast(total), F.lit(True))
+    more = F.col("total") > offset + limit
+    return shown.withColumn("has_more", more).withColumn("next_offset", F.when(more, F.lit(offset + limit).cast("long")))
+
+
 def diff_totals(changes: DataFrame) -> DataFrame:
     return changes.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("added", "deleted", "modified")))
 
@@ -66,14 +86,18 @@ def orphans(stored: DataFrame, files: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SnapshotStore:
-    """Parquet below ``root``: files and relations partitioned by project and revision, blobs, a request ledger.
+    """Parquet below ``root``: file lists by revision, blobs, and pointers.
 
-    A revision becomes visible when its pointer row is appended, after everything else is written.
+    A publication writes blobs and the file list to paths of its own and then appends one row to ``pointers``, which
+    names the list, the request and its payload. That row alone makes the revision and the request known, so a stop
+    at any earlier point leaves files that nobody reads, and the retry starts over.
     """
 
     spark: SparkSession
     root: str
 
+    POINTERS = "project_id string, revision long, snapshot string, request_id string, payload_hash string, files string, created_at timestamp"
+
     def _read(self, name: str, schema: str) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         if not at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
@@ -81,17 +105,17 @@ class SnapshotStore:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def pointers(self) -> DataFrame:
-        return self._read("snapshots", "project_id string, revision long, created_at timestamp, snapshot string")
-
-    def requests(self) -> DataFrame:
-        return self._read("requests", "project_id string, request_id string, payload_hash string, revision long")
+        return self._read("pointers", self.POINTERS)
 
     def files(self, project_id: str, revision: int) -> DataFrame:
-        rows = self._read("files", "path string, sha256 string, size long, project_id string, revision long")
-        return rows.where((F.col("project_id") == project_id) & (F.col("revision") == revision)).select("path", "sha256", "size")
+        found = self.pointers().where((F.col("project_id") == project_id) & (F.col("revision") == revision)).select("files").first()
+        if found is None:
+            return self.spark.createDataFrame([], "path string, sha256 string, size long")
+        return self._read(found[0], "path string, sha256 string, size long")
 
     def blobs(self) -> DataFrame:
-        return self._read("blobs", "sha256 string, content string, size long")
+        """Each content once, though an interrupted publication may have written it before."""
+        return self._read("blobs", "sha256 string, content string, size long").dropDuplicates(["sha256"])
 
     def revision(self, project_id: str, snapshot: str | None = None) -> int:
         """The newest revision, or that of a handle; an unknown handle is an error, never a fallback."""
@@ -103,36 +127,38 @@ class SnapshotStore:
             return found[0][0]
         return rows.agg(F.coalesce(F.max("revision"), F.lit(0))).first()[0]
 
+    def published(self, project_id: str, request_id: str) -> Row | None:
+        """The pointer row of a request, if it has been published."""
+        return self.pointers().where((F.col("project_id") == project_id) & (F.col("request_id") == request_id)).first()
+
     def apply(self, project_id: str, request_id: str, base_revision: int, mode: str, changes: DataFrame) -> int:
         """Publish ``changes`` (op, path, content) once.
 
         The same request and payload give the same revision again; another payload is an error. The base must
-        be the current revision; the first state must be full and later ones deltas; paths must be unique.
+        be the current revision; the first state must be full and later ones deltas; paths must be unique. One
+        writer at a time publishes for a project.
         """
         hashed = changes.select("op", "path", F.sha2("content", 256).alias("sha256"), "content", F.octet_length("content").cast("long").alias("size"))
-        digest = hashed.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("\0", "op", "path", "sha256")))), 256)).first()[0]
+        digest = multiset_digest(hashed, F.concat_ws("\0", "op", "path", "sha256")).first()[0]
         payload = f"{mode}:{base_revision}:{digest}"
-        seen = self.requests().where((F.col("project_id") == project_id) & (F.col("request_id") == request_id)).collect()
+        seen = self.published(project_id, request_id)
         if seen:
-            if seen[0]["payload_hash"] != payload:
+            if seen["payload_hash"] != payload:
                 raise ValueError("request id was used for another payload")
-            return seen[0]["revision"]
+            return seen["revision"]
         now = self.revision(project_id)
         if base_revision != now:
             raise ValueError(f"base revision {base_revision} is not the current {now}")
         if (mode == "full") != (now == 0):
             raise ValueError("the first state must be full, later ones deltas")
-        n, paths = hashed.agg(F.count("*"), F.count_distinct("path")).first()
-        if n != paths:
+        if not hashed.groupBy("path").count().where("count > 1").isEmpty():
             raise ValueError("a path occurs more than once")
         kept = self.files(project_id, now).join(hashed.select("path"), "path", "left_anti")
         new = hashed.where("op = 'upsert'")
-        state = kept.unionByName(new.select("path", "sha256", "size")).withColumn("project_id", F.lit(project_id)).withColumn("revision", F.lit(now + 1))
-        fresh = blobs(new).join(self.blobs().select("sha256"), "sha256", "left_anti")
-        fresh.write.mode("append").parquet(f"{self.root}/blobs")
-        state.write.mode("append").partitionBy("project_id", "revision").parquet(f"{self.root}/files")
-        ledger = self.spark.createDataFrame([(project_id, request_id, payload, now + 1)], self.requests().schema)
-        ledger.write.mode("append").parquet(f"{self.root}/requests")
-        pointer = self.spark.createDataFrame([(project_id, now + 1, f"ctx_{uuid.uuid4().hex}")], "project_id string, revision long, snapshot string")
-        pointer.withColumn("created_at", F.current_timestamp()).select(*self.pointers().columns).write.mode("append").parquet(f"{self.root}/snapshots")
+        blobs(new).join(self.blobs().select("sha256"), "sha256", "left_anti").write.mode("append").parquet(f"{self.root}/blobs")
+        place = f"files/{uuid.uuid4().hex}"
+        kept.unionByName(new.select("path", "sha256", "size")).write.parquet(f"{self.root}/{place}")
+        row = (project_id, now + 1, f"ctx_{uuid.uuid4().hex}", request_id, payload, place)
+        pointer = self.spark.createDataFrame([row], self.POINTERS.removesuffix(", created_at timestamp"))
+        pointer.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
         return now + 1

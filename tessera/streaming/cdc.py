@@ -32,8 +32,8 @@ def newest_changes(batch: DataFrame) -> DataFrame:
 def apply_changes(stream: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
     """Apply each micro-batch once per project.
 
-    A batch that runs again after a failure has the same request id and finds its revision in the ledger, so
-    at-least-once delivery has the effect of exactly once.
+    A batch that runs again after a failure has the same request id. Either its pointer row exists and it is done, or
+    nothing of it is visible and it is published; so at-least-once delivery has the effect of exactly once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -41,8 +41,8 @@ def apply_changes(stream: DataFrame, store: SnapshotStore, checkpoint: str) -> S
         for row in batch.select("project_id").distinct().orderBy("project_id").collect():
             own = batch.where(F.col("project_id") == row[0]).select("op", "path", "content")
             request = f"batch-{batch_id}"
-            seen = store.requests().where((F.col("project_id") == row[0]) & (F.col("request_id") == request)).collect()
-            base = seen[0]["revision"] - 1 if seen else store.revision(row[0])
+            seen = store.published(row[0], request)
+            base = seen["revision"] - 1 if seen else store.revision(row[0])
             store.apply(row[0], request, base, "delta" if base else "full", own)
         batch.unpersist()
 

@@ -274,6 +274,30 @@ def test_snapshot_store(spark, tmp_path):
         store.revision("p", "ctx_unknown")
 
 
+@pytest.mark.parametrize("stop", range(1, 4))
+def test_a_publication_that_stops_can_be_repeated(spark, tmp_path, monkeypatch, stop):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    change = lambda *rows: spark.createDataFrame(rows, cdc.CHANGES)
+    store.apply("p", "r1", 0, "full", change(("upsert", "a", "1")))
+    writer, done = type(spark.range(1).write), []
+    parquet = writer.parquet
+
+    def stopped(self, path, *a, **k):
+        if len(done) == stop - 1:
+            raise OSError("stopped")
+        done.append(path)
+        return parquet(self, path, *a, **k)
+
+    second = change(("upsert", "b", "2"), ("upsert", "c", "1"))
+    monkeypatch.setattr(writer, "parquet", stopped)
+    with pytest.raises(OSError, match="stopped"):
+        store.apply("p", "r2", 1, "delta", second)
+    monkeypatch.setattr(writer, "parquet", parquet)
+    assert store.revision("p") == 1 and store.published("p", "r2") is None
+    assert store.apply("p", "r2", 1, "delta", second) == 2 == store.apply("p", "r2", 1, "delta", second)
+    assert sorted(r["path"] for r in store.files("p", 2).collect()) == ["a", "b", "c"] and store.blobs().count() == 2
+
+
 def test_change_stream_equals_batch(spark, tmp_path):
     import json
 
