@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 SLOTS = 4
+#: Share of filled slots up to which keys are added; beyond it evictions grow long and a new filter is cheaper.
+LOAD = 0.85
 _KICKS = 500
 _SPREAD = np.uint64(0x5BD1E995)
 
@@ -70,6 +72,9 @@ class CuckooFilter:
             self.table[bucket, slot] = old
         return False
 
+    def has_room(self, more: int) -> bool:
+        return np.count_nonzero(self.table) + more <= LOAD * self.table.size
+
     def remove(self, hashes: np.ndarray) -> None:
         """Delete one copy of each hash; hashes must have been added before."""
         for mark, *places in zip(*(x.tolist() for x in self._places(hashes)), strict=True):

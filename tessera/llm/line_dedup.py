@@ -105,12 +105,14 @@ class LineIndex:
         refs = materialize(document_keys(docs, min_chars), "line-refs")
         shards = max(1, -(-refs.count() * room // shard_keys))
         counts = materialize(_counted(refs, shards), "line-counts")
-        return LineIndex(refs, counts, LineIndex._filters(counts), shards, min_chars, shard_keys)
+        return LineIndex(refs, counts, LineIndex._filters(counts, room), shards, min_chars, shard_keys)
 
     @staticmethod
-    def _filters(counts: DataFrame) -> DataFrame:
+    def _filters(counts: DataFrame, room: int = 1) -> DataFrame:
+        """A filter for each shard, with slots for ``room`` times its keys and a quarter more."""
+
         def make(df: pd.DataFrame) -> pd.DataFrame:
-            made = build(_hash64(df["key"]), spare=len(df) // 4)
+            made = build(_hash64(df["key"]), spare=len(df) * (room - 1) + len(df) // 4)
             return pd.DataFrame({"shard": [int(df["shard"].iloc[0])], "filter": [made.dump()]})
 
         return materialize(counts.select("shard", "key").groupBy("shard").applyInPandas(make, "shard int, filter binary"), "line-filters")
@@ -135,7 +137,7 @@ class LineIndex:
                 return pd.DataFrame({"shard": [int(left["shard"].iloc[0])], "filter": [build(new, spare=len(new) // 4).dump()]})
             now = CuckooFilter.load(right["filter"].iloc[0])
             now.remove(gone)
-            full = len(now.add(new)) > 0
+            full = not now.has_room(len(new)) or len(now.add(new)) > 0
             return pd.DataFrame({"shard": [int(left["shard"].iloc[0])], "filter": [None if full else now.dump()]})
 
         return changes.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
