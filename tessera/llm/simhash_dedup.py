@@ -335,7 +335,8 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TRE
     """(a, b), distinct: near pairs of ``nodes`` (node, fp), a spanning forest of short links for each tree or pair of trees.
 
     Bits under one mask name a shard. A shard of more than ``tree`` rows is cut into trees and each pair of them
-    searched, as in ``links``; only those shards, found by counting, are joined, so rows travel once.
+    searched, as in ``links``; only those shards, found by counting, are joined, so rows travel once. Trees and their
+    order follow from the fingerprints alone, so reruns agree however the rows are numbered.
     """
     words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(WORDS)]
     flat = nodes.select("node", "fp", *(w.alias(f"w{k}") for k, w in enumerate(words)))
@@ -344,11 +345,11 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TRE
     rows = flat.select("*", F.explode(keys).alias("c")).select("node", "fp", F.xxhash64("c.k", *under).alias("cell"))
     hot = materialize(rows.groupBy("cell").count().where(F.col("count") > tree).select("cell", F.ceil(F.col("count") / tree).cast("int").alias("trees")), "hot-cells")
     placed = rows.join(maybe_broadcast(hot, hot.count()), "cell", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
     pairs = placed.select("node", "fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     at = [F.col("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
     dealt = pairs.select(*at, (F.col("own") > F.col("other")).alias("right"), "node", "fp")
-    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "right", "node")
+    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "right", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(key: tuple, left: list, right: list) -> list[tuple[int, int]]:
@@ -401,8 +402,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
 
     Texts are sets of word shingles. A SimHash of 256 bits puts them into shards by random choices of its bits, the
     shards' BK-trees give candidates, and candidates are kept if their exact similarity suffices. A pair that lies
-    exactly at ``similarity`` shares no key with a chance of about ``miss``, a closer one with less. Null text counts
-    as empty, texts without words are alike, an empty table gives an empty result.
+    exactly at ``similarity`` shares no key with a chance of about ``miss``, a closer one with less. Only a shard's
+    shortest links are checked, so a link beside one that fails the check can go unseen in that shard. Null text
+    counts as empty, texts without words are alike, an empty table gives an empty result.
     """
     own = materialize(docs.select(row_id(rid), "doc_id", "text"), "numbered-texts") if rid is None else docs
     rows = materialize(wide_fingerprints(own, shingle, "rid"), "wide-fingerprints")
