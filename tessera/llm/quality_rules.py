@@ -27,12 +27,14 @@ from tessera.session import materialize, maybe_broadcast
 ALPHA = 0.02
 #: Ratios are shifted by this before the logarithm, so zero has a bucket.
 SHIFT = 0.01
-#: ratio -> (smallest spread that counts, spreads allowed below the median or None, spreads allowed above)
+#: ratio -> (smallest spread that counts, spreads allowed below the median or None, spreads allowed above). Where a
+#: group hardly varies, the smallest spread decides: a fifth of repeated words is then too many, and the base rule, at
+#: 30 %, is left to groups that repeat more themselves.
 RULES = {
     "mean_word": (0.5, 5.0, 5.0),
     "symbol_ratio": (0.03, None, 5.0),
-    "dup_line_ratio": (0.1, None, 5.0),
-    "repeat_ratio": (0.06, None, 5.0),
+    "dup_line_ratio": (0.06, None, 5.0),
+    "repeat_ratio": (0.04, None, 5.0),
 }
 #: A group with fewer documents uses a wider group's sketch.
 MIN_GROUP = 200

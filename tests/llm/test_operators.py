@@ -422,6 +422,22 @@ def test_quality_rules_use_group_fences(spark, tmp_path):
     assert {x["doc_id"] for x in quality_rules.filter_documents(docs, min_group=50).collect()} == set(range(400))
 
 
+def test_each_quality_rule_rejects_what_the_base_rules_keep(spark):
+    plain = [f"word{i:03d}" for i in range(100)]
+    lines = [" ".join(plain[k : k + 5]) for k in range(0, 100, 5)]
+    planted = {
+        "mean_word": " ".join(w * 4 for w in plain),
+        "symbol_ratio": " ".join([*plain, *["a#b"] * 20]),
+        "dup_line_ratio": "\n".join([f"{x}\nthe end" for x in lines[:10]]),
+        "repeat_ratio": " ".join([*plain, *plain[:14]]),
+    }
+    docs = [(i, "\n".join(lines), "en", "news") for i in range(60)] + [(60 + k, x, "en", "news") for k, x in enumerate(planted.values())]
+    rows = quality_rules.apply_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), min_group=10).collect()
+    verdicts = {x["doc_id"]: (x["base_failed"], x["kept"]) for x in rows}
+    assert all(verdicts[i] == (False, True) for i in range(60))
+    assert {name: verdicts[60 + k] for k, name in enumerate(planted)} == dict.fromkeys(planted, (False, False))
+
+
 def test_sketches_merge_and_bound_the_error(spark):
     r = random.Random(5)
     data = [(("en", "de")[i % 2], ("a", "b", "c")[i % 3], r.randint(20, 400), r.randint(100, 3000), 0, 0, 0, 1) for i in range(3000)]
