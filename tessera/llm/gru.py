@@ -65,12 +65,13 @@ class Lanes:
         sizes = np.array([len(docs[d]) for d in flat], np.int64)
         self.length = np.array([length[k] for k in order], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
-        self.target = np.concatenate([docs[d] for d in flat]) if flat else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.array(flat, np.int64), sizes)
+        self.target = np.concatenate([docs[d] for d in flat]) if flat else np.zeros(0, np.uint16)
+        self.owner = np.repeat(np.array(flat, np.int32), sizes)
         first = np.zeros(len(self.target), bool)
         first[np.cumsum(sizes) - sizes] = True
         self.first = first
-        self.input = np.where(first, END, np.concatenate(([END], self.target[:-1]))) if len(flat) else self.target
+        self.input = np.roll(self.target, 1)
+        self.input[first] = END
 
     def windows(self, steps: int):
         """(places, valid) of each window: indexes into the flat arrays, steps x active lanes."""
@@ -199,7 +200,7 @@ def window_gradients(p: Params, ids: np.ndarray, keep: np.ndarray, target: np.nd
             dh *= keep[t][:, None]
     grads["U"] += befores.reshape(-1, hidden).T @ d_inner.reshape(-1, 3 * hidden)
     x = ids.reshape(-1)
-    order = np.argsort(x.astype(np.int32), kind="stable")
+    order = np.argsort(x, kind="stable")
     x, flat = x[order], d_gates.reshape(-1, 3 * hidden)[order]
     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
     own, sums = x[first], np.add.reduceat(flat, first, axis=0)
@@ -209,8 +210,11 @@ def window_gradients(p: Params, ids: np.ndarray, keep: np.ndarray, target: np.nd
     return {k: g / np.float32(count) for k, g in grads.items()}, float(-logp.sum() / count), last
 
 
-def train(p: Params, docs: list[np.ndarray], epochs: int = 1, lanes: int = 256, steps: int = 20, rate: float = 0.01) -> Params:
-    """Truncated backpropagation with Adam over the documents laid in lanes."""
+def train(p: Params, docs: list[np.ndarray], epochs: int = 1, lanes: int = 512, steps: int = 20, rate: float = 0.01) -> Params:
+    """Truncated backpropagation with Adam over the documents laid in lanes.
+
+    The longest document sets the number of windows, so few tokens beside a long one make narrow, costly windows.
+    """
     p = {k: v.astype(np.float32).copy() for k, v in p.items()}
     m, v, k = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0
     laid = Lanes(docs, lanes)

@@ -43,8 +43,8 @@ END_TOKEN = ""
 #: Classes, and members of each: at least LEAST_SIDE, else twice the fifth root of the number of distinct tokens.
 LEAST_SIDE, HIDDEN, EMBED = 16, 24, 16
 HEAD = 100_000
-#: Tokens of a replica; there are as many replicas as the training tokens need.
-REPLICA_TOKENS, ROUNDS = 1_000_000, 2
+#: Tokens of a replica; there are as many replicas as the training tokens need. A task holds about 20 bytes for each.
+REPLICA_TOKENS, ROUNDS = 4_000_000, 2
 #: Most averages that meet on the driver, and most that one average has as its parts.
 AVERAGES, FAN = 16, 32
 #: Tokens that a task scores at once.
