@@ -63,9 +63,24 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH, m
 
 
 def shortest_paths_from(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, most: int = 10) -> DataFrame:
-    """``shortest_paths`` of every seed (node) to every node within ``depth`` steps, itself included."""
-    reach = materialize(distances(edges, seeds, depth), "path-layers")
-    return _paths_back(edges, reach, reach.select(F.col("seed").alias("source"), F.col("node").alias("target"), "distance"), depth, most)
+    """``shortest_paths`` of every seed (node) to every node within ``depth`` steps, itself included.
+
+    Every node is a target, so each level keeps the first ``most`` paths of each (source, node) and extends them by
+    one step to nodes not met before. Paths of a node that extend one parent's are in the order of the parent's, so
+    each of a node's first ``most`` extends one of a parent's first ``most``.
+    """
+    steps = materialize(edges.select("src", "tgt").distinct(), "path-steps")
+    start = seeds.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).alias("length"), F.array("node").alias("path")).distinct()
+    frontier = materialize(start, "paths-0")
+    done = frontier
+    for level in range(1, depth + 1):
+        grown = frontier.select("source", F.col("target").alias("src"), "path").join(steps, "src").select("source", F.col("tgt").alias("target"), "path")
+        fresh = grown.join(done.select("source", "target").distinct(), ["source", "target"], "left_anti")
+        fresh = fresh.select("source", "target", F.lit(level).alias("length"), F.concat("path", F.array("target")).alias("path"))
+        place = F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))
+        frontier = materialize(fresh.withColumn("place", place).where(F.col("place") <= most).drop("place"), f"paths-{level}")
+        done = done.unionByName(frontier)
+    return done
 
 
 def _paths_back(edges: DataFrame, layers: DataFrame, ends: DataFrame, depth: int, most: int) -> DataFrame:

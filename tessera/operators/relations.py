@@ -83,6 +83,14 @@ def file_edge() -> Column:
     )
 
 
+def file_pairs(relations: DataFrame, include_type_only: bool = True) -> DataFrame:
+    """Distinct (src, tgt) of the edges between files, without their evidence."""
+    rows = relations.where(file_edge())
+    if not include_type_only:
+        rows = rows.where(~F.coalesce("type_only", F.lit(False)))
+    return rows.select(F.col("source_path").alias("src"), F.col("target_path").alias("tgt")).distinct()
+
+
 def file_edges(relations: DataFrame, evidence: int = 5) -> DataFrame:
     """source, target, kinds, evidence (the first few, by line and order), evidence_count, type_only.
 

@@ -70,9 +70,7 @@ class Project:
         return symbol_graph(self.relations, symbol_id, "class", **limits)
 
     def _file_pairs(self, include_type_only: bool = True) -> DataFrame:
-        edges = relations.file_edges(self.relations)
-        edges = edges if include_type_only else edges.where("not type_only")
-        return edges.select(F.col("source").alias("src"), F.col("target").alias("tgt"))
+        return relations.file_pairs(self.relations, include_type_only)
 
     def file_dependencies(self, path: str, depth: int = 1, direction: str = "outgoing", include_type_only: bool = True) -> DataFrame:
         seed = self.files.where(F.col("path") == path).select(F.col("path").alias("node"))

@@ -5,6 +5,7 @@ Results have flat columns; lists are joined to text in a stated order.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera import bind
 from tessera.extract.python_facts import extract, table
 from tessera.functions import policy
+from tessera.functions.catalogues import JAVA_PACKAGES, JAVA_STANDARD, PYTHON_MODULES
 from tessera.operators import coverage, dependencies, diff, flow, graph, journal, relations, search
 from tessera.plans import standins as s
 from tessera.sources import snapshots
@@ -287,7 +289,7 @@ walk AS (SELECT 'n' || (c_custkey // 4) AS seed, 'n' || (c_custkey // 4) AS node
  UNION SELECT w.seed, p.tgt, w.distance + 1 FROM walk w JOIN pairs p ON w.node = p.src WHERE w.distance < 3)
 SELECT seed, node, min(distance) AS distance FROM walk GROUP BY seed, node""")
 def impact_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = relations.file_edges(s.relations(spark, sf_dir)).select(F.col("source").alias("src"), F.col("target").alias("tgt"))
+    edges = relations.file_pairs(s.relations(spark, sf_dir))
     seeds = s.read(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("n"), F.floor(F.col("c_custkey") / 4).cast("string")).alias("node"))
     return graph.distances(edges, seeds.distinct(), 3, "incoming")
 
@@ -358,6 +360,52 @@ def dependency_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependencies.dependency_groups(rows).withColumn("used_by", used)
 
 
+#: Modules that imports are planted with: of the platforms, of known distributions, near misses of both, and local ones.
+_MODULES = (
+    ("python", "os.path"), ("python", "yaml.nodes"), ("python", "yamlx"), ("python", "PIL"), ("python", "numpy.linalg"), ("python", "local_pkg.sub"), ("python", "nowhere"),
+    ("java", "java.util.List"), ("java", "javax.xml.bind.Element"), ("java", "javax.xml.parsers.Parser"), ("java", "javax.security.auth.Subject"), ("java", "javaxx.sql"),
+    ("java", "org.junit.jupiter.api.Test"), ("java", "org.springframework.stereotype.Service"), ("java", "com.google.common.base.Strings"), ("java", "org.slf4jx.Logger"),
+)
+_DECLARED = (
+    ("python", "python_distribution", "pyyaml"), ("python", "python_local_distribution", "pyyaml"), ("python", "python_distribution", "pillow"), ("python", "python_local_distribution", "numpy"),
+    ("java", "java_artifact", "junit:junit"), ("java", "java_artifact", "org.springframework:spring-context"), ("java", "java_artifact", "com.google.guava:guava"), ("java", "diagnostic", "MANIFEST_TOO_LARGE"),
+)
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
+
+
+@query(f"""WITH planted(k, language, module) AS (VALUES {_values((k, *m) for k, m in enumerate(_MODULES))}), declared(k, language, kind, name) AS (VALUES {_values((k, *d) for k, d in enumerate(_DECLARED))}),
+provides(language, name, prefix) AS (VALUES {_values([("python", d, m) for d, ms in PYTHON_MODULES.items() for m in ms] + [("java", d, m) for d, ms in JAVA_PACKAGES.items() for m in ms])}),
+standard(prefix) AS (VALUES {_values((p,) for p in JAVA_STANDARD)}), builtin(top) AS (VALUES {_values((m,) for m in sorted(sys.stdlib_module_names))}),
+imports AS (SELECT l_orderkey AS o, l_linenumber AS n, 'd' || (l_suppkey % 9) || '/p' || (l_partkey % 3) || '/m' AS path, language, module,
+  CASE WHEN l_partkey % 23 = 0 THEN 'here' END AS target_path, CASE WHEN l_partkey % 29 = 0 THEN '.' ELSE '' END || module AS name FROM lineitem JOIN planted ON k = l_partkey % {len(_MODULES)}),
+manifests AS (SELECT DISTINCT 'd' || (s_suppkey % 9) || CASE WHEN s_suppkey % 4 = 0 THEN '/p1' ELSE '' END AS directory, language, kind, name FROM supplier JOIN declared ON k = s_suppkey % {len(_DECLARED)}),
+near AS (SELECT path, i.language, max(directory) AS directory FROM (SELECT DISTINCT path, language FROM imports) i JOIN manifests m ON m.language = i.language AND starts_with(path, directory || '/') GROUP BY ALL),
+known AS (SELECT directory, m.language, p.module, min(CASE WHEN kind = 'python_local_distribution' THEN '0' ELSE '1' END || m.name) AS best FROM planted p JOIN provides v ON v.language = p.language AND (p.module = prefix OR starts_with(p.module, prefix || '.'))
+  JOIN manifests m ON m.language = v.language AND m.name = v.name AND kind <> 'diagnostic' GROUP BY ALL),
+judged AS (SELECT i.*, best, target_path IS NOT NULL OR (i.language = 'python' AND starts_with(i.name, '.')) AS certain, split_part(i.module, '.', 1) = 'local_pkg' AS local,
+  CASE i.language WHEN 'python' THEN split_part(i.module, '.', 1) IN (FROM builtin) ELSE EXISTS (SELECT 1 FROM standard s WHERE i.module = s.prefix OR starts_with(i.module, s.prefix || '.')) END AS platform
+  FROM imports i LEFT JOIN near r ON r.path = i.path AND r.language = i.language LEFT JOIN known k ON k.directory = r.directory AND k.language = i.language AND k.module = i.module)
+SELECT o, n, path, module, CASE WHEN certain OR local THEN 'local_module' WHEN platform THEN 'standard_library' WHEN best[1] = '0' THEN 'local_module' WHEN best[1] = '1' THEN 'third_party' ELSE 'unknown' END AS dependency_kind,
+  CASE WHEN certain THEN 'high' WHEN local THEN 'medium' WHEN platform THEN 'high' WHEN best[1] = '0' THEN 'medium' WHEN best[1] = '1' THEN 'high' ELSE 'unknown' END AS confidence,
+  CASE WHEN NOT certain AND NOT local AND NOT platform THEN substr(best, 2) END AS declaration FROM judged""")
+def dependency_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = F.broadcast(spark.createDataFrame([(k, *m) for k, m in enumerate(_MODULES)], "k long, language string, module string"))
+    declared = F.broadcast(spark.createDataFrame([(k, *d) for k, d in enumerate(_DECLARED)], "k long, language string, kind string, name string"))
+    text = lambda c, n, t: F.concat(F.lit(t), (F.col(c) % n).cast("string"))
+    lines = s.read(spark, sf_dir, "lineitem").join(planted, F.col("k") == F.col("l_partkey") % len(_MODULES))
+    imports = lines.select(
+        F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.concat(text("l_suppkey", 9, "d"), text("l_partkey", 3, "/p"), F.lit("/m")).alias("path"), "language", "module",
+        F.when(F.col("l_partkey") % 23 == 0, "here").alias("target_path"), F.concat(F.when(F.col("l_partkey") % 29 == 0, ".").otherwise(""), F.col("module")).alias("name"),
+    )
+    rows = s.read(spark, sf_dir, "supplier").join(declared, F.col("k") == F.col("s_suppkey") % len(_DECLARED))
+    manifests = rows.select(F.concat(text("s_suppkey", 9, "d"), F.when(F.col("s_suppkey") % 4 == 0, "/p1").otherwise("")).alias("directory"), "language", "kind", "name").distinct()
+    modules = spark.createDataFrame([("local_pkg.sub",)], "module string")
+    return dependencies.classify(imports, manifests, modules).select("o", "n", "path", "module", "dependency_kind", "confidence", "declaration")
+
+
 _INDEXED = "indexed AS (SELECT path, CASE doc_id % 3 WHEN 1 THEN 'ready' ELSE 'partial' END AS status FROM files WHERE doc_id % 5 <> 0)"
 
 
@@ -434,11 +482,14 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.idle_sessions(s.jobs(spark, sf_dir), "job_id", "updated", 6 * 3600)
 
 
-@query("SELECT DISTINCT user_id AS project_id FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-02'")
+@query("""WITH c AS (SELECT user_id AS project_id FROM events WHERE event_type = 'error'), n AS (SELECT count(*) AS n FROM c), p AS (SELECT DISTINCT user_id AS project_id FROM events)
+SELECT l AS changes_held, project_id FROM p, n, (VALUES (1000000), (100)) x(l) WHERE n > l OR project_id IN (FROM c)""")
 def dirty_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With room for all errors as changes only their projects are dirty, with room for a hundred all projects are."""
     jobs = s.jobs(spark, sf_dir)
-    changes = jobs.where("state = 'error' and updated < timestamp '2024-01-02'").select(F.col("job_id").alias("project_id"))
-    return journal.dirty_projects(changes, jobs.select(F.col("job_id").alias("project_id")).distinct())
+    changes, projects = jobs.where("state = 'error'").select(F.col("job_id").alias("project_id")), jobs.select(F.col("job_id").alias("project_id")).distinct()
+    room = lambda n: journal.dirty_projects(changes, projects, n).select(F.lit(n).alias("changes_held"), "project_id")
+    return room(1_000_000).unionByName(room(100))
 
 
 @query(f"""WITH {_RELATIONS}, nodes AS (SELECT src AS node FROM edges UNION SELECT tgt FROM edges)
@@ -470,6 +521,31 @@ def value_flow_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.impact(edges, values, 5)
 
 
+@query()
+def value_flow_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = extract(s.python_files(spark, sf_dir))
+    edges = flow.flow_edges(facts, bind.relations(facts))
+    values = s.seeds(spark, sf_dir).select(F.concat(F.lit("src/pkg/"), F.col("node"), F.lit(".py|f_"), F.col("node"), F.lit("|param x|0|0")).alias("node"))
+    return flow.matched_impact(edges, values, steps=8)
+
+
+@query(f"""WITH {_RELATIONS}, e AS (SELECT src, tgt, CAST(substr(src, 2) AS BIGINT) % 50 = 0 AS own, CAST(substr(tgt, 2) AS BIGINT) % 50 = 0 AS renamed FROM edges),
+p AS (SELECT *, 'src/pkg/' || src || '.py' AS source_path, CASE WHEN own THEN 'g_' ELSE 'f_' END || src AS caller, 'src/pkg/' || tgt || '.py' AS there FROM e),
+rows AS (SELECT source_path, 'CALL' AS kind, caller AS source_qualname, CASE WHEN NOT renamed THEN there END AS target_path, CASE WHEN NOT renamed THEN 'f_' || tgt END AS target_qualname,
+  CASE WHEN NOT renamed THEN 'resolved' WHEN src = tgt THEN 'unresolved' ELSE 'unavailable' END AS resolution FROM p
+ UNION ALL SELECT source_path, 'IMPORT', '', there, CASE WHEN NOT renamed THEN 'f_' || tgt END, 'resolved' FROM p WHERE src <> tgt),
+stale AS (SELECT source_path FROM p WHERE own OR renamed)
+SELECT rows.*, source_path IN (FROM stale) AS bound_anew FROM rows""")
+def rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth module renames its function: what binding says afterwards, and which files it had to look at."""
+    before = s.python_files(spark, sf_dir)
+    renamed = F.regexp_extract("path", "n([0-9]+)", 1).cast("long") % 50 == 0
+    after = before.withColumn("content", F.when(renamed, F.replace("content", F.lit("def f_"), F.lit("def g_"))).otherwise(F.col("content")))
+    now, stale = bind.rebind(bind.binding(extract(before)), extract(after))
+    rows = now.relations.where("kind in ('CALL', 'IMPORT')").select("source_path", "kind", "source_qualname", "target_path", "target_qualname", "resolution")
+    return rows.join(stale.select(F.col("path").alias("source_path"), F.lit(True).alias("new")), "source_path", "left").select(*rows.columns, F.coalesce("new", F.lit(False)).alias("bound_anew"))
+
+
 @query(f"WITH {_FILES}, {_BEFORE}, d AS ({_FULL}) SELECT d.path, CASE WHEN new IS NULL THEN 'delete' ELSE 'upsert' END AS op, f.content FROM d LEFT JOIN files f ON d.path = f.path")
 def change_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = cdc.prepare_batch(s.files(spark, sf_dir), s.previous_files(spark, sf_dir))

@@ -20,6 +20,9 @@ from tessera.sources.snapshots import SnapshotStore
 from tessera.streaming import cdc
 
 
+FILE_ROWS = "path string, content string"
+
+
 def one(spark, column, value):
     return spark.createDataFrame([(value,)], "v string").select(column(F.col("v"))).first()[0]
 
@@ -188,15 +191,6 @@ def test_parse_reuse(spark, project):
     assert again.count() == len(SOURCES)
 
 
-def test_incremental_binding_equals_full(spark, project):
-    before = project.facts
-    edited = dict(SOURCES, **{"app.py": SOURCES["app.py"].replace("json.dumps(y)", "helper(y)")})
-    after = extract(spark.createDataFrame(list(edited.items()), "path string, content string"))
-    key = lambda d: sorted(str(tuple(r[c] for c in sorted(d.columns))) for r in d.collect())
-    part = bind.rebuild(project.relations, before, after, spark.createDataFrame([("app.py",)], "path string"))
-    assert key(part) == key(bind.relations(after))
-
-
 def edge_frame(spark, pairs):
     return spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, tgt string")
 
@@ -250,6 +244,24 @@ def test_shortest_paths_on_random_graph(spark):
     assert sorted(got) == sorted(map(list, {tuple(p) for p in want}))
 
 
+@pytest.mark.parametrize("most", [2, 1000])
+def test_first_paths_to_every_node(spark, most):
+    r = random.Random(5)
+    pairs = sorted({(r.randrange(12), r.randrange(12)) for _ in range(45)})
+    want = []
+    for a in (0, 3):
+        seen, layer = {a}, [[a]]
+        want.append([str(a)])
+        for _ in range(4):
+            layer = [[*p, t] for p in layer for s, t in pairs if s == p[-1] and t not in seen]
+            seen |= {p[-1] for p in layer}
+            for t in {p[-1] for p in layer}:
+                want += sorted([str(x) for x in p] for p in layer if p[-1] == t)[:most]
+    found = graph.shortest_paths_from(edge_frame(spark, pairs), spark.createDataFrame([("0",), ("3",)], "node string"), 4, most).collect()
+    assert sorted(x["path"] for x in found) == sorted(want)
+    assert all((x["source"], x["target"], x["length"]) == (x["path"][0], x["path"][-1], len(x["path"]) - 1) for x in found)
+
+
 def test_frontier_counts_a_self_edge_once(spark):
     rows = [(1, "a", "s", "s", "p", "p", "CALL", 1), (2, "b", "s", "t", "p", "q", "CALL", 2)]
     df = spark.createDataFrame(rows, "fact_order long, name string, source_symbol_id string, target_symbol_id string, source_path string, target_path string, kind string, line int")
@@ -358,6 +370,15 @@ def test_manifests_and_classes(spark):
     assert got == {("a.py", "yaml"): "third_party", ("sub/b.py", "yaml"): "unknown", ("a.py", "os.path"): "standard_library"}
 
 
+def test_what_manifests_leave_out_is_told(spark):
+    many = "".join(f"name{k}\n" for k in range(600))
+    files = {"a/requirements.txt": many, "b/requirements.txt": "x\n" * 40_000, "c/pyproject.toml": "[project\n", "d/requirements.txt": "fine\n"}
+    found = dependencies.declarations(spark.createDataFrame(list(files.items()), FILE_ROWS)).collect()
+    told = {(r["directory"], r["name"]) for r in found if r["kind"] == dependencies.DIAGNOSTIC}
+    assert told == {("a", "TOO_MANY_DECLARATIONS"), ("b", "MANIFEST_TOO_LARGE"), ("c", "MANIFEST_INVALID")}
+    assert sum(r["directory"] == "a" for r in found) == 513 and sum(r["directory"] == "d" for r in found) == 1
+
+
 def test_continuation(spark):
     df = spark.createDataFrame([("f", "abc\ndefgh\nij\n")], "path string, content string")
     page = [tuple(r) for r in search.source_page(df, 1, 3, 7).orderBy("line").collect()]

@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_queries_without_sql_are_tested_below():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"unified_patch", "value_flow_edges", "value_flow_impact"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"unified_patch", "value_flow_edges", "value_flow_impact", "value_flow_matched"}
 
 
 def test_patches_are_those_of_a_plain_diff(spark, con):
@@ -47,6 +47,21 @@ def test_value_flow_impact_is_what_a_plain_walk_reaches(spark):
         assert seen == {n: d for (s, n), d in got.items() if s == seed}
 
 
+def test_matched_flow_is_that_of_walks_with_a_stack(spark):
+    from test_flow import walks
+
+    edges = [tuple(e) for e in QUERIES["value_flow_edges"](spark, SMALL).select("source", "target", "kind", "resolution", "path", "line", "column", "basis").collect()]
+    edges = [(*e[:5], (e[4], e[5], e[6]), 0, e[7]) for e in edges]
+    rows, got = QUERIES["value_flow_matched"](spark, SMALL).collect(), {}
+    for r in rows:
+        got.setdefault(r["seed"], {})[r["node"]] = r["distance"]
+    whole = {r["seed"] for r in rows if r["limit"] is None}
+    for seed, reached in got.items():
+        want = walks(edges, seed)
+        assert set(reached) <= want and (seed not in whole or set(reached) == want)
+    assert whole
+
+
 def test_entry_registers_everything():
     import __spark_entry__ as entry
 
