@@ -27,7 +27,7 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, y) of the sampled labels' documents.
 
-    The label side has at most ``most`` rows by construction, so it is broadcast and no text is shuffled.
+    The label side has at most ``most`` rows by construction, so it is broadcast and no text is shuffled. Columns of
+    ``docs`` other than doc_id and text are not looked at.
     """
-    chosen = training_labels(labels, label, most).withColumnRenamed("doc_id", "_id")
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(training_labels(labels, label, most)), "doc_id").select("text", "y")
