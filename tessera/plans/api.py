@@ -11,11 +11,12 @@ from tessera import bind
 from tessera.extract.python_facts import extract
 from tessera.operators import coverage, dependencies, flow, graph, relations, search
 from tessera.plans.render import Cursors, symbol_graph
+from tessera.session import materialize
 
 
 @dataclass
 class Project:
-    """Files (path, content, sha256, size, language) and what follows from them; all parts are lazy DataFrames."""
+    """Files (path, content, sha256, size, language) and what follows from them. Relations and value flow are written once, when first asked for."""
 
     files: DataFrame
     cursors: Cursors = field(default_factory=Cursors)
@@ -23,11 +24,12 @@ class Project:
     def __post_init__(self) -> None:
         self.facts = extract(self.files)
         self._relations: DataFrame | None = None
+        self._flow: DataFrame | None = None
 
     @property
     def relations(self) -> DataFrame:
         if self._relations is None:
-            self._relations = bind.relations(self.facts)
+            self._relations = materialize(bind.relations(self.facts), "project-relations")
         return self._relations
 
     @property
@@ -101,7 +103,9 @@ class Project:
         return dependencies.dependency_groups(kinds)
 
     def value_flow(self) -> DataFrame:
-        return flow.flow_edges(self.facts, self.relations)
+        if self._flow is None:
+            self._flow = materialize(flow.flow_edges(self.facts, self.relations), "project-flow")
+        return self._flow
 
     def index_coverage(self) -> DataFrame:
         return coverage.coverage(self.files, self.facts)

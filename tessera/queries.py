@@ -18,6 +18,7 @@ from tessera.functions.catalogues import JAVA_PACKAGES, JAVA_STANDARD, PYTHON_MO
 from tessera.operators import coverage, dependencies, diff, flow, graph, journal, relations, search
 from tessera.plans import standins as s
 from tessera.sources import snapshots
+from tessera.session import materialize
 from tessera.streaming import cdc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -516,7 +517,7 @@ def value_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def value_flow_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = extract(s.python_files(spark, sf_dir))
-    edges = flow.flow_edges(facts, bind.relations(facts))
+    edges = materialize(flow.flow_edges(facts, bind.relations(facts)), "flow-edges")
     values = s.seeds(spark, sf_dir).select(F.concat(F.lit("src/pkg/"), F.col("node"), F.lit(".py|f_"), F.col("node"), F.lit("|param x|0|0")).alias("node"))
     return flow.impact(edges, values, 5)
 
@@ -524,7 +525,7 @@ def value_flow_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def value_flow_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = extract(s.python_files(spark, sf_dir))
-    edges = flow.flow_edges(facts, bind.relations(facts))
+    edges = materialize(flow.flow_edges(facts, bind.relations(facts)), "flow-edges")
     values = s.seeds(spark, sf_dir).select(F.concat(F.lit("src/pkg/"), F.col("node"), F.lit(".py|f_"), F.col("node"), F.lit("|param x|0|0")).alias("node"))
     return flow.matched_impact(edges, values, steps=8)
 
