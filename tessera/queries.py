@@ -15,7 +15,7 @@ from tessera import bind
 from tessera.extract.python_facts import extract, table
 from tessera.functions import policy
 from tessera.functions.catalogues import JAVA_PACKAGES, JAVA_STANDARD, PYTHON_MODULES
-from tessera.operators import coverage, dependencies, diff, flow, graph, journal, relations, search
+from tessera.operators import budget, coverage, dependencies, diff, flow, graph, journal, relations, search, tasks
 from tessera.plans import standins as s
 from tessera.sources import snapshots
 from tessera.session import materialize
@@ -483,6 +483,68 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.idle_sessions(s.jobs(spark, sf_dir), "job_id", "updated", 6 * 3600)
 
 
+_BUDGET = 100_000
+
+
+@query(f"""WITH RECURSIVE {_FILES}, f AS (SELECT project_id, path, size, row_number() OVER (PARTITION BY project_id ORDER BY path) AS k FROM files),
+w AS (SELECT DISTINCT project_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS path, false AS admitted FROM files
+ UNION ALL SELECT f.project_id, f.k, CASE WHEN w.used + f.size <= {_BUDGET} THEN w.used + f.size ELSE w.used END, f.path, w.used + f.size <= {_BUDGET} FROM w JOIN f ON f.project_id = w.project_id AND f.k = w.k + 1)
+SELECT project_id, path, admitted FROM w WHERE k > 0""")
+def parse_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.admit(s.files(spark, sf_dir).select("project_id", "path", "size"), _BUDGET).drop("size")
+
+
+_LOG = """log AS (SELECT user_id AS task, event_id AS seq, 'r' || (event_id // 3) AS request, event_type AS digest,
+  CASE WHEN event_id % 41 = 0 THEN 'finish' WHEN event_id % 43 = 0 THEN 'roll_back' ELSE list_extract(['begin', 'prepare', 'commit', 'abandon'], 1 + event_id % 4) END AS op FROM events),
+marked AS (SELECT *, row_number() OVER w > 1 AS again, first_value(digest) OVER w = digest AS same FROM log WINDOW w AS (PARTITION BY task, request ORDER BY seq)),
+told AS (SELECT *, CASE WHEN again AND same THEN 'replay' WHEN again THEN 'conflict' END AS repeat, row_number() OVER (PARTITION BY task ORDER BY seq) AS k FROM marked),
+moves(op, here, there) AS (VALUES {moves}),
+run AS (SELECT task, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS VARCHAR) AS repeat, 'none' AS before, 'none' AS state FROM (SELECT DISTINCT task FROM told)
+ UNION ALL SELECT t.task, t.k, t.seq, t.op, t.repeat, r.state, CASE WHEN t.repeat IS NULL THEN coalesce(m.there, r.state) ELSE r.state END
+ FROM run r JOIN told t ON t.task = r.task AND t.k = r.k + 1 LEFT JOIN moves m ON m.op = t.op AND m.here = r.state)""".replace(
+    "{moves}", ", ".join(f"('{op}', '{a}', '{b}')" for op, moves in tasks.MOVES.items() for a, b in moves.items())
+)
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = s.read(spark, sf_dir, "events"), F.col("event_id")
+    op = F.when(k % 41 == 0, "finish").when(k % 43 == 0, "roll_back").otherwise(F.get(F.array(*map(F.lit, ("begin", "prepare", "commit", "abandon"))), (k % 4).cast("int")))
+    return e.select(F.col("user_id").alias("task"), k.alias("seq"), F.concat(F.lit("r"), F.floor(k / 3).cast("string")).alias("request"), F.col("event_type").alias("digest"), op.alias("op"))
+
+
+@query(f"WITH RECURSIVE {_LOG} SELECT task, arg_max(state, k) AS state FROM run GROUP BY task")
+def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.task_states(tasks.once(_log(spark, sf_dir)).where("repeat is null"))
+
+
+@query(f"WITH RECURSIVE {_LOG} SELECT task, seq, op, repeat, before, before <> state AS accepted FROM run WHERE k > 0")
+def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.task_log(_log(spark, sf_dir)).select("task", "seq", "op", "repeat", "before", "accepted")
+
+
+_ENDS = "ends AS (SELECT l_orderkey AS o, count(*) AS n, max(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey)"
+
+
+@query(f"""WITH {_ENDS}, l AS (SELECT l_orderkey // 50 AS task, l_orderkey AS o, CASE WHEN l_orderkey % 3 > 0 THEN 'o' || l_orderkey || '/0' END AS origin, CASE WHEN flag <> 'R' THEN 'o' || l_orderkey || '/' || (n % 3) END AS current
+  FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN ends ON o = l_orderkey)
+SELECT task, coalesce(current, origin) AS path, CASE WHEN origin IS NOT NULL AND current IS NOT NULL AND origin <> current THEN origin END AS from_path,
+  CASE WHEN origin IS NULL THEN 'add' WHEN current IS NULL THEN 'delete' WHEN origin <> current THEN 'move' ELSE 'modify' END AS op,
+  origin IS NOT NULL AND current IS NOT NULL AND o % 2 = 0 AS changed FROM l WHERE (origin IS NOT NULL OR current IS NOT NULL) AND NOT (origin IS NOT NULL AND current IS NOT NULL AND origin = current AND o % 2 = 1)""")
+def task_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file an order, renamed once for each of its lines among three names; some are made by the task, some deleted at the end."""
+    n, o = F.col("n"), F.col("l_orderkey")
+    name = lambda k: F.concat(F.lit("o"), o.cast("string"), F.lit("/"), (k % 3).cast("string"))
+    task = F.floor(o / 50)
+    ends = s.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_returnflag").alias("flag"))
+    moves = ends.select("l_orderkey", F.explode(F.sequence(F.lit(1), n)).alias("n")).select(task.alias("task"), (o * 100 + n).alias("seq"), name(n - 1).alias("source"), name(n).alias("target"))
+    made = ends.where("l_orderkey % 3 = 0").select(task.alias("task"), (o * 100).alias("seq"), F.lit(None).cast("string").alias("source"), name(F.lit(0)).alias("target"))
+    gone = ends.where("flag = 'R'").select(task.alias("task"), (o * 100 + 99).alias("seq"), name(n).alias("source"), F.lit(None).cast("string").alias("target"))
+    held = lambda path, sha: (task.alias("task"), path.alias("path"), sha.alias("sha256"), F.lit(False).alias("binary"))
+    before = ends.where("l_orderkey % 3 > 0").select(*held(name(F.lit(0)), F.lit("a")))
+    after = ends.where("flag <> 'R'").select(*held(name(n), F.when(o % 2 == 0, "b").otherwise("a")))
+    return tasks.task_changes(moves.unionByName(made).unionByName(gone), before, after).select("task", "path", "from_path", "op", "changed")
+
+
 @query("""WITH c AS (SELECT user_id AS project_id FROM events WHERE event_type = 'error'), n AS (SELECT count(*) AS n FROM c), p AS (SELECT DISTINCT user_id AS project_id FROM events)
 SELECT l AS changes_held, project_id FROM p, n, (VALUES (1000000), (100)) x(l) WHERE n > l OR project_id IN (FROM c)""")
 def dirty_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
