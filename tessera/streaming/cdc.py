@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.journal import IDLE_SECONDS
+from tessera.session import materialize
 from tessera.sources.snapshots import SnapshotStore, delta
 
 CHANGES = "op string, path string, content string"
@@ -30,21 +31,14 @@ def newest_changes(batch: DataFrame) -> DataFrame:
 
 
 def apply_changes(stream: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
-    """Apply each micro-batch once per project.
+    """Apply each micro-batch once, all its projects in one job.
 
-    A batch that runs again after a failure has the same request id. Either its pointer row exists and it is done, or
-    nothing of it is visible and it is published; so at-least-once delivery has the effect of exactly once.
+    A batch that runs again after a failure has the same request id. A project whose pointer exists is done; of others
+    nothing is visible and they are published; so at-least-once delivery has the effect of exactly once.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = newest_changes(batch).persist()
-        for row in batch.select("project_id").distinct().orderBy("project_id").collect():
-            own = batch.where(F.col("project_id") == row[0]).select("op", "path", "content")
-            request = f"batch-{batch_id}"
-            seen = store.published(row[0], request)
-            base = seen["revision"] - 1 if seen else store.revision(row[0])
-            store.apply(row[0], request, base, "delta" if base else "full", own)
-        batch.unpersist()
+        store.apply_batch(f"batch-{batch_id}", materialize(newest_changes(batch), "changes"))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -16,7 +16,7 @@ from tessera.operators import coverage, dependencies, diff, flow, graph, journal
 from tessera.plans.api import Project
 from tessera.plans.render import Cursors, analysis_mode, clip, largest_fitting, shared_budget, symbol_graph
 from tessera.sources import scan
-from tessera.sources.snapshots import SnapshotStore
+from tessera.sources.snapshots import Overtaken, SnapshotStore
 from tessera.streaming import cdc
 
 
@@ -301,15 +301,48 @@ def test_a_publication_that_stops_can_be_repeated(spark, tmp_path, monkeypatch,
         return parquet(self, path, *a, **k)
 
     second = change(("upsert", "b", "2"), ("upsert", "c", "1"))
+    def refused(self, ready):
+        raise OSError("stopped")
+
     monkeypatch.setattr(writer, "parquet", stopped)
-    with pytest.raises(OSError, match="stopped"):
-        store.apply("p", "r2", 1, "delta", second)
+    with monkeypatch.context() as m:
+        if stop == 3:
+            m.setattr(SnapshotStore, "commit", refused)
+        with pytest.raises(OSError, match="stopped"):
+            store.apply("p", "r2", 1, "delta", second)
     monkeypatch.setattr(writer, "parquet", parquet)
     assert store.revision("p") == 1 and store.published("p", "r2") is None
     assert store.apply("p", "r2", 1, "delta", second) == 2 == store.apply("p", "r2", 1, "delta", second)
     assert sorted(r["path"] for r in store.files("p", 2).collect()) == ["a", "b", "c"] and store.blobs().count() == 2
 
 
+def test_a_small_change_writes_few_buckets(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), 16)
+    change = lambda *rows: spark.createDataFrame(rows, cdc.CHANGES)
+    store.apply("p", "r1", 0, "full", change(*(("upsert", f"f{k}", str(k % 50)) for k in range(400))))
+    store.apply("p", "r2", 1, "delta", change(("upsert", "f7", "new"), ("delete", "f8", None)))
+    first, second = (r["folders"] for r in store.pointers("p").orderBy("revision").collect())
+    assert len(first) == 16 and 1 <= len({b for b, f in second.items() if f != first[b]}) <= 2
+    files = {r["path"]: r["sha256"] for r in store.files("p", 2).collect()}
+    assert set(files) == {f"f{k}" for k in range(400)} - {"f8"} and files["f7"] == hashlib.sha256(b"new").hexdigest()
+    assert store.files("p", 1).count() == 400 and store.blobs().count() == 51
+    lone = SnapshotStore(spark, str(tmp_path / "t"), 16)
+    lone.apply("p", "r1", 0, "full", change(("upsert", "a", "1")))
+    assert lone.apply("p", "r2", 1, "delta", change(("delete", "a", None))) == 2 and lone.files("p", 2).count() == 0
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), 4)
+    change = lambda *rows: spark.createDataFrame(rows, cdc.CHANGES)
+    store.apply("p", "r1", 0, "full", change(("upsert", "a", "1")))
+    one, two = (store.prepare("p", r, 1, "delta", change(("upsert", r, "2"))) for r in ("r2", "r3"))
+    assert store.commit(one) == 2
+    with pytest.raises(Overtaken):
+        store.commit(two)
+    assert {r["path"] for r in store.files("p", 2).collect()} == {"a", "r2"} and store.published("p", "r3") is None
+    assert store.apply("p", "r3", 2, "delta", change(("upsert", "r3", "2"))) == 3
+
+
 def test_change_stream_equals_batch(spark, tmp_path):
     import json
 
@@ -320,7 +353,7 @@ def test_change_stream_equals_batch(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "s"))
     for _ in range(2):
         cdc.apply_changes(cdc.change_stream(spark, str(tmp_path / "in")), store, str(tmp_path / "c")).awaitTermination()
-    assert store.revision("p") == 1 and {r["path"] for r in store.files("p", 1).collect()} == {"a", "b"}
+    assert store.revision("p") == store.revision("q") == 1 and {r["path"] for r in store.files("p", 1).collect()} == {"a", "b"}
     assert store.files("p", 1).where("path = 'a'").first()["sha256"] == hashlib.sha256(b"2").hexdigest()
 
 
