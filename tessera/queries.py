@@ -8,14 +8,14 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import bind
-from tessera.extract.python_facts import extract, table
+from tessera.extract.python_facts import BINDING_LISTS, extract, table
 from tessera.functions import policy
 from tessera.functions.catalogues import JAVA_PACKAGES, JAVA_STANDARD, PYTHON_MODULES
-from tessera.operators import budget, coverage, dependencies, diff, flow, graph, journal, relations, search, tasks
+from tessera.operators import budget, coverage, dependencies, diff, flow, graph, journal, relations, search, sections, tasks
 from tessera.plans import standins as s
 from tessera.sources import snapshots
 from tessera.session import materialize
@@ -483,6 +483,34 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.idle_sessions(s.jobs(spark, sf_dir), "job_id", "updated", 6 * 3600)
 
 
+_PARTS = ("edges", "symbols", "unresolved", "paths")
+
+
+@query(f"""WITH i AS (SELECT l_orderkey // 20 AS request, list_extract({list(_PARTS)}, 1 + l_partkey % 4) AS section, CAST(l_quantity AS BIGINT) AS chars, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem),
+n AS (SELECT request, section, chars, row_number() OVER (PARTITION BY request, section ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, chars) AS place FROM i),
+l AS (SELECT *, chars + 2 AS size, CASE WHEN place > CASE section WHEN 'unresolved' THEN 0 ELSE 1 END THEN 0 WHEN section IN ('edges', 'paths') THEN 1 ELSE 2 END AS layer FROM n),
+g AS (SELECT request, section, layer, sum(size) AS gives FROM l GROUP BY ALL),
+a AS (SELECT *, sum(gives) OVER (PARTITION BY request) AS total, coalesce(sum(gives) OVER (PARTITION BY request ORDER BY layer, gives DESC, section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  coalesce(sum(CASE WHEN layer < 2 THEN gives END) OVER (PARTITION BY request), 0) AS can FROM g),
+q AS (SELECT request, section, layer, CASE WHEN layer < 2 AND total > 900 THEN greatest(0, least(gives, total - 900 + 96 - before)) ELSE 0 END AS quota,
+  CASE WHEN total <= 900 THEN 'ready' WHEN total - can > 900 THEN 'exceeded' ELSE 'clipped' END AS status FROM a)
+SELECT request, section, place, coalesce(sum(size) OVER (PARTITION BY request, section, layer ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= quota AS kept, status FROM l JOIN q USING (request, section, layer)""")
+def sectioned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = s.read(spark, sf_dir, "lineitem").withColumns({"request": F.floor(F.col("l_orderkey") / 20), "section": F.get(F.array(*map(F.lit, _PARTS)), (F.col("l_partkey") % 4).cast("int")), "chars": F.col("l_quantity").cast("long")})
+    place = F.row_number().over(Window.partitionBy("request", "section").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "chars"))
+    return sections.fit_sections(rows.select("request", "section", "chars", place.cast("long").alias("place")), 900).drop("chars")
+
+
+@query(f"""WITH {_FILES}, {_LINES}, r AS (SELECT doc_id // 4 AS request, doc_id % 4 AS item, path, 1 + doc_id % 3 AS start_line, 6 + doc_id % 5 AS end_line, doc_id % 7 AS skip FROM files),
+m AS (SELECT request, item, r.path, line, CASE WHEN line = start_line THEN substr(text, skip + 1) ELSE text END AS text FROM physical p JOIN r ON r.path = p.path AND line BETWEEN start_line AND end_line),
+k AS (SELECT *, 800 - coalesce(sum(length(text) + 1) OVER (PARTITION BY request ORDER BY item, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM m)
+SELECT request, item, path, line, substr(text, 1, CAST(room AS BIGINT)) AS text, length(text) <= room AS full FROM k WHERE room > 0""")
+def batch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, k = s.files(spark, sf_dir), F.col("doc_id")
+    asked = files.select(F.floor(k / 4).alias("request"), (k % 4).alias("item"), "path", (1 + k % 3).alias("start_line"), (6 + k % 5).alias("end_line"), (k % 7).cast("int").alias("char_offset"))
+    return sections.read_ranges(files.select("path", "content"), asked, 800).drop("first_char")
+
+
 _BUDGET = 100_000
 
 
@@ -558,7 +586,7 @@ def dirty_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RELATIONS}, nodes AS (SELECT src AS node FROM edges UNION SELECT tgt FROM edges)
 SELECT 'src/pkg/' || node || '.py' AS path, 'f_' || node AS qualname, 'function' AS kind FROM nodes""")
 def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bind.symbols_of(extract(s.python_files(spark, sf_dir)))
+    found = bind.symbols_of(extract(s.python_files(spark, sf_dir), ("symbols",)))
     return found.where("kind <> 'module'").select("path", "qualname", "kind")
 
 
@@ -566,19 +594,19 @@ def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'src/pkg/' || src || '.py' AS source_path, 'CALL' AS kind, 'f_' || src AS source_qualname, 'src/pkg/' || tgt || '.py' AS target_path, 'f_' || tgt AS target_qualname, 'resolved' AS resolution FROM edges
 UNION ALL SELECT 'src/pkg/' || src || '.py', 'IMPORT', '', 'src/pkg/' || tgt || '.py', 'f_' || tgt, 'resolved' FROM edges WHERE src <> tgt""")
 def py_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bind.relations(extract(s.python_files(spark, sf_dir)))
+    found = bind.relations(extract(s.python_files(spark, sf_dir), BINDING_LISTS))
     return found.where("kind in ('CALL', 'IMPORT')").select("source_path", "kind", "source_qualname", "target_path", "target_qualname", "resolution")
 
 
 @query()
 def value_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = extract(s.python_files(spark, sf_dir))
+    facts = materialize(extract(s.python_files(spark, sf_dir)), "python-facts")
     return flow.flow_edges(facts, bind.relations(facts))
 
 
 @query()
 def value_flow_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = extract(s.python_files(spark, sf_dir))
+    facts = materialize(extract(s.python_files(spark, sf_dir)), "python-facts")
     edges = materialize(flow.flow_edges(facts, bind.relations(facts)), "flow-edges")
     values = s.seeds(spark, sf_dir).select(F.concat(F.lit("src/pkg/"), F.col("node"), F.lit(".py|f_"), F.col("node"), F.lit("|param x|0|0")).alias("node"))
     return flow.impact(edges, values, 5)
@@ -586,7 +614,7 @@ def value_flow_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def value_flow_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = extract(s.python_files(spark, sf_dir))
+    facts = materialize(extract(s.python_files(spark, sf_dir)), "python-facts")
     edges = materialize(flow.flow_edges(facts, bind.relations(facts)), "flow-edges")
     values = s.seeds(spark, sf_dir).select(F.concat(F.lit("src/pkg/"), F.col("node"), F.lit(".py|f_"), F.col("node"), F.lit("|param x|0|0")).alias("node"))
     return flow.matched_impact(edges, values, steps=8)
@@ -604,7 +632,7 @@ def rebinding(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = s.python_files(spark, sf_dir)
     renamed = F.regexp_extract("path", "n([0-9]+)", 1).cast("long") % 50 == 0
     after = before.withColumn("content", F.when(renamed, F.replace("content", F.lit("def f_"), F.lit("def g_"))).otherwise(F.col("content")))
-    now, stale = bind.rebind(bind.binding(extract(before)), extract(after))
+    now, stale = bind.rebind(bind.binding(extract(before, BINDING_LISTS)), extract(after, BINDING_LISTS))
     rows = now.relations.where("kind in ('CALL', 'IMPORT')").select("source_path", "kind", "source_qualname", "target_path", "target_qualname", "resolution")
     return rows.join(stale.select(F.col("path").alias("source_path"), F.lit(True).alias("new")), "source_path", "left").select(*rows.columns, F.coalesce("new", F.lit(False)).alias("bound_anew"))
 
@@ -624,4 +652,4 @@ def inventory_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RELATIONS}, nodes AS (SELECT src AS node FROM edges UNION SELECT tgt FROM edges)
 SELECT 'src/pkg/' || node || '.py' AS path, '' AS qualname, 'module' AS kind, NULL AS parent FROM nodes UNION ALL SELECT 'src/pkg/' || node || '.py', 'f_' || node, 'function', '' FROM nodes""")
 def python_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(extract(s.python_files(spark, sf_dir)), "scopes").select("path", "qualname", "kind", "parent")
+    return table(extract(s.python_files(spark, sf_dir), ("scopes",)), "scopes").select("path", "qualname", "kind", "parent")
