@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import contains_folded
+from tessera.operators import graph
 from tessera.schemas import CALLABLE_KINDS, CLASS_KINDS
 
 CALL_KINDS = ("CALL", "INSTANTIATION")
@@ -50,6 +51,53 @@ def resolve_selectors(symbols: DataFrame, selectors: DataFrame, shown: int = 10)
     return found.join(listed, "qualname").select("qualname", status.alias("status"), "candidates", "symbol_id", "first")
 
 
+SELECTOR_FIELDS = ("symbol_id", "path", "qualname", "name", "kind", "line")
+SELECTORS = "ask long, symbol_id string, path string, qualname string, name string, kind string, line int"
+
+
+def select_symbols(symbols: DataFrame, selectors: DataFrame, shown: int = 10) -> DataFrame:
+    """ask, status, candidates, symbol_id and the first candidates of each of ``SELECTORS``; what is null is not asked for.
+
+    A line lies within a symbol, and where a selector gives one, the innermost symbols around it are meant. Selectors
+    are dealt by the sharpest thing they name, so each meets the symbols in one equal join: by id, by path, by
+    qualified name or by name. One without any of these has status ``invalid``.
+    """
+    fields = ("symbol_id", "path", "qualname", "name")
+    by = F.coalesce(*(F.when(F.col(f).isNotNull(), f) for f in fields))
+    asked = selectors.select("ask", *(F.col(f).alias(f"want_{f}") for f in SELECTOR_FIELDS), by.alias("by"))
+    own = symbols.select("symbol_id", "path", "qualname", "name", "kind", "start_line", "end_line")
+    fits = F.lit(True)
+    for f in (*fields, "kind"):
+        fits &= F.col(f"want_{f}").isNull() | (F.col(f"want_{f}") == F.col(f))
+    fits &= F.col("want_line").isNull() | F.col("want_line").between(F.col("start_line"), F.col("end_line"))
+    met = None
+    for f in fields:
+        part = asked.where(F.col("by") == f).join(own, F.col(f"want_{f}") == F.col(f)).where(fits)
+        met = part if met is None else met.unionByName(part)
+    span = F.col("end_line") - F.col("start_line")
+    inner = F.rank().over(Window.partitionBy("ask").orderBy(F.when(F.col("want_line").isNotNull(), span).otherwise(0)))
+    met = met.withColumn("inner", inner).where("inner = 1").select("ask", "symbol_id", "path", "start_line")
+    place = F.row_number().over(Window.partitionBy("ask").orderBy("path", "start_line", "symbol_id"))
+    counts = met.groupBy("ask").agg(F.count("*").alias("candidates"), F.min("symbol_id").alias("one"))
+    first = met.withColumn("place", place).where(F.col("place") <= shown).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("place", "symbol_id"))).alias("f"))
+    told = selectors.select("ask", by.alias("by")).join(counts, "ask", "left").join(first, "ask", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+    n = F.col("candidates")
+    status = F.when(F.col("by").isNull(), "invalid").when(n == 0, "not_found").when(n == 1, "found").otherwise("ambiguous")
+    return told.select("ask", status.alias("status"), "candidates", F.when(n == 1, F.col("one")).alias("symbol_id"), F.transform(F.coalesce("f", F.array()), lambda x: x["symbol_id"]).alias("first"))
+
+
+def call_gaps(relations: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
+    """seed, source_symbol_id, line, name, distance, reason of the calls that a walk from each seed (node) met and could not
+    follow: ``unresolved`` (ambiguous and external ones too), or ``not_traversed``, since they run elsewhere or never."""
+    follow = traversable_call() & (F.col("resolution") == "resolved") & F.col("source_symbol_id").isNotNull() & F.col("target_symbol_id").isNotNull()
+    steps = relations.where(follow).select(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("tgt"))
+    reach = graph.distances(steps, seeds, depth).where(F.col("distance") < depth)
+    calls = relations.where(F.col("kind").isin(*CALL_KINDS) & F.col("source_symbol_id").isNotNull() & ~F.coalesce(follow, F.lit(False)))
+    reason = F.when((F.col("resolution") != "resolved") | F.col("target_symbol_id").isNull(), "unresolved").otherwise("not_traversed")
+    met = reach.join(calls.withColumn("reason", reason), F.col("node") == F.col("source_symbol_id"))
+    return met.select("seed", "source_symbol_id", "line", "name", "distance", "reason")
+
+
 def file_context(edges: DataFrame, seeds: DataFrame, shown: int = 5) -> DataFrame:
     """path, section, place, other, evidence_count, total: the first neighbours of each seed file (path) by section.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import bind
 from tessera.extract.python_facts import extract
+from tessera.extract.roots import source_roots
 from tessera.operators import coverage, dependencies, flow, graph, relations, search
 from tessera.plans.render import Cursors, symbol_graph
 from tessera.session import materialize
@@ -29,7 +30,7 @@ class Project:
     @property
     def relations(self) -> DataFrame:
         if self._relations is None:
-            self._relations = materialize(bind.relations(self.facts), "project-relations")
+            self._relations = materialize(bind.relations(self.facts, source_roots(self.files, self.facts)), "project-relations")
         return self._relations
 
     @property
@@ -96,6 +97,19 @@ class Project:
         pairs = self.files.sparkSession.createDataFrame([(source, target)], "source string, target string")
         return graph.shortest_paths(calls.select(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("tgt")).where("src is not null"), pairs, depth)
 
+    def call_gaps(self, source: str, depth: int = 5) -> DataFrame:
+        """Calls that a search for paths from ``source`` met and could not follow, with the reason."""
+        seeds = self.files.sparkSession.createDataFrame([(source,)], "node string")
+        return relations.call_gaps(self.relations, seeds, depth)
+
+    def find(self, **selector) -> dict:
+        """What a selector (symbol_id, path, qualname, name, kind, line, as far as given) names: status and candidates."""
+        fields = {k: selector.pop(k, None) for k in relations.SELECTOR_FIELDS}
+        if selector or not any(v is not None for v in fields.values()):
+            raise ValueError(f"a selector has some of {', '.join(relations.SELECTOR_FIELDS)}")
+        asked = self.files.sparkSession.createDataFrame([(0, *fields.values())], relations.SELECTORS)
+        return relations.select_symbols(self.symbols, asked).first().asDict(recursive=True)
+
     def external_dependencies(self) -> DataFrame:
         rows = self.relations.where("kind = 'IMPORT' and resolution in ('external_or_unavailable', 'unavailable')")
         named = rows.select(F.col("source_path").alias("path"), "name", "line", F.lit("python").alias("language"), "target_path", F.coalesce("target_module", "name").alias("module"))

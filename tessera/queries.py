@@ -228,6 +228,30 @@ def selector_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.resolve_selectors(symbols, asked.unionByName(spark.createDataFrame([("no such name",)], "qualname string")))
 
 
+@query(f"""WITH RECURSIVE {_RELATIONS}, steps AS (SELECT DISTINCT src, tgt FROM relations WHERE kind = 'CALL' AND NOT type_only),
+walk AS (SELECT 'n' || c_custkey AS seed, 'n' || c_custkey AS node, 0 AS distance FROM customer WHERE c_custkey % 100 = 0 UNION SELECT w.seed, s.tgt, w.distance + 1 FROM walk w JOIN steps s ON s.src = w.node WHERE w.distance < 3),
+reach AS (SELECT seed, node, min(distance) AS distance FROM walk GROUP BY seed, node HAVING min(distance) < 3)
+SELECT seed, src AS source_symbol_id, line, 'r' || line AS name, distance, 'not_traversed' AS reason FROM reach JOIN relations ON src = node WHERE kind = 'CALL' AND type_only""")
+def call_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.call_gaps(s.relations(spark, sf_dir), s.seeds(spark, sf_dir), 3)
+
+
+@query(f"""WITH {_SYMBOLS}, s AS (SELECT *, start_line + length(name) AS end_line, CAST(substr(symbol_id, 5) AS BIGINT) AS k FROM symbols),
+asks AS (SELECT k AS ask, CASE WHEN k % 4 = 0 THEN symbol_id END AS symbol_id, CASE WHEN k % 4 = 1 THEN path END AS path, CASE WHEN k % 4 = 2 THEN qualname END AS qualname, CASE WHEN k % 4 = 3 THEN name END AS name,
+  CASE WHEN k % 3 = 0 THEN 'class' END AS kind, CASE WHEN k % 5 = 0 THEN start_line + 2 END AS line FROM s),
+m AS (SELECT a.ask, s.symbol_id, s.path, s.start_line, rank() OVER (PARTITION BY a.ask ORDER BY CASE WHEN a.line IS NOT NULL THEN s.end_line - s.start_line ELSE 0 END) AS r
+  FROM asks a JOIN s ON (a.symbol_id = s.symbol_id OR a.path = s.path OR a.qualname = s.qualname OR a.name = s.name) AND (a.kind IS NULL OR a.kind = s.kind) AND (a.line IS NULL OR a.line BETWEEN s.start_line AND s.end_line)),
+p AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY path, start_line, symbol_id) AS place FROM m WHERE r = 1)
+SELECT a.ask, CASE count(p.symbol_id) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, count(p.symbol_id) AS candidates, CASE WHEN count(p.symbol_id) = 1 THEN min(p.symbol_id) END AS symbol_id,
+  coalesce(string_agg(p.symbol_id, ',' ORDER BY place) FILTER (place <= 10), '') AS first FROM asks a LEFT JOIN p ON p.ask = a.ask GROUP BY a.ask""")
+def symbol_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("symbol_id", 5, 20).cast("long")
+    symbols = s.symbols(spark, sf_dir).withColumns({"end_line": F.col("start_line") + F.char_length("name"), "ask": k})
+    given = lambda r, c: F.when(F.col("ask") % 4 == r, F.col(c)).alias(c)
+    asks = symbols.select("ask", given(0, "symbol_id"), given(1, "path"), given(2, "qualname"), given(3, "name"), F.when(F.col("ask") % 3 == 0, "class").alias("kind"), F.when(F.col("ask") % 5 == 0, F.col("start_line") + 2).alias("line"))
+    return relations.select_symbols(symbols, asks).withColumn("first", F.array_join("first", ","))
+
+
 @query(f"""WITH {_RELATIONS}, e AS (SELECT source_path, target_path, count(*) AS n FROM relations WHERE source_path <> target_path GROUP BY ALL),
 sides AS (SELECT source_path AS path, 'depends_on' AS section, target_path AS other, n FROM e UNION ALL SELECT target_path, 'used_by', source_path, n FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY path, section ORDER BY other) AS place, count(*) OVER (PARTITION BY path, section) AS total FROM sides
