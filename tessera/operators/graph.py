@@ -6,12 +6,17 @@ costs one round. Frontiers carry the seed they started from: a set of queries ru
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
 MAX_DEPTH = 5
+#: Edges up to which what is left of a graph is finished in one task, at some hundred bytes an edge; beyond it rounds go on.
+LOCAL_EDGES = 500_000
 
 
 def orient(edges: DataFrame, direction: str) -> DataFrame:
@@ -115,19 +120,87 @@ def _paths_back(edges: DataFrame, layers: DataFrame, ends: DataFrame, depth: int
     return done
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _whole(edges: DataFrame, schema: str, work: Callable[[list, list], tuple]) -> DataFrame:
+    """``work`` on the ends of all ``edges`` (src, tgt) in one task; for edges that have been counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, tgt = [], []
+        for batch in batches:
+            src += batch.column(0).to_pylist()
+            tgt += batch.column(1).to_pylist()
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else c for c in work(src, tgt)], names)
+
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    return edges.select("src", "tgt").coalesce(1).mapInArrow(run, schema)
+
+
+def _components_of(src: list, tgt: list) -> tuple[list, list]:
+    """(node, largest node of its strongly connected component), by depth-first search without recursion."""
+    after: dict = {}
+    for a, b in zip(src, tgt, strict=True):
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    order, low, group, held = {}, {}, {}, []
+    for start in after:
+        if start in order:
+            continue
+        order[start] = low[start] = len(order)
+        held.append(start)
+        walk = [(start, iter(after[start]))]
+        while walk:
+            node, ways = walk[-1]
+            step = next((w for w in ways if w not in order or w not in group and order[w] < low[node]), None)
+            if step is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == order[node]:
+                    members = [held.pop()]
+                    while members[-1] != node:
+                        members.append(held.pop())
+                    group.update(dict.fromkeys(members, max(members)))
+            elif step in order:
+                low[node] = order[step]
+            else:
+                order[step] = low[step] = len(order)
+                held.append(step)
+                walk.append((step, iter(after[step])))
+    return list(group), list(group.values())
+
+
+def _layers_of(src: list, tgt: list) -> tuple[list, pa.Array]:
+    """(node, layer) of an acyclic graph: one above the highest of what a node leads to."""
+    before: dict = {}
+    left: dict = {}
+    for a, b in set(zip(src, tgt, strict=True)):
+        before.setdefault(b, []).append(a)
+        left[a] = left.get(a, 0) + 1
+        left.setdefault(b, 0)
+    layer = dict.fromkeys(left, 0)
+    free = [n for n, k in left.items() if not k]
+    for node in free:
+        for a in before.get(node, ()):
+            layer[a] = max(layer[a], layer[node] + 1)
+            left[a] -= 1
+            if not left[a]:
+                free.append(a)
+    return list(layer), pa.array(list(layer.values()), pa.int32())
+
+
+def components(edges: DataFrame, max_rounds: int = 200, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, scc): strongly connected components, named by their largest node.
 
     Nodes without a way in or out are components of their own and are trimmed away round by round. In what is
     left the largest name that reaches a node colours it; a node coloured by itself is a root, and those of its
-    colour that reach it back form its component.
+    colour that reach it back form its component. As soon as no more than ``local`` edges are left, one task ends it.
     """
     rest = materialize(edges.select("src", "tgt").where("src <> tgt").distinct(), "scc-edges")
     nodes = materialize(edges.select(F.explode(F.array("src", "tgt")).alias("node")).distinct(), "scc-nodes")
     found = None
     for _ in range(max_rounds):
         size = rest.count()
-        while size:
+        while size > local:
             kept = rest.join(rest.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi")
             kept = kept.join(rest.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
             kept = materialize(kept.select("src", "tgt"), "scc-trimmed")
@@ -136,7 +209,10 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             if now == size:
                 break
             size = now
-        if not size:
+        if size <= local:
+            if size:
+                members = materialize(_whole(rest, f"node {rest.schema['src'].dataType.simpleString()}, scc {rest.schema['src'].dataType.simpleString()}", _components_of), "scc-found")
+                found = members if found is None else found.unionByName(members)
             break
         colours = materialize(rest.select(F.explode(F.array("src", "tgt")).alias("node")).distinct().select("node", F.col("node").alias("colour")), "scc-colours")
         while True:
@@ -167,20 +243,27 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return alone.unionByName(found)
 
 
-def layers(edges: DataFrame) -> DataFrame:
+def layers(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """node, scc, layer, cyclic: layer 0 depends on nothing outside its component, else one above the highest.
 
     Components are peeled: a component gets its layer in the round in which all it depends on have theirs. A
-    component is cyclic if it has several nodes or an edge to itself.
+    component is cyclic if it has several nodes or an edge to itself. No more than ``local`` edges left are done in one task.
     """
     pairs = materialize(edges.select("src", "tgt").distinct(), "layer-edges")
-    sccs = materialize(components(pairs), "layer-sccs")
+    sccs = materialize(components(pairs, local=local), "layer-sccs")
     a = sccs.select(F.col("node").alias("src"), F.col("scc").alias("a"))
     b = sccs.select(F.col("node").alias("tgt"), F.col("scc").alias("b"))
     open_edges = materialize(pairs.join(a, "src").join(b, "tgt").where("a <> b").select("a", "b").distinct(), "layer-dag")
     waiting = materialize(sccs.select("scc").distinct(), "layer-waiting")
     done, level = None, 0
     while True:
+        if open_edges.count() <= local:
+            # What still waits stands above ``level``: its ways down to layers that are known have been taken off.
+            kind = sccs.schema["scc"].dataType.simpleString()
+            above = _whole(open_edges.select(F.col("a").alias("src"), F.col("b").alias("tgt")), f"scc {kind}, up int", _layers_of)
+            rest = waiting.join(above, "scc", "left").select("scc", (F.coalesce("up", F.lit(0)) + level).alias("layer"))
+            done = materialize(rest if done is None else done.unionByName(rest), "layer")
+            break
         free = materialize(waiting.join(open_edges.select(F.col("a").alias("scc")).distinct(), "scc", "left_anti").withColumn("layer", F.lit(level)), "layer")
         if free.isEmpty():
             break

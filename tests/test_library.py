@@ -206,14 +206,14 @@ def reach(pairs, start):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_and_layers_on_random_graphs(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(1, 0), (2, 0), (1, 12), (2, 1000), (3, 1000), (4, 1000)])
+def test_components_and_layers_on_random_graphs(spark, seed, local):
     r = random.Random(seed)
     pairs = sorted({(r.randrange(30), r.randrange(30)) for _ in range(45)})
     nodes = {x for p in pairs for x in p}
     ahead = {n: reach(pairs, n) for n in nodes}
     same = lambda a, b: a == b or (b in ahead[a] and a in ahead[b])
-    got = {row["node"]: row for row in graph.layers(edge_frame(spark, pairs)).collect()}
+    got = {row["node"]: row for row in graph.layers(edge_frame(spark, pairs), local).collect()}
     for a, b in itertools.combinations(nodes, 2):
         assert (got[str(a)]["scc"] == got[str(b)]["scc"]) == same(a, b)
     level = {}
