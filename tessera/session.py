@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The group that tables written now belong to, and the tables of each group of each application.
+_group: ContextVar[tuple[str, str] | None] = ContextVar("group", default=None)
+_groups: dict[tuple[str, str], list[str]] = {}
+
 #: Rows up to which a side may be broadcast; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 200_000
 
@@ -58,6 +65,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if _group.get() is not None:
+        _groups[_group.get()].append(path)
     writer.parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -65,6 +74,25 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def working(spark: SparkSession, group: str) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside belong to ``group``, whose earlier tables are deleted first.
+
+    For steps whose results are written and read again before the next step of the group begins: what a step needed on
+    the way is gone when the next one starts, instead of at the end of the session.
+    """
+    key = (spark.sparkContext.applicationId, group)
+    for path in _groups.pop(key, []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _groups[key] = []
+    token = _group.set(key)
+    try:
+        yield
+    finally:
+        _group.reset(token)
+
+
 def maybe_broadcast(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if its counted ``rows`` stay within ``limit``, else unchanged."""
     return F.broadcast(small) if rows <= limit else small
