@@ -6,8 +6,8 @@ weight to few of the rules, and the surviving rules are compiled into one Spark
 is a projection over the statistics of each document.
 
 At most ``MAX_LABELLED`` labelled rows are used, chosen by hash. Null and empty texts have all statistics zero
-and are scored like any other. Without labels, or with labels of one kind only, the score is the share of ones
-(0.5 without any). Repeated rows are scored one by one; extra columns are not looked at.
+and are scored like any other. With fewer than ``LEAST`` labelled rows, or with labels of one kind only, no rules are
+fitted and every score is the share of ones among them, kept off 0 and 1 (0.5 without any). Repeated rows are scored one by one; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from tessera.llm.sampling import labelled_texts
 from tessera.llm.textstats import BASE, EXTRA, full_stats
 
 MAX_LABELLED = 12_000
+#: Labelled rows that rules are fitted to at least.
+LEAST = 40
 TREES, DEPTH, CUTS, SHRINK = 16, 3, 24, 0.4
 PENALTY = 0.002
 
@@ -133,7 +135,7 @@ def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> t
 def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> RuleEnsemble:
     """Fit the ensemble to a matrix with the columns of ``FEATURES`` and labels 0 or 1."""
     ones = float(y.mean()) if len(y) else 0.5
-    if len(y) < 40 or ones in (0.0, 1.0):
+    if len(y) < LEAST or ones in (0.0, 1.0):
         ones = min(max(ones, 1e-3), 1 - 1e-3)
         return RuleEnsemble(math.log(ones / (1 - ones)), ())
     names = list(FEATURES)

@@ -45,8 +45,9 @@ TREE = 2048
 #: Fingerprints that may meet in a shard by chance, on average.
 MEAN = 16
 _SLICE = 1 << 15
-#: Neighbours of a text that the first search among groups still apart looks at; each further one looks at twice as many.
-AGAIN = 8
+#: Neighbours of a text that the first search among groups still apart looks at; each further one looks at twice as many,
+#: and searches of more than so many end once one adds nothing.
+AGAIN, ENOUGH = 2, 8
 #: Groups by similarity: shingles of so many words, least Jaccard similarity, share of pairs just there that may be missed.
 WIDE_SHINGLE, SIMILARITY, MISS = 5, 0.8, 0.05
 #: Words of 64 bits in a wide fingerprint, and an odd multiplier for each.
@@ -166,22 +167,26 @@ def forest(left: list[int], right: list[int] | None, radius: int, nearest: bool
     return out
 
 
-def apart(left: list[tuple[int, int]], right: list[tuple[int, int]] | None, radius: int, skip: int, most: int) -> list[tuple[int, int]]:
-    """Links between (value, root) pairs of different roots: of each value's neighbours, nearest first, those from place
-    ``skip`` on, ``most`` at the most. Values of the most frequent root are only found, by others, and do not search."""
+def apart(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]] | None, radius: int, skip: int, most: int) -> list[tuple[int, int]]:
+    """Links between (value, root, first root) whose roots differ.
+
+    Of each value's neighbours with another first root, nearest first, those from place ``skip`` on, ``most`` at the
+    most; first roots stay while roots merge, so places stay too. Values of the most frequent root are only found, by
+    others, and do not search.
+    """
     both = left + (right or [])
-    roots = dict(both)
-    counts = Counter(roots.values())
+    roots = {v: root for v, root, _ in both}
+    counts = Counter(root for _, root, _ in both)
     if len(counts) < 2:
         return []
     common, out = counts.most_common(1)[0][0], []
     for held, asking in ((left, left),) if right is None else ((left, right), (right, left)):
         tree = BKTree()
-        for v, _ in held:
+        for v, _, _ in held:
             tree.add(v)
-        for v, root in asking:
+        for v, root, first in asking:
             if root != common:
-                near = sorted(((v ^ held[j][0]).bit_count(), held[j][0]) for j in tree.within(v, radius))
+                near = sorted(((v ^ held[j][0]).bit_count(), held[j][0]) for j in tree.within(v, radius) if held[j][2] != first)
                 out += [(v, w) for _, w in near[skip : skip + most] if roots[w] != root]
     return out
 
@@ -355,7 +360,7 @@ def wide_radius(similarity: float) -> int:
 
 
 def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TREE, skip: int | None = None, most: int = 0) -> DataFrame:
-    """(a, b), distinct: near pairs of ``nodes`` (node, fp, root), a spanning forest of short links for each tree or pair of
+    """(a, b), distinct: near pairs of ``nodes`` (node, fp, root, first), a spanning forest of short links for each tree or pair of
     trees; with ``skip``, the links of ``apart`` between different roots instead.
 
     Bits under one mask name a shard. A shard of more than ``tree`` rows is cut into trees and each pair of them
@@ -363,25 +368,25 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TRE
     order follow from the fingerprints alone, so reruns agree however the rows are numbered.
     """
     words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(WORDS)]
-    flat = nodes.select("node", "fp", "root", *(w.alias(f"w{k}") for k, w in enumerate(words)))
+    flat = nodes.select("node", "fp", "root", "first", *(w.alias(f"w{k}") for k, w in enumerate(words)))
     keys = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(int(m)).alias(f"m{j}") for j, m in enumerate(row))) for k, row in enumerate(masks)))
     under = [F.col(f"w{j}").bitwiseAND(F.col(f"c.m{j}")) for j in range(WORDS)]
-    rows = flat.select("*", F.explode(keys).alias("c")).select("node", "fp", "root", F.xxhash64("c.k", *under).alias("cell"))
+    rows = flat.select("*", F.explode(keys).alias("c")).select("node", "fp", "root", "first", F.xxhash64("c.k", *under).alias("cell"))
     hot = materialize(rows.groupBy("cell").count().where(F.col("count") > tree).select("cell", F.ceil(F.col("count") / tree).cast("int").alias("trees")), "hot-cells")
     placed = rows.join(maybe_broadcast(hot, hot.count()), "cell", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    pairs = placed.select("node", "fp", "root", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    pairs = placed.select("node", "fp", "root", "first", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     at = [F.col("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    dealt = pairs.select(*at, (F.col("own") > F.col("other")).alias("right"), "node", "fp", "root")
+    dealt = pairs.select(*at, (F.col("own") > F.col("other")).alias("right"), "node", "fp", "root", "first")
     dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "right", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(key: tuple, left: list, right: list) -> list[tuple[int, int]]:
             if len(left) + len(right) < 2:
                 return []
-            name, alone = {f: n for n, f, _ in left + right}, key[1] == key[2]
+            name, alone = {f: n for n, f, *_ in left + right}, key[1] == key[2]
             if skip is None:
-                found = forest([f for _, f, _ in left], None if alone else [f for _, f, _ in right], radius, nearest=True)
+                found = forest([f for _, f, *_ in left], None if alone else [f for _, f, *_ in right], radius, nearest=True)
             else:
                 found = apart([x[1:] for x in left], None if alone else [x[1:] for x in right], radius, skip, most)
             return [(name[a], name[b]) for a, b in found]
@@ -393,12 +398,12 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TRE
         key, sides = None, ([], [])
         for rows in batches:
             found = []
-            for cell, i, j, right, node, fp, root in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for cell, i, j, right, node, fp, root, first in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if (cell, i, j) != key:
                     if key:
                         found += close(key, *sides)
                     key, sides = (cell, i, j), ([], [])
-                sides[right].append((node, int.from_bytes(fp, "little"), root))
+                sides[right].append((node, int.from_bytes(fp, "little"), root, first))
             yield batch(found)
         if key:
             yield batch(close(key, *sides))
@@ -431,8 +436,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     shards' BK-trees give candidates, and candidates are kept if their exact similarity suffices. The first round
     checks a spanning forest of each tree's links. Where a link fails and its ends stay in different groups, a tree may
     hold another link between them, so the members of such groups are searched again: further rounds check, for each
-    of them, its nearest neighbours in other groups, then twice as many of the next ones, until a round adds no link or
-    none is left. Groups without a failed link to another are whole as far as any tree can tell, and are not searched
+    of them, its nearest neighbours in other groups, then twice as many of the next ones, until none is left or, beyond
+    the first ``ENOUGH``, a round adds no link. Groups without a failed link to another are whole as far as any tree can tell, and are not searched
     again. A pair that lies exactly at ``similarity`` shares no key with a chance of about ``miss``, a closer one with less.
     Null text counts as empty, texts without words are alike, an empty table gives an empty result.
     """
@@ -441,22 +446,28 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     distinct = materialize(rows.groupBy("fp").agg(F.min(_order()).alias("first")).withColumn("node", F.col("first.rid")), "distinct-fingerprints")
     masks, radius = drawn_keys(distinct.count(), similarity, miss), wide_radius(similarity)
     nodes = distinct.select("node", "fp")
-    pairs = materialize(candidates(nodes.withColumn("root", F.col("node")), masks, radius, tree), "candidates")
+    pairs = materialize(candidates(nodes.select("*", F.col("node").alias("root"), F.col("node").alias("first")), masks, radius, tree), "candidates")
     links_ = materialize(verified(pairs, own, similarity, shingle), "links")
     found = materialize(components(links_), "groups")
     rooted = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     ends = pairs.join(links_, ["a", "b"], "left_anti").join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
     roots = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y").select(F.explode(F.array("x", "y")).alias("root")).distinct()
     unsure = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).join(roots, "root", "left_semi")
-    unsure = materialize(unsure.select("node", "fp", "root"), "unsure")
+    unsure = materialize(unsure.select("node", "fp", "root", F.col("root").alias("first")), "unsure")
     skip, most = 0, AGAIN
     while not unsure.isEmpty():
         more = materialize(candidates(unsure, masks, radius, tree, skip, most).join(pairs, ["a", "b"], "left_anti"), "candidates")
+        if more.isEmpty() and most > ENOUGH:
+            break
         added = materialize(verified(more, own, similarity, shingle), "links")
-        if added.isEmpty():
+        skip, most = skip + most, 2 * most
+        if added.isEmpty() and most > ENOUGH:
             break
-        pairs, links_ = pairs.unionByName(more), links_.unionByName(added)
-        found = materialize(components(links_), "groups")
-        now = unsure.select("node", "fp").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        unsure, skip, most = materialize(now.select("node", "fp", "root"), "unsure"), skip + most, 2 * most
-    return named(rows, distinct, found)
+        # Links lie within the groups searched, so only their roots change, and only roots are contracted.
+        root = lambda c: unsure.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        between = added.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        merged = components(between).select(F.col("root").alias("to"), F.col("node").alias("root"))
+        pairs = pairs.unionByName(more)
+        unsure = materialize(unsure.join(merged, "root", "left").select("node", "fp", F.coalesce("to", "root").alias("root"), "first"), "unsure")
+    moved = unsure.select("node", F.col("root").alias("to"))
+    return named(rows, distinct, nodes.select("node").join(found, "node", "left").join(moved, "node", "left").select("node", F.coalesce("to", "root", "node").alias("root")))

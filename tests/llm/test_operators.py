@@ -15,7 +15,7 @@ from tessera.llm import exact_dedup, line_dedup, lm_scoring, mixing, packing, qu
 from tessera.llm.queries import vocabulary_path
 from tessera.llm.textstats import base_stats
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, kept boolean, n_words string, margin double"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, kept boolean, n_words string, margin double, y int, _id string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -29,7 +29,7 @@ def corpus(seed=4, n=60):
         parts = [r.choice(shared) if r.random() < 0.4 else line(r.randint(0, 25)) for _ in range(r.randint(1, 6))]
         texts.append(("\n" if r.random() < 0.7 else "\r\n\t").join(parts))
     texts += texts[20:26] + [texts[30] + " tail"]
-    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", None]), len(t or ""), 7, True, "clash", 0.5) for i, t in enumerate(texts)]
+    rows = [(i, t, r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", None]), len(t or ""), 7, True, "clash", 0.5, 1, "clash") for i, t in enumerate(texts)]
     return rows
 
 
