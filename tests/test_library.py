@@ -206,7 +206,7 @@ def reach(pairs, start):
     return out
 
 
-@pytest.mark.parametrize(("seed", "local"), [(1, 0), (2, 0), (1, 12), (2, 1000), (3, 1000), (4, 1000)])
+@pytest.mark.parametrize(("seed", "local"), [(1, 0), (2, 12), (3, 1000)])
 def test_components_and_layers_on_random_graphs(spark, seed, local):
     r = random.Random(seed)
     pairs = sorted({(r.randrange(30), r.randrange(30)) for _ in range(45)})
