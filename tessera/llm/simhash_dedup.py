@@ -167,6 +167,33 @@ def forest(left: list[int], right: list[int] | None, radius: int, nearest: bool
     return out
 
 
+def between(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]] | None, radius: int) -> list[tuple[int, int]]:
+    """``forest`` of (value, root, first root) whose values are already together where their roots are the same, nearest links
+    first. Values of the most frequent root are only found, by others, and do not search."""
+    parent = {root: root for _, root, _ in left + (right or [])}
+    if len(parent) < 2:
+        return []
+    common, out = Counter(root for _, root, _ in left + (right or [])).most_common(1)[0][0], []
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    for held, asking in ((left, left),) if right is None else ((left, right), (right, left)):
+        tree = BKTree()
+        for v, _, _ in held:
+            tree.add(v)
+        for v, root, _ in asking:
+            if root != common:
+                for j in sorted(tree.within(v, radius), key=lambda j: ((v ^ held[j][0]).bit_count(), held[j][0])):
+                    a, b = top(root), top(held[j][1])
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        out.append((v, held[j][0]))
+    return out
+
+
 def apart(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]] | None, radius: int, skip: int, most: int) -> list[tuple[int, int]]:
     """Links between (value, root, first root) whose roots differ.
 
@@ -360,8 +387,8 @@ def wide_radius(similarity: float) -> int:
 
 
 def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TREE, skip: int | None = None, most: int = 0) -> DataFrame:
-    """(a, b), distinct: near pairs of ``nodes`` (node, fp, root, first), a spanning forest of short links for each tree or pair of
-    trees; with ``skip``, the links of ``apart`` between different roots instead.
+    """(a, b), distinct: near pairs of ``nodes`` (node, fp, root, first), a spanning forest of short links between different
+    roots for each tree or pair of trees; with ``skip``, the links of ``apart`` instead.
 
     Bits under one mask name a shard. A shard of more than ``tree`` rows is cut into trees and each pair of them
     searched, as in ``links``; only those shards, found by counting, are joined, so rows travel once. Trees and their
@@ -385,7 +412,9 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TRE
             if len(left) + len(right) < 2:
                 return []
             name, alone = {f: n for n, f, *_ in left + right}, key[1] == key[2]
-            if skip is None:
+            if skip is None and len({x[2] for x in left + right}) < len(left) + len(right):
+                found = between([x[1:] for x in left], None if alone else [x[1:] for x in right], radius)
+            elif skip is None:
                 found = forest([f for _, f, *_ in left], None if alone else [f for _, f, *_ in right], radius, nearest=True)
             else:
                 found = apart([x[1:] for x in left], None if alone else [x[1:] for x in right], radius, skip, most)
@@ -433,8 +462,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     """rid, doc_id, fp, component_id, first_rid for every row of ``docs``: groups of texts at this Jaccard similarity or more.
 
     Texts are sets of word shingles. A SimHash of 256 bits puts them into shards by random choices of its bits, the
-    shards' BK-trees give candidates, and candidates are kept if their exact similarity suffices. The first round
-    checks a spanning forest of each tree's links. Where a link fails and its ends stay in different groups, a tree may
+    shards' BK-trees give candidates, and candidates are kept if their exact similarity suffices. The first rounds
+    check a spanning forest of each tree's links, the second of them between the groups that a few keys have left. Where a link fails and its ends stay in different groups, a tree may
     hold another link between them, so the members of such groups are searched again: further rounds check, for each
     of them, its nearest neighbours in other groups, then twice as many of the next ones, until none is left or, beyond
     the first ``ENOUGH``, a round adds no link. Groups without a failed link to another are whole as far as any tree can tell, and are not searched
@@ -445,15 +474,30 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     rows = materialize(wide_fingerprints(own, shingle, "rid"), "wide-fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min(_order()).alias("first")).withColumn("node", F.col("first.rid")), "distinct-fingerprints")
     masks, radius = drawn_keys(distinct.count(), similarity, miss), wide_radius(similarity)
-    nodes = distinct.select("node", "fp")
-    pairs = materialize(candidates(nodes.select("*", F.col("node").alias("root"), F.col("node").alias("first")), masks, radius, tree), "candidates")
-    links_ = materialize(verified(pairs, own, similarity, shingle), "links")
-    found = materialize(components(links_), "groups")
-    rooted = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    ends = pairs.join(links_, ["a", "b"], "left_anti").join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")
-    roots = ends.select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y").select(F.explode(F.array("x", "y")).alias("root")).distinct()
-    unsure = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).join(roots, "root", "left_semi")
-    unsure = materialize(unsure.select("node", "fp", "root", F.col("root").alias("first")), "unsure")
+    placed = distinct.select("node", "fp", F.col("node").alias("root"), F.col("node").alias("first"))
+
+    def merged(links: DataFrame, placed: DataFrame) -> DataFrame:
+        """``placed`` with the roots that ``links`` leave; only roots are contracted."""
+        root = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        ends = links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        now = components(ends).select(F.col("root").alias("to"), F.col("node").alias("root"))
+        return materialize(placed.join(now, "root", "left").select("node", "fp", F.coalesce("to", "root").alias("root"), "first"), "placed")
+
+    # A few keys unite most of a large group, so that the many others need not report it again.
+    head = max(1, len(masks) // 8)
+    pairs = links_ = None
+    for some in (masks[:head], masks[head:]):
+        if not len(some):
+            continue
+        new = candidates(placed, some, radius, tree)
+        new = materialize(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"), "candidates")
+        found = materialize(verified(new, own, similarity, shingle), "links")
+        pairs, links_ = (new, found) if pairs is None else (pairs.unionByName(new), links_.unionByName(found))
+        placed = merged(found, placed)
+    rooted = lambda side: placed.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = pairs.join(links_, ["a", "b"], "left_anti").join(rooted("a"), "a").join(rooted("b"), "b").where("root_a <> root_b")
+    roots = ends.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+    unsure = materialize(placed.join(roots, "root", "left_semi").select("node", "fp", "root", F.col("root").alias("first")), "unsure")
     skip, most = 0, AGAIN
     while not unsure.isEmpty():
         more = materialize(candidates(unsure, masks, radius, tree, skip, most).join(pairs, ["a", "b"], "left_anti"), "candidates")
@@ -463,11 +507,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
         skip, most = skip + most, 2 * most
         if added.isEmpty() and most > ENOUGH:
             break
-        # Links lie within the groups searched, so only their roots change, and only roots are contracted.
-        root = lambda c: unsure.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        between = added.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        merged = components(between).select(F.col("root").alias("to"), F.col("node").alias("root"))
-        pairs = pairs.unionByName(more)
-        unsure = materialize(unsure.join(merged, "root", "left").select("node", "fp", F.coalesce("to", "root").alias("root"), "first"), "unsure")
+        # Links lie within the groups searched, so only their roots change.
+        pairs, unsure = pairs.unionByName(more), merged(added, unsure)
     moved = unsure.select("node", F.col("root").alias("to"))
-    return named(rows, distinct, nodes.select("node").join(found, "node", "left").join(moved, "node", "left").select("node", F.coalesce("to", "root", "node").alias("root")))
+    return named(rows, distinct, placed.join(moved, "node", "left").select("node", F.coalesce("to", "root").alias("root")))
