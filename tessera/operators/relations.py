@@ -59,31 +59,55 @@ def select_symbols(symbols: DataFrame, selectors: DataFrame, shown: int = 10) ->
     """ask, status, candidates, symbol_id and the first candidates of each of ``SELECTORS``; what is null is not asked for.
 
     A line lies within a symbol, and where a selector gives one, the innermost symbols around it are meant. Selectors
-    are dealt by the sharpest thing they name, so each meets the symbols in one equal join: by id, by path, by
-    qualified name or by name. One without any of these has status ``invalid``.
+    are dealt by the sharpest things they name, so each meets the symbols in one equal join: by id, by path and qualified
+    name, by path and name, by path, by qualified name or by name. One without any of these has status ``invalid``.
+
+    Selectors that ask the same are answered once, and symbols that no selector of a join can tell apart meet it as one row
+    with
+    their number and the first of them. A name that many symbols have and many selectors ask for costs its symbols plus
+    its selectors; only distinct lines asked for meet the distinct ranges of lines of its symbols.
     """
     fields = ("symbol_id", "path", "qualname", "name")
-    by = F.coalesce(*(F.when(F.col(f).isNotNull(), f) for f in fields))
-    asked = selectors.select("ask", *(F.col(f).alias(f"want_{f}") for f in SELECTOR_FIELDS), by.alias("by"))
-    own = symbols.select("symbol_id", "path", "qualname", "name", "kind", "start_line", "end_line")
-    fits = F.lit(True)
-    for f in (*fields, "kind"):
-        fits &= F.col(f"want_{f}").isNull() | (F.col(f"want_{f}") == F.col(f))
-    fits &= F.col("want_line").isNull() | F.col("want_line").between(F.col("start_line"), F.col("end_line"))
+    given = lambda f: F.col(f).isNotNull()
+    by = (
+        F.when(given("symbol_id"), "symbol_id").when(given("path") & given("qualname"), "path qualname").when(given("path") & given("name"), "path name")
+        .when(given("path"), "path").when(given("qualname"), "qualname").when(given("name"), "name")
+    )
+    wants = [F.col(f).alias(f"want_{f}") for f in SELECTOR_FIELDS]
+    asked = selectors.where(by.isNotNull()).select(*wants, by.alias("by")).distinct()
+    # What a join's keys leave open: further fields that its selectors may name.
+    further = {"symbol_id": ("path", "qualname", "name"), "path qualname": ("name",), "path name": (), "path": (), "qualname": ("name",), "name": ()}
+    same = ["want_" + f for f in SELECTOR_FIELDS]
     met = None
-    for f in fields:
-        part = asked.where(F.col("by") == f).join(own, F.col(f"want_{f}") == F.col(f)).where(fits)
+    for keys, more in further.items():
+        on = keys.split(" ")
+        alike = [*on, *more, "kind", "lined", "from", "to"]
+        place = F.row_number().over(Window.partitionBy(*(f"_{c}" for c in alike)).orderBy("path", "start_line", "symbol_id"))
+        own = symbols.select(*fields, "kind", "start_line", "end_line", F.explode(F.array(F.lit(True), F.lit(False))).alias("lined"))
+        own = own.withColumns({"from": F.when(F.col("lined"), F.col("start_line")), "to": F.when(F.col("lined"), F.col("end_line"))})
+        ranked = own.select("path", "start_line", "symbol_id", *(F.col(c).alias(f"_{c}") for c in alike)).withColumn("place", place).where(F.col("place") <= shown)
+        first = ranked.groupBy(*(f"_{c}" for c in alike)).agg(F.array_sort(F.collect_list(F.struct("path", "start_line", "symbol_id"))).alias("first"))
+        n = own.groupBy(*alike).agg(F.count("*").alias("n"))
+        groups = n.join(first, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).select(*alike, "n", "first")
+        fits = F.col("want_kind").isNull() | (F.col("want_kind") == F.col("kind"))
+        for f in more:
+            fits &= F.col(f"want_{f}").isNull() | (F.col(f"want_{f}") == F.col(f))
+        fits &= F.col("want_line").isNull() | F.col("want_line").between(F.col("from"), F.col("to"))
+        equal = F.col("want_line").isNotNull() == F.col("lined")
+        for f in on:
+            equal &= F.col(f"want_{f}") == F.col(f)
+        span = F.when(F.col("lined"), F.col("to") - F.col("from")).otherwise(0)
+        part = asked.where(F.col("by") == keys).join(groups, equal).where(fits).select(*same, "by", span.alias("span"), "n", "first")
         met = part if met is None else met.unionByName(part)
-    span = F.col("end_line") - F.col("start_line")
-    inner = F.rank().over(Window.partitionBy("ask").orderBy(F.when(F.col("want_line").isNotNull(), span).otherwise(0)))
-    met = met.withColumn("inner", inner).where("inner = 1").select("ask", "symbol_id", "path", "start_line")
-    place = F.row_number().over(Window.partitionBy("ask").orderBy("path", "start_line", "symbol_id"))
-    counts = met.groupBy("ask").agg(F.count("*").alias("candidates"), F.min("symbol_id").alias("one"))
-    first = met.withColumn("place", place).where(F.col("place") <= shown).groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("place", "symbol_id"))).alias("f"))
-    told = selectors.select("ask", by.alias("by")).join(counts, "ask", "left").join(first, "ask", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+    inner = met.withColumn("least", F.min("span").over(Window.partitionBy(*same))).where("span = least")
+    told = inner.groupBy(*same).agg(F.sum("n").alias("candidates"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, shown).alias("f"))
+    told = selectors.select("ask", *wants, by.alias("by")).join(
+        told.withColumnsRenamed({c: f"_{c}" for c in same}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same], "left"
+    )
+    told = told.withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
     n = F.col("candidates")
     status = F.when(F.col("by").isNull(), "invalid").when(n == 0, "not_found").when(n == 1, "found").otherwise("ambiguous")
-    return told.select("ask", status.alias("status"), "candidates", F.when(n == 1, F.col("one")).alias("symbol_id"), F.transform(F.coalesce("f", F.array()), lambda x: x["symbol_id"]).alias("first"))
+    return told.select("ask", status.alias("status"), "candidates", F.when(n == 1, F.col("f")[0]["symbol_id"]).alias("symbol_id"), F.transform(F.coalesce("f", F.array()), lambda x: x["symbol_id"]).alias("first"))
 
 
 def call_gaps(relations: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
