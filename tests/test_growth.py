@@ -39,3 +39,16 @@ def test_selectors_of_a_common_name_do_not_meet_every_symbol_one_by_one(spark):
     assert told[7]["status"] == "not_found" and told[8]["candidates"] == n
     inner = [i for i in range(n) if i % 20 == 4 and i % 3 == 0]
     assert told[10]["candidates"] == len(inner) and told[10]["first"] == [f"s{i:04d}" for i in inner[:10]]
+
+
+def test_facts_are_made_of_a_bounded_piece_of_a_batch_at_a_time():
+    import pyarrow as pa
+
+    from tessera.extract.python_facts import PIECE_BYTES, pieces
+
+    text = ["x" * (PIECE_BYTES // 3), "y" * (2 * PIECE_BYTES), None, "", *["z" * 1000] * 200]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(text))]), pa.array(text)], ["path", "content"])
+    parts = list(pieces(batch))
+    assert [c for p in parts for c in p.column(1).to_pylist()] == text
+    assert all(len(p) == 1 or sum(len(c or "") for c in p.column(1).to_pylist()) <= PIECE_BYTES for p in parts)
+    assert not list(pieces(batch.slice(0, 0)))
