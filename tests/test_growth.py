@@ -52,3 +52,16 @@ def test_facts_are_made_of_a_bounded_piece_of_a_batch_at_a_time():
     assert [c for p in parts for c in p.column(1).to_pylist()] == text
     assert all(len(p) == 1 or sum(len(c or "") for c in p.column(1).to_pylist()) <= PIECE_BYTES for p in parts)
     assert not list(pieces(batch.slice(0, 0)))
+
+
+def test_names_of_a_file_are_looked_up_with_one_shuffle(spark):
+    from tessera import bind
+    from tessera.extract.python_facts import BINDING_LISTS, extract
+
+    files = [("src/a.py", "import b\nfrom b import f\nclass C:\n    def m(self): f(); self.m()\ndef g(c: C): c.m(); b.f()\n"), ("src/b.py", "def f(): pass\n")]
+    facts = extract(spark.createDataFrame(files, "path string, content string"), BINDING_LISTS)
+    looked = bind._nearest(bind._asks(facts))
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    calls = {r["name"]: (r["resolution"], r["target_qualname"]) for r in bind.relations(facts).where("kind = 'CALL'").collect()}
+    assert calls == {"f": ("resolved", "f"), "self.m": ("resolved", "C.m"), "c.m": ("resolved", "C.m"), "b.f": ("resolved", "f")}
