@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,9 +47,8 @@ MEAN = 16
 #: Blocks in a key at least. Keys of two blocks serve 33 million fingerprints, so the rows under keys grow with the input alone up to there.
 SPARE = 2
 _SLICE = 1 << 15
-#: Neighbours of a text that the first search among groups still apart looks at; each further one looks at twice as many,
-#: and searches of more than so many end once one adds nothing.
-AGAIN, ENOUGH = 2, 8
+#: Shingles of one tree of texts that are compared exactly.
+TREE_SHINGLES = 1 << 21
 #: Groups by similarity: shingles of so many words, least Jaccard similarity, share of pairs just there that may be missed.
 WIDE_SHINGLE, SIMILARITY, MISS = 5, 0.8, 0.05
 #: Words of 64 bits in a wide fingerprint, and an odd multiplier for each.
@@ -169,13 +168,13 @@ def forest(left: list[int], right: list[int] | None, radius: int, nearest: bool
     return out
 
 
-def between(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]] | None, radius: int) -> list[tuple[int, int]]:
-    """``forest`` of (value, root, first root) whose values are already together where their roots are the same, nearest links
+def between(left: list[tuple[int, int]], right: list[tuple[int, int]] | None, radius: int) -> list[tuple[int, int]]:
+    """``forest`` of (value, root) whose values are already together where their roots are the same, nearest links
     first. Values of the most frequent root are only found, by others, and do not search."""
-    parent = {root: root for _, root, _ in left + (right or [])}
+    parent = {root: root for _, root in left + (right or [])}
     if len(parent) < 2:
         return []
-    common, out = Counter(root for _, root, _ in left + (right or [])).most_common(1)[0][0], []
+    common, out = Counter(root for _, root in left + (right or [])).most_common(1)[0][0], []
 
     def top(r: int) -> int:
         while parent[r] != r:
@@ -184,9 +183,9 @@ def between(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]]
 
     for held, asking in ((left, left),) if right is None else ((left, right), (right, left)):
         tree = BKTree()
-        for v, _, _ in held:
+        for v, _ in held:
             tree.add(v)
-        for v, root, _ in asking:
+        for v, root in asking:
             if root != common:
                 for j in sorted(tree.within(v, radius), key=lambda j: ((v ^ held[j][0]).bit_count(), held[j][0])):
                     a, b = top(root), top(held[j][1])
@@ -196,27 +195,43 @@ def between(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]]
     return out
 
 
-def apart(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]] | None, radius: int, skip: int, most: int) -> list[tuple[int, int]]:
-    """Links between (value, root, first root) whose roots differ.
+def alike(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]] | None, similarity: float) -> list[tuple[int, int]]:
+    """Links between (node, root, shingle set) whose sets have this Jaccard similarity: a spanning forest of all of them
+    within ``left``, or between ``left`` and ``right``, over what is already together where roots are the same.
 
-    Of each value's neighbours with another first root, nearest first, those from place ``skip`` on, ``most`` at the
-    most; first roots stay while roots merge, so places stay too. Values of the most frequent root are only found, by
-    others, and do not search.
+    A list of its texts for each shingle counts what a text shares with all others at once. Texts of the most frequent
+    root are only found, by others, and do not search.
     """
-    both = left + (right or [])
-    roots = {v: root for v, root, _ in both}
-    counts = Counter(root for _, root, _ in both)
-    if len(counts) < 2:
-        return []
-    common, out = counts.most_common(1)[0][0], []
+    parent = {root: root for _, root, _ in left + (right or [])}
+    groups, out = len(parent), []
+    common = Counter(root for _, root, _ in left + (right or [])).most_common(1)[0][0]
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
     for held, asking in ((left, left),) if right is None else ((left, right), (right, left)):
-        tree = BKTree()
-        for v, _, _ in held:
-            tree.add(v)
-        for v, root, first in asking:
-            if root != common:
-                near = sorted(((v ^ held[j][0]).bit_count(), held[j][0]) for j in tree.within(v, radius) if held[j][2] != first)
-                out += [(v, w) for _, w in near[skip : skip + most] if roots[w] != root]
+        if groups < 2 or not held:
+            break
+        sizes = np.array([len(x) for _, _, x in held])
+        flat = np.concatenate([x for _, _, x in held])
+        order = np.argsort(flat, kind="stable")
+        flat, texts = flat[order], np.repeat(np.arange(len(held)), sizes)[order]
+        for node, root, own in asking:
+            if root == common:
+                continue
+            at, stop = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+            met = [texts[a:b] for a, b in zip(at.tolist(), stop.tolist(), strict=True) if a < b]
+            shared = np.bincount(np.concatenate(met), minlength=len(held)) if met else np.zeros(len(held), np.int64)
+            for j in np.flatnonzero(shared / np.maximum(len(own) + sizes - shared, 1) >= similarity).tolist():
+                a, b = top(root), top(held[j][1])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((node, held[j][0]))
+                    groups -= 1
+            if groups < 2:
+                break
     return out
 
 
@@ -388,39 +403,34 @@ def wide_radius(similarity: float) -> int:
     return math.ceil(size * p + 2.33 * math.sqrt(size * p * (1 - p)))
 
 
-def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TREE, skip: int | None = None, most: int = 0) -> DataFrame:
-    """(a, b), distinct: near pairs of ``nodes`` (node, fp, root, first), a spanning forest of short links between different
-    roots for each tree or pair of trees; with ``skip``, the links of ``apart`` instead.
+def in_cells(nodes: DataFrame, masks: np.ndarray, weight: F.Column) -> DataFrame:
+    """``nodes`` (node, fp, more) dealt to cells (cell, i, j, right): bits under one mask name a shard.
 
-    Bits under one mask name a shard. A shard of more than ``tree`` rows is cut into trees and each pair of them
-    searched, as in ``links``; only those shards, found by counting, are joined, so rows travel once. Trees and their
-    order follow from the fingerprints alone, so reruns agree however the rows are numbered.
+    A shard of more than a ``weight`` of one is cut into trees and each pair of them is a cell, as in ``links``; only
+    those shards, found by summing, are joined, so rows travel once. Trees and their order follow from the
+    fingerprints alone, so reruns agree however the rows are numbered.
     """
+    own = nodes.columns
     words = [F.conv(F.hex(F.substring("fp", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(WORDS)]
-    flat = nodes.select("node", "fp", "root", "first", *(w.alias(f"w{k}") for k, w in enumerate(words)))
     keys = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(int(m)).alias(f"m{j}") for j, m in enumerate(row))) for k, row in enumerate(masks)))
     under = [F.col(f"w{j}").bitwiseAND(F.col(f"c.m{j}")) for j in range(WORDS)]
-    rows = flat.select("*", F.explode(keys).alias("c")).select("node", "fp", "root", "first", F.xxhash64("c.k", *under).alias("cell"))
-    hot = materialize(rows.groupBy("cell").count().where(F.col("count") > tree).select("cell", F.ceil(F.col("count") / tree).cast("int").alias("trees")), "hot-cells")
-    placed = rows.join(maybe_broadcast(hot, hot.count()), "cell", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    keyed = lambda rows: rows.withColumns({f"w{k}": w for k, w in enumerate(words)}).withColumn("c", F.explode(keys)).withColumn("cell", F.xxhash64("c.k", *under))
+    sums = keyed(nodes.select("fp", weight.alias("weight"))).groupBy("cell").agg(F.sum("weight").alias("weight"))
+    hot = materialize(sums.where("weight > 1").select("cell", F.ceil("weight").cast("int").alias("trees")), "hot-cells")
+    placed = keyed(nodes).select(*own, "cell").join(maybe_broadcast(hot, hot.count()), "cell", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    pairs = placed.select("node", "fp", "root", "first", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
+    pairs = placed.select(*own, "cell", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("other"))
     at = [F.col("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    dealt = pairs.select(*at, (F.col("own") > F.col("other")).alias("right"), "node", "fp", "root", "first")
-    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "right", "fp")
+    dealt = pairs.select(*at, (F.col("own") > F.col("other")).alias("right"), *own)
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "right", "fp")
+
+
+def searched(dealt: DataFrame, close: Callable[[list, list | None], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b), distinct: what ``close`` finds among the rows of each cell, or between its two sides; node names the ends."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: tuple, left: list, right: list) -> list[tuple[int, int]]:
-            if len(left) + len(right) < 2:
-                return []
-            name, alone = {f: n for n, f, *_ in left + right}, key[1] == key[2]
-            if skip is None and len({x[2] for x in left + right}) < len(left) + len(right):
-                found = between([x[1:] for x in left], None if alone else [x[1:] for x in right], radius)
-            elif skip is None:
-                found = forest([f for _, f, *_ in left], None if alone else [f for _, f, *_ in right], radius, nearest=True)
-            else:
-                found = apart([x[1:] for x in left], None if alone else [x[1:] for x in right], radius, skip, most)
-            return [(name[a], name[b]) for a, b in found]
+        def found_in(key: tuple, left: list, right: list) -> list[tuple[int, int]]:
+            return close(left, None if key[1] == key[2] else right) if len(left) + len(right) > 1 else []
 
         def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
             both = np.array(found, np.int64).reshape(-1, 2)
@@ -429,19 +439,47 @@ def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TRE
         key, sides = None, ([], [])
         for rows in batches:
             found = []
-            for cell, i, j, right, node, fp, root, first in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for cell, i, j, right, *row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if (cell, i, j) != key:
                     if key:
-                        found += close(key, *sides)
+                        found += found_in(key, *sides)
                     key, sides = (cell, i, j), ([], [])
-                sides[right].append((node, int.from_bytes(fp, "little"), root, first))
+                sides[right].append(row)
             yield batch(found)
         if key:
-            yield batch(close(key, *sides))
+            yield batch(found_in(key, *sides))
 
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
+def candidates(nodes: DataFrame, masks: np.ndarray, radius: int, tree: int = TREE) -> DataFrame:
+    """(a, b), distinct: near pairs of ``nodes`` (node, fp, root), a spanning forest of short links between different
+    roots for each tree or pair of trees of at most ``tree`` rows on average."""
+
+    def close(left: list, right: list | None) -> list[tuple[int, int]]:
+        sides = [None if side is None else [(int.from_bytes(fp, "little"), root) for _, fp, root in side] for side in (left, right)]
+        both = left + (right or [])
+        name = {int.from_bytes(fp, "little"): node for node, fp, _ in both}
+        if len({root for _, _, root in both}) < len(both):
+            found = between(*sides, radius)
+        else:
+            found = forest(*(None if side is None else [fp for fp, _ in side] for side in sides), radius, nearest=True)
+        return [(name[a], name[b]) for a, b in found]
+
+    return searched(in_cells(nodes.select("node", "fp", "root"), masks, F.lit(1.0 / tree)), close)
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """rid, n, set (the hashes of the n distinct shingles as longs in order, as bytes) for every row of ``rows`` (rid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(shingle_set(t, shingle).view(np.int64)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rid", "n", "set"])
+
+    return rows.select("rid", "text").mapInArrow(run, "rid long, n long, set binary")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The ``pairs`` (a, b) whose texts in ``rows`` (rid, text) have this Jaccard similarity of distinct shingles, exactly."""
     met = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
@@ -460,30 +498,49 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int)
     return both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b")
 
 
+def exact_links(nodes: DataFrame, rows: DataFrame, masks: np.ndarray, similarity: float, shingle: int, tree: int = TREE) -> DataFrame:
+    """(a, b), distinct: the links by exact similarity of all ``nodes`` (node, fp, root) that meet under a mask, but for
+    those that others make needless: a spanning forest for each tree or pair of trees. ``rows`` (rid, text) has their texts.
+
+    The shingle sets travel with the nodes, once for each mask, so this is for nodes that a cheaper search left open.
+    A tree also ends at ``TREE_SHINGLES`` shingles on average.
+    """
+    sets = shingle_sets(rows.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi"), shingle)
+    own = materialize(nodes.join(sets.withColumnRenamed("rid", "node"), "node").select("node", "fp", "root", "n", "set"), "open-sets")
+    weight = F.greatest(F.lit(1.0 / tree), F.col("n") / F.lit(float(TREE_SHINGLES)))
+
+    def close(left: list, right: list | None) -> list[tuple[int, int]]:
+        sides = [None if side is None else [(node, root, np.frombuffer(found, np.int64)) for node, _, root, _, found in side] for side in (left, right)]
+        return alike(*sides, similarity)
+
+    return searched(in_cells(own, masks, weight), close)
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, rid: str | None = None, miss: float = MISS, tree: int = TREE) -> DataFrame:
     """rid, doc_id, fp, component_id, first_rid for every row of ``docs``: groups of texts at this Jaccard similarity or more.
 
     Texts are sets of word shingles. A SimHash of 256 bits puts them into shards by random choices of its bits, the
     shards' BK-trees give candidates, and candidates are kept if their exact similarity suffices. The first rounds
-    check a spanning forest of each tree's links, the second of them between the groups that a few keys have left. Where a link fails and its ends stay in different groups, a tree may
-    hold another link between them, so the members of such groups are searched again: further rounds check, for each
-    of them, its nearest neighbours in other groups, then twice as many of the next ones, until none is left or, beyond
-    the first ``ENOUGH``, a round adds no link. Groups without a failed link to another are whole as far as any tree can tell, and are not searched
-    again. A pair that lies exactly at ``similarity`` shares no key with a chance of about ``miss``, a closer one with less.
+    check a spanning forest of each tree's links, the second of them between the groups that a few keys have left.
+    Where a link fails and its ends stay in different groups, a tree may hold another link between them. So the members
+    of such groups are dealt to their shards again, with their shingle sets, and linked by exact similarity to all they
+    meet there. A group without a failed link to another is whole as far as any tree can tell: the forest of a tree
+    leads from a text to each of its neighbours, and the first step out of its group would be a failed link. A pair
+    that lies exactly at ``similarity`` shares no key with a chance of about ``miss``, a closer one with less.
     Null text counts as empty, texts without words are alike, an empty table gives an empty result.
     """
     own = materialize(docs.select(row_id(rid), "doc_id", "text"), "numbered-texts") if rid is None else docs
     rows = materialize(wide_fingerprints(own, shingle, "rid"), "wide-fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min(_order()).alias("first")).withColumn("node", F.col("first.rid")), "distinct-fingerprints")
     masks, radius = drawn_keys(distinct.count(), similarity, miss), wide_radius(similarity)
-    placed = distinct.select("node", "fp", F.col("node").alias("root"), F.col("node").alias("first"))
+    placed = distinct.select("node", "fp", F.col("node").alias("root"))
 
     def merged(links: DataFrame, placed: DataFrame) -> DataFrame:
         """``placed`` with the roots that ``links`` leave; only roots are contracted."""
         root = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         ends = links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         now = components(ends).select(F.col("root").alias("to"), F.col("node").alias("root"))
-        return materialize(placed.join(now, "root", "left").select("node", "fp", F.coalesce("to", "root").alias("root"), "first"), "placed")
+        return materialize(placed.join(now, "root", "left").select("node", "fp", F.coalesce("to", "root").alias("root")), "placed")
 
     # A few keys unite most of a large group, so that the many others need not report it again.
     head = max(1, len(masks) // 8)
@@ -499,17 +556,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     rooted = lambda side: placed.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
     ends = pairs.join(links_, ["a", "b"], "left_anti").join(rooted("a"), "a").join(rooted("b"), "b").where("root_a <> root_b")
     roots = ends.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
-    unsure = materialize(placed.join(roots, "root", "left_semi").select("node", "fp", "root", F.col("root").alias("first")), "unsure")
-    skip, most = 0, AGAIN
-    while not unsure.isEmpty():
-        more = materialize(candidates(unsure, masks, radius, tree, skip, most).join(pairs, ["a", "b"], "left_anti"), "candidates")
-        if more.isEmpty() and most > ENOUGH:
-            break
-        added = materialize(verified(more, own, similarity, shingle), "links")
-        skip, most = skip + most, 2 * most
-        if added.isEmpty() and most > ENOUGH:
-            break
+    unsure = materialize(placed.join(roots, "root", "left_semi").select("node", "fp", "root"), "unsure")
+    if not unsure.isEmpty():
         # Links lie within the groups searched, so only their roots change.
-        pairs, unsure = pairs.unionByName(more), merged(added, unsure)
+        unsure = merged(materialize(exact_links(unsure, own, masks, similarity, shingle, tree), "links"), unsure)
     moved = unsure.select("node", F.col("root").alias("to"))
     return named(rows, distinct, placed.join(moved, "node", "left").select("node", F.coalesce("to", "root").alias("root")))

@@ -216,6 +216,23 @@ def test_similar_groups_join_what_exact_similarity_joins(spark, tmp_path):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(got.values())
 
 
+def test_open_groups_are_linked_by_all_their_texts_and_report_a_forest():
+    """Two hundred texts that are alike to each other only over many others: every link counts, and none is reported twice."""
+    sets = [np.arange(10 * k, 10 * k + 100, dtype=np.int64) for k in range(200)]
+    rows = [(k, k, sets[k]) for k in range(200)]
+    found = simhash_dedup.alike(rows, None, 0.8)
+    assert len(found) == 199 and {b - a for a, b in map(sorted, found)} == {1}
+    assert not simhash_dedup.alike(rows, None, 0.9)
+    # Between two sides only links across count; what is together already is not reported.
+    across = simhash_dedup.alike(rows[::2], rows[1::2], 0.8)
+    assert len(across) == 199
+    joined = [(k, 0 if k < 150 else k, sets[k]) for k in range(200)]
+    assert len(simhash_dedup.alike(joined, None, 0.8)) == 50
+    # Far texts come first by place: a limit on the neighbours looked at would lose the one that is alike.
+    near = [(k, k, np.arange(70 + k, dtype=np.int64) if k < 60 else np.arange(1000, 1100, dtype=np.int64)) for k in range(62)]
+    assert (60, 61) in {tuple(sorted(x)) for x in simhash_dedup.alike(near, None, 0.8)}
+
+
 def test_fingerprint_keys_stay_the_same_while_the_corpus_grows(spark):
     """A corpus of any size up to 33 million fingerprints has the same number of rows a fingerprint under its keys."""
     assert simhash_dedup.SPARE == 2 and all(max(simhash_dedup.SPARE, simhash_dedup.spare_blocks(n, 4)) == 2 for n in (2, 47_000, 236_000, 15_000_000))
