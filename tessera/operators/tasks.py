@@ -107,30 +107,34 @@ def lineage(touches: DataFrame, max_rounds: int = 60) -> DataFrame:
     """origin, current of each file that ``touches`` (task, seq, source, target) move, make (no source) or delete (no target).
 
     Names may be used again, and a file may come back to its own. A touch that takes a name continues the last touch
-    before it that gave the name, which a lag over the touches of each name finds; each doubling of the pointers to
-    the first touch halves what is left of the longest chain. A source that was given away or never came back has
-    ``conflict`` set, and starts a file of its own.
+    before it that gave the name, which a lag over the touches of each name finds. Each doubling of the pointers to
+    the first touch halves what is left of the longest chain; pointers are numbers alone, and those that have come to
+    a first touch stay where they are. As a chain's touches follow in order of seq, its last is that with the greatest.
+    A source that was given away or never came back has ``conflict`` set, and starts a file of its own.
     """
-    moves = materialize(touches.where("not (source <=> target)").select("task", "seq", "source", "target"), "touches")
-    gives = moves.where("target is not null").select("task", F.col("target").alias("name"), "seq", F.lit(1).alias("gives"))
-    takes = moves.where("source is not null").select("task", F.col("source").alias("name"), "seq", F.lit(0).alias("gives"))
+    moves = touches.where("not (source <=> target)").select("task", "seq", "source", "target")
+    gives = moves.where("target is not null").select("task", F.col("target").alias("name"), "seq", F.lit(1).alias("gives"), F.lit(None).cast("string").alias("target"))
+    takes = moves.where("source is not null").select("task", F.col("source").alias("name"), "seq", F.lit(0).alias("gives"), "target")
     order = Window.partitionBy("task", "name").orderBy("seq", "gives")
     both = gives.unionByName(takes).withColumns({"last": F.lag("seq").over(order), "gave": F.lag("gives").over(order)})
-    before = both.where("gives = 0").select("task", "seq", F.when(F.col("gave") == 1, F.col("last")).alias("up"), (F.col("gave") == 0).alias("lost"))
-    now = moves.join(before, ["task", "seq"], "left").select("task", "seq", "source", "target", F.coalesce("lost", F.lit(False)).alias("conflict"), "up", F.coalesce("up", "seq").alias("first"))
-    now = materialize(now, "lineage")
-    followed = now.where("up is not null").select("task", F.col("up").alias("seq"))
+    up, lost = F.when(F.col("gave") == 1, F.col("last")), F.coalesce(F.col("gave") == 0, F.lit(False))
+    taken = both.where("gives = 0").select("task", "seq", F.col("name").alias("source"), "target", lost.alias("conflict"), up.alias("up"))
+    made = moves.where("source is null").select("task", "seq", "source", "target", F.lit(False).alias("conflict"), F.lit(None).cast(moves.schema["seq"].dataType).alias("up"))
+    chains = materialize(taken.unionByName(made), "lineage")
+    ended = chains.where("up is null").select("task", "seq", F.col("seq").alias("first"))
+    going = chains.where("up is not null").select("task", "seq", F.col("up").alias("first"))
     for _ in range(max_rounds):
-        above = now.select("task", F.col("seq").alias("first"), F.col("first").alias("further"))
-        step = now.join(above, ["task", "first"]).select("task", "seq", "source", "target", "conflict", "up", F.col("further").alias("first"), (F.col("further") != F.col("first")).alias("moved"))
-        step = materialize(step, "lineage")
-        now = step.drop("moved")
-        if step.where("moved").isEmpty():
+        if going.isEmpty():
             break
+        above = ended.withColumn("ended", F.lit(True)).unionByName(going.withColumn("ended", F.lit(False)))
+        step = going.join(above.select("task", F.col("seq").alias("first"), F.col("first").alias("further"), "ended"), ["task", "first"])
+        step = materialize(step.select("task", "seq", F.col("further").alias("first"), "ended"), "pointers")
+        ended, going = ended.unionByName(step.where("ended").drop("ended")), step.where("not ended").drop("ended")
     else:
         raise RuntimeError("too many rounds")
-    last = now.join(followed, ["task", "seq"], "left_anti").select("task", "first", F.col("target").alias("current"))
-    root = now.where("seq = first").select("task", "first", F.col("source").alias("origin"), "conflict")
+    ends = ended.groupBy("task", "first").agg(F.max("seq").alias("seq"))
+    root = chains.where("up is null").select("task", F.col("seq").alias("first"), F.col("source").alias("origin"), "conflict")
+    last = ends.join(chains.select("task", "seq", F.col("target").alias("current")), ["task", "seq"]).drop("seq")
     return root.join(last, ["task", "first"]).select("task", "first", "origin", "current", "conflict")
 
 
@@ -142,10 +146,10 @@ def task_changes(touches: DataFrame, before: DataFrame, after: DataFrame) -> Dat
     known = lineage(touches)
     old = before.select("task", F.col("path").alias("origin"), F.col("sha256").alias("old"), F.col("binary").alias("old_binary"))
     new = after.select("task", F.col("path").alias("current"), F.col("sha256").alias("new"), F.col("binary").alias("new_binary"))
-    away = known.where("origin is not null").select("task", "origin")
-    still = old.join(away, ["task", "origin"], "left_anti").select("task", F.lit(None).cast("long").alias("first"), "origin", F.col("origin").alias("current"), F.lit(False).alias("conflict"))
-    rows = known.unionByName(still.withColumn("first", F.lit(None).cast(known.schema["first"].dataType)))
-    rows = rows.where("origin is not null or current is not null").join(old, ["task", "origin"], "left").join(new, ["task", "current"], "left")
+    # Files that no touch takes up come in by the same join and stay where they are.
+    rows = known.withColumn("touched", F.lit(True)).join(old, ["task", "origin"], "full")
+    rows = rows.withColumns({"current": F.when(F.col("touched"), F.col("current")).otherwise(F.col("origin")), "conflict": F.coalesce("conflict", F.lit(False))})
+    rows = rows.where("origin is not null or current is not null").join(new, ["task", "current"], "left")
     changed = ~F.col("old").eqNullSafe(F.col("new"))
     op = (
         F.when(F.col("origin").isNull(), "add").when(F.col("current").isNull() | F.col("new").isNull(), "delete")

@@ -65,3 +65,15 @@ def test_names_of_a_file_are_looked_up_with_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     calls = {r["name"]: (r["resolution"], r["target_qualname"]) for r in bind.relations(facts).where("kind = 'CALL'").collect()}
     assert calls == {"f": ("resolved", "f"), "self.m": ("resolved", "C.m"), "c.m": ("resolved", "C.m"), "b.f": ("resolved", "f")}
+
+
+def test_pointers_of_lineage_carry_no_names_and_stop_at_the_first_touch(spark, monkeypatch):
+    from tessera.operators import tasks
+
+    written = []
+    monkeypatch.setattr(tasks, "materialize", lambda df, name, real=tasks.materialize: written.append((name, df.columns)) or real(df, name))
+    touches = [(1, k, f"n{k}", f"n{k + 1}") for k in range(5)] + [(1, 9, None, "x"), (2, 1, "n0", "y")]
+    got = {tuple(r) for r in tasks.lineage(spark.createDataFrame(touches, "task long, seq long, source string, target string")).select("task", "origin", "current", "conflict").collect()}
+    assert got == {(1, "n0", "n5", False), (1, None, "x", False), (2, "n0", "y", False)}
+    assert all(name == "lineage" or not {"source", "target"} & set(columns) for name, columns in written)
+    assert sum("source" in columns for _, columns in written) == 1
