@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,16 +36,19 @@ SEQUENCE = 2048
 CLOSING_ID = 1
 #: Sequences in a group.
 GROUP = 1024
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, from one task to the next.
+REMEMBERED = 700_000
 #: Texts that are encoded together.
 SLICE = 128
 
 
-#: How the vocabulary splits a word of ASCII letters (lower-cased) or of Latin letters.
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_LATIN = re.compile(r"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|[^\W\d_]+|[0-9]|(?:[^\w]|_)+")
+#: How the vocabulary splits words of ASCII letters (lower-cased) or of Latin letters, given one to a line.
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
+_LATIN = re.compile(r"'[sStTmMdD]|'[rR][eE]|'[vV][eE]|'[lL][lL]|[^\W\d_]+|[0-9]|(?:[^\w\n]|_)+|\n")
 _LATIN_ONLY = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Stands for the end of a line among ids; as every id is below 2^16, no four bytes of ids look like it.
+_LINE_END = b"\xff\xff\xff\xff"
+_LINES = {b"\n": _LINE_END, "\n": _LINE_END}
 
 
 class WordEncoder:
@@ -52,8 +56,9 @@ class WordEncoder:
 
     The vocabulary splits at white space and never joins words, so a text's ids are its words' ids in turn; and
     a word's ids are those of its letter runs, digits and marks. Both are remembered, up to a limit each, as
-    little-endian unsigned 32-bit bytes. Parts that are not known yet are encoded together in one call and told
-    apart by their word-end tokens; words beyond Latin letters go to the tokenizer whole.
+    little-endian unsigned 32-bit bytes. Words that are not known yet are split and put together as one text with a
+    word on each line; parts that are not known are encoded in one call and told apart by their word-end tokens. Words
+    beyond Latin letters go to the tokenizer whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
@@ -61,6 +66,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids must be below 2^16")
         self.remembered, self.ids, self.parts = remembered, {}, {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
@@ -69,46 +76,56 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _split(self, word: bytes) -> list | None:
-        """The parts of a word, or None if only the tokenizer can tell."""
-        if b"<|" in word:
-            return None
-        if word.isascii():
-            return _ASCII.findall(word.lower())
-        text = word.decode("utf-8", "replace")
-        return _LATIN.findall(text) if _LATIN_ONLY.fullmatch(text) and text.isprintable() else None
-
-    def _learn(self, words: list[bytes]) -> None:
-        split = {w: self._split(w) for w in words}
-        new = list(dict.fromkeys(p for parts in split.values() if parts for p in parts if p not in self.parts))
+    def _learn_parts(self, found: set) -> None:
+        new = list(found.difference(self.parts))
         if len(self.parts) + len(new) > 2 * self.remembered:
             self.parts.clear()
-            new = list(dict.fromkeys(p for parts in split.values() if parts for p in parts))
-        if new:
-            texts = [p.decode() if isinstance(p, bytes) else p for p in new]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(new):
-                raw, at = ids.tobytes(), (4 * stops).tolist()
-                self.parts.update(zip(new, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
-            else:
-                self.parts.update((p, self._whole(t)) for p, t in zip(new, texts, strict=True))
-        get = self.parts.__getitem__
-        for w, parts in split.items():
-            self.ids[w] = self._whole(w.decode("utf-8", "replace")) if parts is None else b"".join(map(get, parts))
+            new = list(found)
+        if not new:
+            return
+        texts = [p.decode() if isinstance(p, bytes) else p for p in new]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(new):
+            raw, at = ids.tobytes(), (4 * stops).tolist()
+            self.parts.update(zip(new, (raw[a:b] for a, b in zip([0, *at], at, strict=False)), strict=True))
+        else:
+            self.parts.update((p, self._whole(t)) for p, t in zip(new, texts, strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            (plain if w.isascii() and b"<|" not in w else other).append(w)
+        latin = [(w, t) for w in other if b"<|" not in w and _LATIN_ONLY.fullmatch(t := w.decode("utf-8", "replace"))]
+        lines = [_ASCII.findall(b"\n".join(plain).lower()), _LATIN.findall("\n".join(t for _, t in latin))]
+        self._learn_parts(set().union(*lines).difference(_LINES))
+        self.parts.update(_LINES)
+        for alike, parts in zip((plain, [w for w, _ in latin]), lines, strict=True):
+            if alike:
+                self.ids.update(zip(alike, b"".join(map(self.parts.__getitem__, parts)).split(_LINE_END), strict=True))
+        for w in other:
+            if w not in self.ids:
+                self.ids[w] = self._whole(w.decode("utf-8", "replace"))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.ids
-        missing = list(set().union(*split) - known.keys())
+        found = set().union(*split)
+        missing = list(found.difference(known))
         if missing:
             if len(known) + len(missing) > self.remembered:
                 known.clear()
-                missing = list(set().union(*split))
+                missing = list(found)
             self._learn(missing)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a Python worker: the next task finds the words that the last one met."""
+    return WordEncoder(path)
+
+
 def cuts(n: int, sequence: int = SEQUENCE) -> list[int]:
     """Lengths of the pieces of ``n`` ids: whole sequences, then descending powers of two."""
     rest = n % sequence
@@ -125,7 +142,7 @@ def pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, closing_i
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(vocabulary), np.array([closing_id], "<u4").tobytes()
+        encoder, end = encoder_of(vocabulary), np.array([closing_id], "<u4").tobytes()
         for batch in batches:
             at, out = [], []
             texts = batch.column(2).to_pylist()

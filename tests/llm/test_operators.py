@@ -458,6 +458,28 @@ def test_packing_covers_every_id_once(docs, rows):
     assert sequences <= total / 64 + got["sequence_id"].floordiv(2**32).nunique()
 
 
+def test_learning_words_does_not_walk_through_the_known_ones():
+    import time
+
+    def spent(encoder):
+        began = time.process_time()
+        for k in range(60):
+            encoder.encode([f"word{k}"])
+        return time.process_time() - began
+
+    few, many = (packing.WordEncoder(vocabulary_path(), remembered=10**6) for _ in range(2))
+    many.ids = {b"%d" % k: b"" for k in range(900_000)}
+    assert spent(many) < 10 * spent(few) + 0.1
+
+
+def test_words_learned_together_have_the_ids_of_the_tokenizer():
+    encoder = packing.WordEncoder(vocabulary_path(), remembered=12)
+    texts = ["don't 'S x<|endoftext|>y \x00 q\x1dz", "É'RE _a_b 12ab3 Straße, \u01c5 \u4e2d\u6587", "don't 'LL \u0301a İs ﬁ", "", None]
+    want = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for _ in range(2):
+        assert encoder.encode(texts) == want and [encoder.encode([t])[0] for t in texts] == want
+
+
 def test_packing_spreads_cost_and_fills():
     lengths = np.array(sorted([1 << (k % 9) for k in range(3000)], reverse=True))
     place, offset = packing.assign(lengths, 256)
