@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
@@ -17,6 +17,8 @@ from tessera.session import materialize
 MAX_DEPTH = 5
 #: Edges up to which what is left of a graph is finished in one task, at some hundred bytes an edge; beyond it rounds go on.
 LOCAL_EDGES = 500_000
+#: Neighbours in one list, and rows that a task of a walk tells apart.
+LIST, TASK_ROWS = 1000, 2_000_000
 
 
 def orient(edges: DataFrame, direction: str) -> DataFrame:
@@ -29,19 +31,51 @@ def orient(edges: DataFrame, direction: str) -> DataFrame:
     return chosen[direction].distinct()
 
 
+class _Lists:
+    """Neighbours of each node as lists of at most ``LIST``, for walks from many seeds.
+
+    A step sends a list for each node it stands on, not a row for each neighbour, to where the seed's nodes are told apart.
+    That is one place for each seed and ``bucket`` of nodes; few seeds have many buckets, so that all tasks have work.
+    """
+
+    def __init__(self, steps: DataFrame, seeds: int) -> None:
+        self.least = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = -(-self.least // max(1, seeds))
+        place = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("tgt"))
+        rows = steps.select("src", "tgt", self.bucket("tgt")).withColumn("chunk", F.floor(place / LIST))
+        lists = rows.groupBy("src", "bucket", "chunk").agg(F.array_sort(F.collect_list("tgt")).alias("targets"))
+        self.rows = materialize(lists.drop("chunk"), "lists")
+        self.sizes = self.rows.groupBy("src").agg(F.sum(F.size("targets")).alias("n"))
+
+    def bucket(self, node: str) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def tasks(self, nodes: DataFrame) -> int:
+        """Tasks for what steps from ``nodes`` (src) meet, so that none holds many more than ``TASK_ROWS``."""
+        met = nodes.groupBy("src").agg(F.count("*").alias("times")).join(self.sizes, "src")
+        return max(self.least, -(-(met.agg(F.sum(F.col("times") * F.col("n"))).first()[0] or 0) // TASK_ROWS))
+
+
 def distances(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
-    """seed, node, distance of every node within ``depth`` steps of each seed (column node)."""
+    """seed, node, distance of every node within ``depth`` steps of each seed (column node).
+
+    The last layer, which is mostly the largest, is not written but left to whoever reads the result.
+    """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
-    steps = materialize(orient(edges, direction), "steps")
     seen = materialize(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct(), "layer-0")
+    lists = _Lists(orient(edges, direction), seen.count())
     frontier = seen
     for level in range(1, depth + 1):
-        reached = frontier.select("seed", F.col("node").alias("src")).join(steps, "src").select("seed", F.col("tgt").alias("node")).distinct()
-        fresh = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(level))
-        frontier = materialize(fresh, f"layer-{level}")
+        at = frontier.select("seed", F.col("node").alias("src"))
+        met = at.join(lists.rows, "src").select("seed", "bucket", "targets", F.lit(level).alias("distance"))
+        known = seen.select("seed", lists.bucket("node"), F.array("node").alias("targets"), "distance")
+        both = met.unionByName(known).repartition(lists.tasks(at), "seed", "bucket").select("seed", "bucket", F.explode("targets").alias("node"), "distance")
+        least = both.groupBy("seed", "bucket", "node").agg(F.min("distance").alias("distance")).select("seed", "node", "distance")
+        if level == depth:
+            return least
+        frontier = materialize(least.where(F.col("distance") == level), f"layer-{level}")
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def chains(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
@@ -62,28 +96,33 @@ def chains(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = MAX_DEPTH, most: int = 10) -> DataFrame:
     """source, target, length, path: all shortest paths of each pair (source, target), the first ``most`` in order."""
     pairs = materialize(pairs.select("source", "target").distinct(), "pairs")
-    reach = distances(edges, pairs.select(F.col("source").alias("node")), depth)
+    reach = materialize(distances(edges, pairs.select(F.col("source").alias("node")), depth), "path-layers")
     ends = pairs.join(reach.select(F.col("seed").alias("source"), F.col("node").alias("target"), "distance"), ["source", "target"])
-    return _paths_back(edges, materialize(reach, "path-layers"), ends, depth, most)
+    return _paths_back(edges, reach, ends, depth, most)
 
 
 def shortest_paths_from(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH, most: int = 10) -> DataFrame:
     """``shortest_paths`` of every seed (node) to every node within ``depth`` steps, itself included.
 
     Every node is a target, so each level keeps the first ``most`` paths of each (source, node) and extends them by
-    one step to nodes not met before. Paths of a node that extend one parent's are in the order of the parent's, so
+    one step to nodes not met before; the last level is not written but left to whoever reads the result. Paths of a node that extend one parent's are in the order of the parent's, so
     each of a node's first ``most`` extends one of a parent's first ``most``.
     """
-    steps = materialize(edges.select("src", "tgt").distinct(), "path-steps")
     start = seeds.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).alias("length"), F.array("node").alias("path")).distinct()
-    frontier = materialize(start, "paths-0")
-    done = frontier
+    done = frontier = materialize(start, "paths-0")
+    lists = _Lists(edges.select("src", "tgt").distinct(), done.count())
     for level in range(1, depth + 1):
-        grown = frontier.select("source", F.col("target").alias("src"), "path").join(steps, "src").select("source", F.col("tgt").alias("target"), "path")
-        fresh = grown.join(done.select("source", "target").distinct(), ["source", "target"], "left_anti")
-        fresh = fresh.select("source", "target", F.lit(level).alias("length"), F.concat("path", F.array("target")).alias("path"))
-        place = F.row_number().over(Window.partitionBy("source", "target").orderBy("path"))
-        frontier = materialize(fresh.withColumn("place", place).where(F.col("place") <= most).drop("place"), f"paths-{level}")
+        at = frontier.select("source", F.col("target").alias("src"), "path")
+        met = at.join(lists.rows, "src").select("source", "bucket", "path", "targets", F.lit(level).alias("length"))
+        none = F.lit(None).cast(done.schema["path"].dataType).alias("path")
+        known = done.select("source", lists.bucket("target"), none, F.array("target").alias("targets"), "length")
+        both = met.unionByName(known).repartition(lists.tasks(at), "source", "bucket")
+        grown = both.select("source", "bucket", "path", F.explode("targets").alias("target"), "length")
+        own = Window.partitionBy("source", "bucket", "target")
+        place, first = F.row_number().over(own.orderBy("length", "path")), F.min("length").over(own)
+        fresh = grown.withColumns({"place": place, "first": first}).where((F.col("first") == level) & (F.col("place") <= most))
+        fresh = fresh.select("source", "target", "length", F.concat("path", F.array("target")).alias("path"))
+        frontier = fresh if level == depth else materialize(fresh, f"paths-{level}")
         done = done.unionByName(frontier)
     return done
 

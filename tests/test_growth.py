@@ -77,3 +77,31 @@ def test_pointers_of_lineage_carry_no_names_and_stop_at_the_first_touch(spark, m
     assert got == {(1, "n0", "n5", False), (1, None, "x", False), (2, "n0", "y", False)}
     assert all(name == "lineage" or not {"source", "target"} & set(columns) for name, columns in written)
     assert sum("source" in columns for _, columns in written) == 1
+
+
+def test_walks_send_lists_of_neighbours_not_a_row_for_each(spark):
+    """Rows that all exchanges of a walk write, where a node has a hundred neighbours."""
+    from tessera.operators import graph
+
+    n, degree = 2000, 100
+    edges = spark.range(n * degree).select(F.format_string("n%d", F.col("id") % n).alias("src"), F.format_string("n%d", (F.col("id") * 7919 + F.floor(F.col("id") / n)) % n).alias("tgt"))
+    seeds = spark.range(40).select(F.format_string("n%d", F.col("id")).alias("node"))
+
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def sent(walk) -> int:
+        before = store.executionsList().last().executionId() if store.executionsCount() else -1
+        walk().write.format("noop").mode("overwrite").save()
+        written, runs = {}, store.executionsList()
+        for run in (runs.apply(k) for k in range(runs.size())):
+            if run.executionId() > before:
+                values, metrics = store.executionMetrics(run.executionId()), run.metrics()
+                ids = {metrics.apply(k).accumulatorId() for k in range(metrics.size()) if metrics.apply(k).name() == "shuffle records written"}
+                written.update({i: int(values.apply(i).replace(",", "")) for i in ids if values.contains(i)})
+        return sum(written.values())
+
+    assert edges.distinct().count() == n * degree
+    # 40 seeds meet 400,000 neighbours on their second step.
+    most = 5 * n * degree // 2
+    a, b = sent(lambda: graph.distances(edges, seeds, 2)), sent(lambda: graph.shortest_paths_from(edges, seeds, 2))
+    assert a < most and b < most, (a, b)
