@@ -21,26 +21,25 @@ def fit_sections(items: DataFrame, budget: int, slack: int = SLACK) -> DataFrame
     What a request has too much is taken from the section that can give most, from its end, and only what that cannot
     give from the next. Sections come down to their minimum first, then those of ``LAST`` to nothing. Since each section
     gives all it can before the next is asked, running sums over the sections, and over the items from their ends,
-    tell all of it without a loop. Status is ``ready`` (all kept), ``clipped``, or ``exceeded`` where the rest is still
-    too long.
+    tell all of it without a loop. All sums are windows over one exchange by request; the items meet no table of their
+    own sums. Status is ``ready`` (all kept), ``clipped``, or ``exceeded`` where the rest is still too long.
     """
     size = F.col("chars") + BETWEEN
     least = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in MINIMUMS.items() for x in pair)), F.col("section")), F.lit(1))
     layer = F.when(F.col("place") > least, 0).when(F.col("section").isin(*LAST), 1).otherwise(2)
-    rows = items.withColumns({"size": size, "layer": layer})
-    gives = rows.groupBy("request", "section", "layer").agg(F.sum("size").alias("gives"))
-    whole = Window.partitionBy("request")
-    order = whole.orderBy("layer", F.desc("gives"), "section").rowsBetween(Window.unboundedPreceding, -1)
-    asked = gives.withColumns({"total": F.sum("gives").over(whole), "before": F.coalesce(F.sum("gives").over(order), F.lit(0))})
+    rows = items.repartition("request").withColumns({"size": size, "layer": layer})
+    whole, own = Window.partitionBy("request"), Window.partitionBy("request", "section", "layer")
+    after = own.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.withColumn("after", F.coalesce(F.sum("size").over(after), F.lit(0))).withColumn("gives", F.sum("size").over(own))
+    total, can = F.sum("size").over(whole), F.coalesce(F.sum(F.when(F.col("layer") < 2, F.col("size"))).over(whole), F.lit(0))
+    told = told.withColumns({"total": total, "can": can})
+    # Items of one section and layer are equal in this order, so the sum up to them holds all their own.
+    upto = F.sum("size").over(whole.orderBy("layer", F.desc("gives"), "section").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     excess = F.when(F.col("total") > budget, F.col("total") - budget + slack).otherwise(0)
-    can = F.sum(F.when(F.col("layer") < 2, F.col("gives"))).over(whole)
-    asked = asked.withColumns({"excess": excess, "can": F.coalesce(can, F.lit(0))})
+    told = told.withColumns({"before": upto - F.col("gives"), "excess": excess})
     quota = F.when(F.col("layer") < 2, F.greatest(F.lit(0), F.least("gives", F.col("excess") - F.col("before")))).otherwise(0)
     status = F.when(F.col("excess") == 0, "ready").when(F.col("total") - F.col("can") > budget, "exceeded").otherwise("clipped")
-    told = rows.join(asked.select("request", "section", "layer", quota.alias("quota"), status.alias("status")), ["request", "section", "layer"])
-    after = Window.partitionBy("request", "section", "layer").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.coalesce(F.sum("size").over(after), F.lit(0)) >= F.col("quota")
-    return told.withColumn("kept", kept).select(*items.columns, "kept", "status")
+    return told.select(*items.columns, (F.col("after") >= quota).alias("kept"), status.alias("status"))
 
 
 def clipped_fields(fitted: DataFrame) -> DataFrame:

@@ -61,3 +61,10 @@ def test_pages_of_many_ranges_cover_everything_once(spark):
             break
         now = spark.createDataFrame(sections.resumed(now, spark.createDataFrame(cursors)).collect(), now.schema)
     assert got == want and not cursors
+
+
+def test_sections_are_fitted_with_one_exchange(spark):
+    items = spark.range(500).selectExpr("id div 50 as request", "concat('s', id % 4) as section", "id div 4 as place", "id as chars")
+    plan = sections.fit_sections(items, 300)._jdf.queryExecution().sparkPlan().toString()
+    run = sections.fit_sections(items, 300)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and run.count("Exchange hashpartitioning") == 1
