@@ -105,3 +105,27 @@ def test_walks_send_lists_of_neighbours_not_a_row_for_each(spark):
     most = 5 * n * degree // 2
     a, b = sent(lambda: graph.distances(edges, seeds, 2)), sent(lambda: graph.shortest_paths_from(edges, seeds, 2))
     assert a < most and b < most, (a, b)
+
+
+def test_value_flow_binds_calls_only_and_moves_no_ids(spark, monkeypatch):
+    from tessera import bind
+    from tessera.extract.python_facts import extract
+    from tessera.operators import flow
+
+    names = [f"m{k}" for k in range(40)]
+    files = [(f"src/{n}.py", "".join(f"from {m} import {m}\n" for m in names if m != n) + f"def {n}(v: int):\n" + "".join(f"    v = {m}(v)\n" for m in names) + "    return v\n") for n in names]
+    facts = extract(spark.createDataFrame(files, "path string, content string")).localCheckpoint()
+    written = {}
+
+    def count(df, name, *rest, real=bind.materialize):
+        made = real(df, name, *rest)
+        written[name] = (made.count(), [f"{k} {v}" for k, v in made.dtypes])
+        return made
+
+    monkeypatch.setattr(bind, "materialize", count)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    calls = len(names) ** 2
+    edges = rows(flow.flow_edges(facts, bind.bound_calls(facts)))
+    assert written["looked-up"][0] == written["bound"][0] == calls
+    assert not any("symbol_id" in c or "id:" in c for name in ("exports-0", "looked-up", "bound") for c in written[name][1])
+    assert edges == rows(flow.flow_edges(facts, bind.relations(facts))) and sum(e[2] == "ARG_TO_PARAM" for e in edges) == calls
