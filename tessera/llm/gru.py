@@ -82,33 +82,72 @@ class Lanes:
             yield self.start[:active] + np.minimum(at, self.length[:active] - 1), valid
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-
-
-def _forward(p: Params, table: np.ndarray, ids: np.ndarray, keep: np.ndarray, h: np.ndarray, cache: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden states of a window (steps x lanes x hidden) and the last state."""
-    hidden = h.shape[1]
-    out = np.empty((*ids.shape, hidden), np.float32)
-    gates, u = table[ids], p["U"]
-    for t in range(len(ids)):
-        if not keep[t].all():
-            h = h * keep[t][:, None]
-        a = h @ u
-        g = gates[t]
-        zr = _sigmoid(g[:, : 2 * hidden] + a[:, : 2 * hidden])
-        z, r = zr[:, :hidden], zr[:, hidden:]
-        n = np.tanh(g[:, 2 * hidden :] + r * a[:, 2 * hidden :])
+class _Room:
+    """Arrays that windows use again: to get and return some megabytes for each window costs more than to fill them."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def _forward(p: Params, ids: np.ndarray, keep: np.ndarray, h: np.ndarray, room: _Room, cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden states of a window (steps x lanes x hidden) and the last state (lanes x hidden).
+
+    Within a window features come first and lanes last, so each gate is one contiguous block.
+    """
+    (steps, lanes), hidden = ids.shape, h.shape[1]
+    # A sigmoid is a tangent of half its argument; the halves go into the weights.
+    half = np.repeat(np.array([0.5, 0.5, 1], np.float32), hidden)
+    u = np.ascontiguousarray((p["U"] * half).T)
+    inputs = room("inputs", steps, lanes, p["E"].shape[1])
+    np.take(p["E"], ids, axis=0, out=inputs, mode="clip")
+    gates = np.matmul(np.ascontiguousarray((p["Wx"] * half).T), inputs.transpose(0, 2, 1), out=room("gates", steps, 3 * hidden, lanes))
+    gates += (p["b"] * half)[:, None]
+    out, zr, n = room("out", steps, hidden, lanes), room("zr", steps, 2 * hidden, lanes), room("n", steps, hidden, lanes)
+    befores, inner = (room("befores", *out.shape), room("inner", *out.shape)) if cache is not None else (None, None)
+    h, a, whole = np.ascontiguousarray(h.T), room("a", 3 * hidden, lanes), keep.all(1)
+    for t in range(steps):
+        if not whole[t]:
+            h = h * keep[t]
+        np.matmul(u, h, out=a)
+        s, c = zr[t], n[t]
+        np.add(gates[t, : 2 * hidden], a[: 2 * hidden], out=s)
+        np.tanh(s, out=s)
+        s *= 0.5
+        s += 0.5
+        np.multiply(s[hidden:], a[2 * hidden :], out=c)
+        c += gates[t, 2 * hidden :]
+        np.tanh(c, out=c)
         if cache is not None:
-            cache.append((h, z, r, n, a[:, 2 * hidden :]))
-        h = n + z * (h - n)
-        out[t] = h
-    return out, h
+            befores[t], inner[t] = h, a[2 * hidden :]
+        h = np.subtract(h, c, out=out[t])
+        h *= s[:hidden]
+        h += c
+    if cache is not None:
+        cache.update(inputs=inputs, befores=befores, z=zr[:, :hidden], r=zr[:, hidden:], n=n, inner=inner)
+    states = room("states", steps, lanes, hidden)
+    states[:] = out.transpose(0, 2, 1)
+    return states, h.T.copy()
 
 
-def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no state, whose values lie within one, can bring a logit beyond ``MOST``."""
+    return float((np.abs(weights).sum(-2) + np.abs(bias)).max()) < MOST
+
+
+def _flat(x: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """The valid places of a window, step by step; without a copy where all are."""
+    return x.reshape(-1, *x.shape[2:]) if valid.all() else x[valid]
+
+
+def _powers(x: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
     """The powers of logits, held within ``MOST`` in place, and their sum in each row (a product, faster than a sum of short rows)."""
-    e = np.exp(np.clip(x, -MOST, MOST, out=x))
+    e = np.exp(x if bounded else np.clip(x, -MOST, MOST, out=x))
     return e, e @ np.ones(x.shape[1], x.dtype)
 
 
@@ -122,8 +161,9 @@ def _outputs(p: Params, states: np.ndarray, target: np.ndarray, grads: Params |
     s, target = states[order], target[order]
     cls, member = target // width, target % width
     rows = np.arange(len(target))
-    x = s @ p["Wc"] + p["bc"]
-    d, norm = _powers(x)
+    x = s @ p["Wc"]
+    x += p["bc"]
+    d, norm = _powers(x, _bounded(p["Wc"], p["bc"]))
     found = x[rows, cls] - np.log(norm)
     back = None
     if grads is not None:
@@ -133,19 +173,21 @@ def _outputs(p: Params, states: np.ndarray, target: np.ndarray, grads: Params |
         grads["bc"] += d.sum(0)
         back = d @ p["Wc"].T
     edges = np.searchsorted(cls, np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        at = slice(edges[c], edges[c + 1])
-        part, m = s[at], member[at]
-        x = part @ p["Wm"][c] + p["bm"][c]
-        d, norm = _powers(x)
-        own = rows[: len(m)]
-        found[at] += x[own, m] - np.log(norm)
-        if grads is not None:
-            d /= norm[:, None]
-            d[own, m] -= 1
-            grads["Wm"][c] += part.T @ d
-            grads["bm"][c] += d.sum(0)
-            back[at] += d @ p["Wm"][c].T
+    own = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+    x = np.empty((len(target), width), s.dtype)
+    for c, at in own:
+        part = np.matmul(s[at], p["Wm"][c], out=x[at])
+        part += p["bm"][c]
+    d, norm = _powers(x, _bounded(p["Wm"], p["bm"]))
+    found += x[rows, member] - np.log(norm)
+    if grads is not None:
+        d /= norm[:, None]
+        d[rows, member] -= 1
+        for c, at in own:
+            part = d[at]
+            grads["Wm"][c] += s[at].T @ part
+            grads["bm"][c] += part.sum(0)
+            back[at] += part @ p["Wm"][c].T
     logp = np.empty(len(target))
     logp[order] = found
     if back is not None:
@@ -159,54 +201,63 @@ def log_likelihoods(p: Params, docs: list[np.ndarray], lanes: int = 512, steps:
     """The natural log-likelihood of each document (arrays of token ids)."""
     laid = Lanes(docs, lanes)
     total = np.zeros(len(docs))
-    table = (p["E"] @ p["Wx"] + p["b"]).astype(np.float32)
-    h = np.zeros((len(laid.length), p["U"].shape[0]), np.float32)
+    h, room = np.zeros((len(laid.length), p["U"].shape[0]), np.float32), _Room()
     for at, valid in laid.windows(steps):
-        states, h = _forward(p, table, laid.input[at], ~laid.first[at], h[: at.shape[1]])
-        flat = at[valid]
-        logp, _ = _outputs(p, states[valid], laid.target[flat])
+        states, h = _forward(p, laid.input[at], ~laid.first[at], h[: at.shape[1]], room)
+        flat = _flat(at, valid)
+        logp, _ = _outputs(p, _flat(states, valid), laid.target[flat])
         total += np.bincount(laid.owner[flat], logp, len(docs))
     return total
 
 
-def window_gradients(p: Params, ids: np.ndarray, keep: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[Params, float, np.ndarray]:
+def window_gradients(p: Params, ids: np.ndarray, keep: np.ndarray, target: np.ndarray, valid: np.ndarray, h: np.ndarray, room: _Room | None = None) -> tuple[Params, float, np.ndarray]:
     """Gradients of the mean loss of one window, the loss, and the state to carry on."""
     hidden, grads = h.shape[1], {k: np.zeros_like(v) for k, v in p.items()}
-    cache: list = []
-    states, last = _forward(p, (p["E"] @ p["Wx"] + p["b"]), ids, keep, h, cache)
-    logp, back = _outputs(p, states[valid], target[valid], grads)
+    cache, room = {}, room or _Room()
+    states, last = _forward(p, ids, keep, h, room, cache)
+    logp, back = _outputs(p, _flat(states, valid), _flat(target, valid), grads)
     count = max(1, int(valid.sum()))
-    d_states = np.zeros_like(states)
-    d_states[valid] = back
-    d_gates = np.empty((*ids.shape, 3 * hidden), np.float32)
-    d_inner = np.empty_like(d_gates)
-    befores = np.empty_like(states)
-    back_u = np.ascontiguousarray(p["U"].T)
-    dh = np.zeros_like(h)
+    if valid.all():
+        states.reshape(back.shape)[:] = back
+    else:
+        states[:] = 0
+        states[valid] = back
+    befores, z, r, n, inner = (cache[k] for k in ("befores", "z", "r", "n", "inner"))
+    d_states, by_n, by_z = room("d_states", *n.shape), room("by_n", *n.shape), room("by_z", *n.shape)
+    d_gates, d_inner = room("d_gates", len(ids), 3 * hidden, ids.shape[1]), room("d_inner", len(ids), 3 * hidden, ids.shape[1])
+    d_states[:] = states.transpose(0, 2, 1)
+    # What each gate's gradient is multiplied by does not depend on later steps.
+    np.subtract(befores, n, out=by_z)
+    by_z *= z
+    np.multiply(n, n, out=by_n)
+    np.subtract(1, by_n, out=by_n)
+    closed = np.subtract(1, z, out=n)
+    by_z *= closed
+    by_n *= closed
+    by_r = np.subtract(1, r, out=closed)
+    by_r *= r
+    by_r *= inner
+    u, dh, whole = np.ascontiguousarray(p["U"]), np.zeros((hidden, ids.shape[1]), np.float32), keep.all(1)
     for t in range(len(ids) - 1, -1, -1):
-        before, z, r, n, an = cache[t]
         g, da = d_gates[t], d_inner[t]
-        dh = dh + d_states[t]
-        dn = dh * (1 - z)
-        dn *= 1 - n * n
-        g[:, :hidden] = dh * (before - n) * z * (1 - z)
-        g[:, hidden : 2 * hidden] = dn * an * r * (1 - r)
-        g[:, 2 * hidden :] = dn
-        da[:, : 2 * hidden] = g[:, : 2 * hidden]
-        np.multiply(dn, r, out=da[:, 2 * hidden :])
-        befores[t] = before
-        dh = dh * z + da @ back_u
-        if not keep[t].all():
-            dh *= keep[t][:, None]
-    grads["U"] += befores.reshape(-1, hidden).T @ d_inner.reshape(-1, 3 * hidden)
+        dh += d_states[t]
+        np.multiply(dh, by_z[t], out=g[:hidden])
+        dn = np.multiply(dh, by_n[t], out=g[2 * hidden :])
+        np.multiply(dn, by_r[t], out=g[hidden : 2 * hidden])
+        da[: 2 * hidden] = g[: 2 * hidden]
+        np.multiply(dn, r[t], out=da[2 * hidden :])
+        dh *= z[t]
+        dh += u @ da
+        if not whole[t]:
+            dh *= keep[t]
+    grads["U"] += np.matmul(befores, d_inner.transpose(0, 2, 1)).sum(0)
+    grads["b"] += d_gates.sum((0, 2))
+    grads["Wx"] += np.matmul(d_gates, cache["inputs"]).sum(0).T
     x = ids.reshape(-1)
     order = np.argsort(x, kind="stable")
-    x, flat = x[order], d_gates.reshape(-1, 3 * hidden)[order]
+    x, flat = x[order], np.matmul(d_gates.transpose(0, 2, 1), p["Wx"].T, out=cache["inputs"]).reshape(len(order), -1)[order]
     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    own, sums = x[first], np.add.reduceat(flat, first, axis=0)
-    grads["b"] += sums.sum(0)
-    grads["Wx"] += p["E"][own].T @ sums
-    grads["E"][own] += sums @ p["Wx"].T
+    grads["E"][x[first]] += np.add.reduceat(flat, first, axis=0)
     return {k: g / np.float32(count) for k, g in grads.items()}, float(-logp.sum() / count), last
 
 
@@ -219,10 +270,11 @@ def train(p: Params, docs: list[np.ndarray], epochs: int = 1, lanes: int = 512,
     m, v, k = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0
     laid = Lanes(docs, lanes)
     planned = max(1, epochs * -(-int(laid.length.max(initial=0)) // steps))
+    room = _Room()
     for _ in range(epochs):
         h = np.zeros((len(laid.length), p["U"].shape[0]), np.float32)
         for at, valid in laid.windows(steps):
-            grads, _, h = window_gradients(p, laid.input[at], ~laid.first[at], laid.target[at], valid, h[: at.shape[1]])
+            grads, _, h = window_gradients(p, laid.input[at], ~laid.first[at], laid.target[at], valid, h[: at.shape[1]], room)
             norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
             scale = min(1.0, 1.0 / max(norm, 1e-9))
             k += 1

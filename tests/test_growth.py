@@ -129,3 +129,22 @@ def test_value_flow_binds_calls_only_and_moves_no_ids(spark, monkeypatch):
     assert written["looked-up"][0] == written["bound"][0] == calls
     assert not any("symbol_id" in c or "id:" in c for name in ("exports-0", "looked-up", "bound") for c in written[name][1])
     assert edges == rows(flow.flow_edges(facts, bind.relations(facts))) and sum(e[2] == "ARG_TO_PARAM" for e in edges) == calls
+
+
+def test_windows_of_the_network_use_their_arrays_again():
+    import numpy as np
+
+    from tessera.llm import gru
+
+    draw = np.random.default_rng(4)
+    p, room = gru.initial(8, 8, 24, 16, np.ones(64)), gru._Room()
+    ids, target, keep = draw.integers(0, 64, (20, 512)), draw.integers(0, 64, (20, 512)), np.ones((20, 512), bool)
+    keep[:, ::7], h = False, np.zeros((512, 24), np.float32)
+    first = gru.window_gradients(p, ids, keep, target, keep, h, room)
+    held = {k: id(v) for k, v in room.held.items()}
+    other = gru.window_gradients(p, ids[:, :300], keep[:, :300], target[:, :300], keep[:, :300], h[:300], room)
+    again = gru.window_gradients(p, ids, keep, target, keep, h, room)
+    assert held and held == {k: id(v) for k, v in room.held.items()}
+    assert all(np.array_equal(first[0][k], again[0][k]) for k in p) and first[1] == again[1] and np.array_equal(first[2], again[2])
+    fresh = gru.window_gradients(p, ids[:, :300], keep[:, :300], target[:, :300], keep[:, :300], h[:300])
+    assert all(np.allclose(other[0][k], fresh[0][k], atol=1e-7) for k in p)
