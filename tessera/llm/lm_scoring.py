@@ -20,14 +20,13 @@ without training documents all counts are zero.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +46,8 @@ HEAD = 100_000
 REPLICA_TOKENS, ROUNDS = 4_000_000, 2
 #: Most averages that meet on the driver, and most that one average has as its parts.
 AVERAGES, FAN = 16, 32
+#: Bytes of text that a task splits into words at once.
+PIECE_BYTES = 8 << 20
 #: Tokens that a task scores at once.
 CHUNK = 4_000_000
 
@@ -55,17 +56,32 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def words_of(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """(first, end, words, owner) of pieces of at most ``PIECE_BYTES`` of texts, or of one: the ``tokens`` of rows first to
+    end without their end tokens, and for each word the place of its row in the piece."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        before = upto[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(upto, before + PIECE_BYTES, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(first, end - first), "")))
+        sizes = np.diff(lists.offsets.to_numpy())
+        words, owner = lists.flatten(), np.repeat(np.arange(end - first), sizes)
+        # White space at an end of a text leaves an empty word there.
+        some = pc.greater(pc.binary_length(words), 0)
+        yield first, end, words.filter(some).cast(pa.binary()), owner[some.to_numpy(zero_copy_only=False)]
+        first = end
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """token, c over the rows of ``docs``; counted within each batch before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            texts = batch.column(0).to_pylist()
-            for text in texts:
-                counts.update(tokens(text))
-            counts[END_TOKEN.encode()] += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
+            for first, end, words, _ in words_of(batch.column(0)):
+                found = words.value_counts()
+                token = pa.concat_arrays([found.field("values"), pa.array([END_TOKEN.encode()], pa.binary())])
+                yield pa.RecordBatch.from_arrays([token, pa.concat_arrays([found.field("counts"), pa.array([end - first], pa.int64())])], ["token", "c"])
 
     return docs.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -82,7 +98,6 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         self.side = self.side or max(LEAST_SIDE, round(2 * self.distinct**0.2))
-        self.place = {w: k for k, w in enumerate(self.head)}
         self.own_counts = np.fromiter(self.head.values(), np.float64, len(self.head))[: self.side**2 - 2]
         self.rest_total = self.total - self.end - int(self.own_counts.sum())
         rest_distinct = self.distinct - (self.end > 0) - len(self.own_counts)
@@ -140,28 +155,32 @@ def encoded(docs: DataFrame, sent: Broadcast, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = sent.value
-        get, own, end = voc.place.get, len(voc.own_counts), math.log10(voc.end + 1)
+        own, last = len(voc.own_counts), math.log10(voc.end + 1)
         logs = np.log10(np.fromiter(voc.head.values(), np.float64, len(voc.head)) + 1)
+        head = pa.array(list(voc.head), pa.binary())
         for batch in batches:
-            stats, sums, ids, rare, times, edges = [], [], [], [], [], [0]
-            for text in batch.column(3).to_pylist():
-                words = tokens(text)
-                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                mine = at < own
-                mine &= at >= 0
-                head = at[at >= 0]
-                stats.append((len(words) + 1, len(head) + (voc.end > 0), len(words) - int(mine.sum())))
-                sums.append((float(logs[at[mine]].sum()) + end, float(logs[head[head >= own]].sum())))
-                ids.append(np.r_[np.where(mine, at + 2, gru.UNKNOWN), gru.END].astype(np.uint16).tobytes())
-                found = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                rare += found.keys()
-                times += found.values()
-                edges.append(len(rare))
-            other = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["token", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *(pa.array(c, pa.int64()) for c in zip(*stats, strict=True)), *(pa.array(c, pa.float64()) for c in zip(*sums, strict=True)), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), other)],
-                schema.names,
-            )
+            for first, end, words, owner in words_of(batch.column(3)):
+                n = end - first
+                at = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy(zero_copy_only=False)
+                known, mine = at >= 0, (at >= 0) & (at < own)
+                other = known & ~mine
+                sizes, mines = np.bincount(owner, minlength=n), np.bincount(owner[mine], minlength=n)
+                stats = (sizes + 1, np.bincount(owner[known], minlength=n) + (voc.end > 0), sizes - mines)
+                sums = (np.bincount(owner[mine], logs[at[mine]], n) + last, np.bincount(owner[other], logs[at[other]], n))
+                # Each text's ids and then the end, in one array.
+                stops = np.cumsum(sizes + 1)
+                ids = np.full(int(stops[-1]), gru.END, np.uint16)
+                ids[np.arange(len(at)) + owner] = np.where(mine, at + 2, gru.UNKNOWN)
+                # Words outside the head, counted by row.
+                rare = words.filter(pa.array(~known)).dictionary_encode()
+                kinds = max(1, len(rare.dictionary))
+                keys, times = np.unique(owner[~known] * kinds + rare.indices.to_numpy(), return_counts=True)
+                edges = np.searchsorted(keys, np.arange(n + 1) * kinds).astype(np.int32)
+                listed = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(keys % kinds)), pa.array(times, pa.int64())], ["token", "n"])
+                laid = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.r_[0, 2 * stops].astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(first, n) for c in batch.columns[:3]), *(pa.array(c, pa.int64()) for c in stats), *(pa.array(c, pa.float64()) for c in sums), laid, pa.ListArray.from_arrays(pa.array(edges), listed)], schema.names
+                )
 
     return rows.mapInArrow(run, schema)
 

@@ -148,3 +148,18 @@ def test_windows_of_the_network_use_their_arrays_again():
     assert all(np.array_equal(first[0][k], again[0][k]) for k in p) and first[1] == again[1] and np.array_equal(first[2], again[2])
     fresh = gru.window_gradients(p, ids[:, :300], keep[:, :300], target[:, :300], keep[:, :300], h[:300])
     assert all(np.allclose(other[0][k], fresh[0][k], atol=1e-7) for k in p)
+
+
+def test_words_of_a_batch_are_split_at_once_and_are_the_tokens_of_its_texts(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "PIECE_BYTES", 40)
+    texts = [None, "", " \t\n", "A b\x0bC\x0c d\r\n", "  Ärger É x \x1c y\x85z ", "w" * 100, "q Q q", *["one two"] * 20]
+    found, ends = [[] for _ in texts], []
+    for first, end, words, owner in lm_scoring.words_of(pa.array(["unread", *texts], pa.string()).slice(1)):
+        ends.append(end)
+        for word, k in zip(words.to_pylist(), owner.tolist(), strict=True):
+            found[first + k].append(word)
+    assert found == [lm_scoring.tokens(t) for t in texts] and ends[-1] == len(texts) and len(ends) > 4
