@@ -89,3 +89,17 @@ def test_a_value_leaves_by_the_call_it_entered_by_and_limits_are_told(spark):
     assert flow.returned("m.py", "two") in loose and flow.returned("m.py", "two") not in tight and flow.returned("m.py", "one") in tight
     assert {r["limit"] for r in flow.matched_impact(edges, seed, steps=1).collect()} == {"steps"}
     assert {r["limit"] for r in flow.matched_impact(edges, seed, nodes=3).collect()} == {"nodes"}
+
+
+def test_edges_meet_once_and_walks_write_no_ways(spark, monkeypatch):
+    edges = spark.createDataFrame(program(3) + program(4), COLUMNS)
+    written = []
+    monkeypatch.setattr(flow, "materialize", lambda df, name, real=flow.materialize: written.append(name) or real(df, name))
+    values = edges.select("source").distinct().limit(5).withColumnRenamed("source", "node")
+    flow.matched_impact(edges, values).collect()
+    assert written.count("flow-local") == 1 and "flow-ways" not in written
+    inside = {e[:2] for e in program(3) + program(4) if e[2] not in ("ARG_TO_PARAM", "RETURN_TO_CALLSITE")}
+    bound = {e[0] for e in program(3) + program(4) if e[2] == "ARG_TO_PARAM"}
+    results = {e[1] for e in program(3) + program(4) if e[2] == "RETURN_TO_CALLSITE"}
+    got = sorted(map(tuple, flow._local(edges).collect()))
+    assert got == sorted(e for e in inside if not (e[0] in bound and e[1] in results)) and len(got) < len(inside)
