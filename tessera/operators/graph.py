@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import materialize, maybe_broadcast
 
 MAX_DEPTH = 5
 #: Edges up to which what is left of a graph is finished in one task, at some hundred bytes an edge; beyond it rounds go on.
@@ -45,14 +45,14 @@ class _Lists:
         rows = steps.select("src", "tgt", self.bucket("tgt")).withColumn("chunk", F.floor(place / LIST))
         lists = rows.groupBy("src", "bucket", "chunk").agg(F.array_sort(F.collect_list("tgt")).alias("targets"))
         self.rows = materialize(lists.drop("chunk"), "lists")
-        self.sizes = self.rows.groupBy("src").agg(F.sum(F.size("targets")).alias("n"))
+        self.sizes = self.rows.select("src", F.size("targets").alias("n"))
 
     def bucket(self, node: str) -> Column:
         return F.pmod(F.xxhash64(node), F.lit(self.buckets)).cast("int").alias("bucket")
 
-    def tasks(self, nodes: DataFrame) -> int:
-        """Tasks for what steps from ``nodes`` (src) meet, so that none holds many more than ``TASK_ROWS``."""
-        met = nodes.groupBy("src").agg(F.count("*").alias("times")).join(self.sizes, "src")
+    def tasks(self, nodes: DataFrame, count: int) -> int:
+        """Tasks for what steps from ``nodes`` (src, ``count`` rows) meet, so that none holds many more than ``TASK_ROWS``."""
+        met = maybe_broadcast(nodes.groupBy("src").agg(F.count("*").alias("times")), count).join(self.sizes, "src")
         return max(self.least, -(-(met.agg(F.sum(F.col("times") * F.col("n"))).first()[0] or 0) // TASK_ROWS))
 
 
@@ -67,10 +67,12 @@ def distances(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "
     lists = _Lists(orient(edges, direction), seen.count())
     frontier = seen
     for level in range(1, depth + 1):
-        at = frontier.select("seed", F.col("node").alias("src"))
+        # Few values are sent to all lists, not all lists to them.
+        count = frontier.count()
+        at = maybe_broadcast(frontier.select("seed", F.col("node").alias("src")), count)
         met = at.join(lists.rows, "src").select("seed", "bucket", "targets", F.lit(level).alias("distance"))
         known = seen.select("seed", lists.bucket("node"), F.array("node").alias("targets"), "distance")
-        both = met.unionByName(known).repartition(lists.tasks(at), "seed", "bucket").select("seed", "bucket", F.explode("targets").alias("node"), "distance")
+        both = met.unionByName(known).repartition(lists.tasks(at, count), "seed", "bucket").select("seed", "bucket", F.explode("targets").alias("node"), "distance")
         least = both.groupBy("seed", "bucket", "node").agg(F.min("distance").alias("distance")).select("seed", "node", "distance")
         if level == depth:
             return least
@@ -112,11 +114,12 @@ def shortest_paths_from(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEP
     done = frontier = materialize(start, "paths-0")
     lists = _Lists(edges.select("src", "tgt").distinct(), done.count())
     for level in range(1, depth + 1):
+        count = frontier.count()
         at = frontier.select("source", F.col("target").alias("src"), "path")
         met = at.join(lists.rows, "src").select("source", "bucket", "path", "targets", F.lit(level).alias("length"))
         none = F.lit(None).cast(done.schema["path"].dataType).alias("path")
         known = done.select("source", lists.bucket("target"), none, F.array("target").alias("targets"), "length")
-        both = met.unionByName(known).repartition(lists.tasks(at), "source", "bucket")
+        both = met.unionByName(known).repartition(lists.tasks(at, count), "source", "bucket")
         grown = both.select("source", "bucket", "path", F.explode("targets").alias("target"), "length")
         own = Window.partitionBy("source", "bucket", "target")
         place, first = F.row_number().over(own.orderBy("length", "path")), F.min("length").over(own)

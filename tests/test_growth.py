@@ -163,3 +163,13 @@ def test_words_of_a_batch_are_split_at_once_and_are_the_tokens_of_its_texts(monk
         for word, k in zip(words.to_pylist(), owner.tolist(), strict=True):
             found[first + k].append(word)
     assert found == [lm_scoring.tokens(t) for t in texts] and ends[-1] == len(texts) and len(ends) > 4
+
+
+def test_few_values_of_a_walk_are_sent_to_the_lists(spark, monkeypatch):
+    from tessera.operators import graph
+
+    sent = []
+    monkeypatch.setattr(graph, "maybe_broadcast", lambda df, rows: sent.append(rows) or F.broadcast(df))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d")], "src string, tgt string")
+    got = {tuple(r) for r in graph.distances(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()}
+    assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 2)} and sent and max(sent) == 1
