@@ -103,3 +103,43 @@ def test_edges_meet_once_and_walks_write_no_ways(spark, monkeypatch):
     results = {e[1] for e in program(3) + program(4) if e[2] == "RETURN_TO_CALLSITE"}
     got = sorted(map(tuple, flow._local(edges).collect()))
     assert got == sorted(e for e in inside if not (e[0] in bound and e[1] in results)) and len(got) < len(inside)
+
+
+def spread(edges, start):
+    """Distance of all nodes that a walk from ``start`` reaches which first leaves functions and then enters them, summaries as steps."""
+    after = collections.defaultdict(list)
+    for s, t, way in edges:
+        after[s].append((t, way))
+    far, layer, level = {}, {(start, False)}, 0
+    met = set(layer)
+    while layer:
+        for node, _ in layer:
+            far.setdefault(node, level)
+        layer = {(t, entered or way == flow.DOWN) for n, entered in layer for t, way in after[n] if not (entered and way == flow.UP)} - met
+        met |= layer
+        level += 1
+    return far
+
+
+def test_walks_without_limits_go_to_their_end_by_the_shortest_way(spark):
+    # Two chains of forty functions each, the second of which ends in a circle and is also entered halfway, besides random programs.
+    node = lambda f, what, line=0: f"c.py|{f}|{what}|{line}|1"
+    edges = [e for seed in range(20, 23) for e in program(seed, 5)]
+    for k in range(80):
+        to = {39: None, 79: 60}.get(k, k + 1)
+        slot = node(f"g{k}", "arg 0", k + 1)
+        edges.append((node(f"g{k}", "param x"), slot, "ASSIGN", "static", "c.py", k + 1, 1, "x"))
+        if to is not None:
+            edges.append((slot, node(f"g{to}", "param x"), "ARG_TO_PARAM", "static", "c.py", k + 1, 1, "x"))
+    edges.append((node("g5", "arg 0", 6), node("g50", "param x"), "ARG_TO_PARAM", "static", "c.py", 6, 1, "x"))
+    edges.append((node("g45", "arg 0", 46), node("g70", "param x"), "ARG_TO_PARAM", "static", "c.py", 46, 1, "x"))
+    nodes = sorted({n for e in edges for n in e[:2]})
+    table, values = spark.createDataFrame(edges, COLUMNS), spark.createDataFrame([(n,) for n in nodes], "node string")
+    known, whole = flow.summaries(table)
+    assert whole
+    ways = [tuple(r) for r in flow._ways(table, known, True, flow._local(table)).collect()]
+    got = collections.defaultdict(dict)
+    for r in flow.matched_impact(table, values, known=known).collect():
+        assert r["limit"] is None and r["node"] not in got[r["seed"]]
+        got[r["seed"]][r["node"]] = r["distance"]
+    assert got == {n: spread(ways, n) for n in nodes} and max(got[node("g0", "param x")].values()) == 79

@@ -62,6 +62,20 @@ def test_matched_flow_is_that_of_walks_with_a_stack(spark):
         assert set(reached) <= want and (seed not in whole or set(reached) == want) and max(reached.values()) <= 8
 
 
+def test_matched_flow_goes_to_the_end_of_every_walk(spark):
+    from test_flow import spread
+
+    from tessera.operators import flow
+
+    edges = QUERIES["value_flow_edges"](spark, SMALL).localCheckpoint()
+    ways = [tuple(r) for r in flow._ways(edges, flow.summaries(edges)[0], True, flow._local(edges)).collect()]
+    rows, got = QUERIES["value_flow_matched"](spark, SMALL).collect(), {}
+    for r in rows:
+        got.setdefault(r["seed"], {})[r["node"]] = r["distance"]
+    assert all(r["limit"] is None for r in rows) and sum(map(len, got.values())) == len(rows)
+    assert got == {seed: spread(ways, seed) for seed in got} and max(max(d.values()) for d in got.values()) > 8
+
+
 def test_entry_registers_everything():
     import __spark_entry__ as entry
 
