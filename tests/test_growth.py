@@ -173,3 +173,27 @@ def test_few_values_of_a_walk_are_sent_to_the_lists(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d")], "src string, tgt string")
     got = {tuple(r) for r in graph.distances(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()}
     assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 2)} and sent and max(sent) == 1
+
+
+def test_rebinding_parses_edited_texts_only_in_all_parts_and_looks_up_each_reference_once(spark, monkeypatch):
+    from conftest import SMALL
+
+    from tessera import bind, queries
+    from tessera.extract.python_facts import BINDING_LISTS, extract
+    from tessera.plans import standins
+
+    files = standins.python_files(spark, SMALL)
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    code = "import b\nfrom .b import f as g\nclass C:\n    def m(self, c: C): c.m.x(); g()\n"
+    facts = extract(spark.createDataFrame([("src/p/a.py", code)], "path string, content string"), BINDING_LISTS).localCheckpoint()
+    entries = bind._asks(facts)
+    assert entries.where("ref is not null").count() == facts.selectExpr("size(references)").first()[0]
+    read = bind.reads_of(facts)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    keys = {r["key"] for r in read.collect()}
+    assert {"module:p.b", "export:p.b:f", "member:p:b:f", "top:b", "module:C", "export:C:m", "member:C:m:x", "module:b"} - keys == {"module:C", "export:C:m", "member:C:m:x"}
+    parsed = []
+    monkeypatch.setattr(queries, "materialize", lambda df, name, real=queries.materialize: (made := real(df, name), parsed.append((name, made.count())))[0])
+    got = queries.QUERIES["rebinding"](spark, SMALL)
+    assert dict(parsed) == {"python-files": 150, "edited-facts": 3} and got.where("bound_anew").select("source_path").distinct().count() > 3
